@@ -53,8 +53,8 @@ def default_selection(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3)
     chosen = names.where(
         F.when(has_preferred, F.col(e).isin(list(PREFERRED_DEFAULT_ENTITIES))).otherwise(F.lit(True))
     ).orderBy(e).limit(n)
-    bounds = df.agg(F.min(spec.date).alias("start"), F.max(spec.date).alias("end"))
-    return chosen.crossJoin(F.broadcast(bounds))  # bounds is exactly one row
+    bounds = df.select(F.struct(F.min(spec.date).alias("start"), F.max(spec.date).alias("end"))).scalar()
+    return chosen.select(e, bounds.getField("start").alias("start"), bounds.getField("end").alias("end"))
 
 
 def default_filters(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3):
@@ -67,9 +67,10 @@ def default_filters(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3):
 
 def apply_default_filter(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3) -> DataFrame:
     """P1 with P2's defaults, fully inside one plan (no driver round trip)."""
-    sel = default_selection(df, spec, n)
-    return df.join(F.broadcast(sel), on=spec.entity, how="left_semi").where(
-        F.col(spec.date).between(sel.select(F.min("start")).scalar(), sel.select(F.max("end")).scalar())
+    sel = default_selection(df, spec, n)  # at most n rows
+    bounds = df.select(F.struct(F.min(spec.date).alias("lo"), F.max(spec.date).alias("hi"))).scalar()
+    return df.join(F.broadcast(sel.select(spec.entity)), on=spec.entity, how="left_semi").where(
+        F.col(spec.date).between(bounds.getField("lo"), bounds.getField("hi"))
     )
 
 

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The panel analyses read a static daily table; there is no stream, watermark,
+windowed stream aggregation or stateful stream operator to rebuild, so this
+package holds no code (see README, "Not built").
+"""
