@@ -36,45 +36,42 @@ def daily_grid(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> Da
 def _loess_fit(y: np.ndarray, xs: np.ndarray, span: int, degree: int, rw: np.ndarray) -> np.ndarray:
     """Local (degree 0/1) tricube-weighted fits of y (observed at 0..n-1) evaluated at xs.
 
-    Follows the LOESS step of Cleveland et al. (1990): the ``span`` nearest
-    points, window half-width widened when ``span`` exceeds n.
+    The LOESS step of Cleveland et al. (1990): each fit uses the ``span``
+    nearest observations (the window slides inside the series at the ends,
+    which also gives the one-step extrapolations), half-width widened when
+    ``span`` exceeds n.  Vectorised over all evaluation points: one
+    (points x span) gather per call.
     """
+    y = np.asarray(y, dtype=float)
+    xs = np.asarray(xs, dtype=float)
     n = len(y)
-    pos = np.arange(n, dtype=float)
-    out = np.empty(len(xs))
     q = min(span, n)
-    for i, x in enumerate(xs):
-        # nearest q points: a contiguous window clamped to the series
-        left = int(np.clip(np.floor(x) - (q - 1) // 2, 0, n - q)) if q < n else 0
-        # slide the window so that it is the closest q points to x
-        while left > 0 and x - pos[left - 1] < pos[left + q - 1] - x:
-            left -= 1
-        while left + q < n and pos[left + q] - x < x - pos[left]:
-            left += 1
-        idx = slice(left, left + q)
-        h = max(x - pos[left], pos[left + q - 1] - x)
-        if span > n:
-            h += (span - n) // 2
-        r = np.abs(pos[idx] - x)
-        w = np.zeros(q)
-        if h > 0:
-            inner = r <= 0.999 * h
-            w[inner] = (1.0 - (r[inner] / h) ** 3) ** 3
-            w[r <= 0.001 * h] = 1.0
-        else:
-            w[:] = 1.0
-        w = w * rw[idx]
-        s = w.sum()
-        if s <= 0:
-            out[i] = np.nan
-            continue
-        w = w / s
-        if degree > 0:
-            b = (w * pos[idx]).sum()
-            c = (w * (pos[idx] - b) ** 2).sum()
-            if np.sqrt(c) > 0.001 * (n - 1):
-                w = w * ((x - b) * (pos[idx] - b) / c + 1.0)
-        out[i] = (w * y[idx]).sum()
+    left = np.clip(np.floor(xs).astype(np.int64) - (q - 1) // 2, 0, n - q)
+    idx = left[:, None] + np.arange(q)[None, :]
+    pos = idx.astype(float)
+    h = np.maximum(xs - left, left + q - 1 - xs)
+    if span > n:
+        h = h + (span - n) // 2
+    hh = h[:, None]
+    r = np.abs(pos - xs[:, None])
+    safe_h = np.where(hh > 0, hh, 1.0)
+    w = np.where(r <= 0.999 * hh, (1.0 - (r / safe_h) ** 3) ** 3, 0.0)
+    w = np.where(r <= 0.001 * hh, 1.0, w)
+    w = np.where(hh > 0, w, 1.0) * rw[idx]
+    total = w.sum(axis=1)
+    ok = total > 0
+    w = w / np.where(ok, total, 1.0)[:, None]
+    if degree > 0:
+        b = (w * pos).sum(axis=1)
+        c = (w * (pos - b[:, None]) ** 2).sum(axis=1)
+        use = np.sqrt(c) > 0.001 * (n - 1)
+        slope = (xs - b)[:, None] * (pos - b[:, None]) / np.where(c > 0, c, 1.0)[:, None] + 1.0
+        w = np.where(use[:, None], w * slope, w)
+    out = (w * y[idx]).sum(axis=1)
+    if not ok.all():
+        # all weights zero: fall back to the nearest observation
+        near = np.clip(np.rint(xs), 0, n - 1).astype(np.int64)
+        out = np.where(ok, out, y[near])
     return out
 
 

@@ -55,7 +55,10 @@ def compare(spark, name, query, sf_dir, con=None, verbose=True):
     s_types = {f.name: _SPARK_KIND.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema}
     t1 = time.time()
     if query.oracle is None:
-        return {"name": name, "status": "rows-only", "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
+        res = {"name": name, "status": "rows-only", "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
+        if verbose:
+            print(res, flush=True)
+        return res
     rel = con.sql(query.oracle)
     d_cols = rel.columns
     d_types = {c: _DUCK_KIND.get(str(t), str(t)) for c, t in zip(d_cols, rel.types)}
