@@ -62,25 +62,40 @@ def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
 # ---------------------------------------------------------------------- A7
 def correlation_matrix(df: DataFrame, cols=CORRELATION_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered column pair, long form
-    (x, y, r).  All moments come from a single aggregate.  A constant column
-    gives NULL (not an error, not NaN); the diagonal is 1.0 when the column
-    varies."""
+    (x, y, r).  A constant column gives NULL (not an error, not NaN); the
+    diagonal is 1.0 when the column varies.
+
+    Each row emits one (i, j, a, b) record per column pair i <= j where both
+    values are present; a grouped aggregate over (i, j) -- three aggregate
+    functions, partially aggregated in every task before a shuffle of at most
+    one buffer per pair per task -- yields every r in one pass.  The records
+    are generated in-stage and consumed by the partial aggregate, so the
+    expansion is never shuffled or stored.
+    """
     cols = list(cols)
-    aggs = []
-    for a, b in combinations(cols, 2):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa = F.when(both, F.col(a).cast("double"))
-        xb = F.when(both, F.col(b).cast("double"))
-        aggs.append(F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb)).alias(f"{a}__{b}"))
-    for a in cols:
-        aggs.append(F.when(F.var_samp(F.col(a).cast("double")) > 0, F.lit(1.0)).alias(f"{a}__{a}"))
-    wide = df.agg(*aggs)
-    items = []
-    for a in cols:
-        for b in cols:
-            src = f"{a}__{b}" if (a == b or cols.index(a) < cols.index(b)) else f"{b}__{a}"
-            items.append(f"'{a}', '{b}', `{src}`")
-    return wide.select(F.expr(f"stack({len(items)}, {', '.join(items)})").alias("x", "y", "r"))
+    n = len(cols)
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    recs = ", ".join(f"named_struct('i', {i}, 'j', {j}, 'a', c{i}, 'b', c{j})"
+                     for i in range(n) for j in range(i, n))
+    pairs = (
+        src.select(F.explode(F.expr(f"array({recs})")).alias("p"))
+        .select("p.*")
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("i", "j")
+        .agg(F.expr("CASE WHEN i = j THEN (CASE WHEN var_samp(a) > 0 THEN 1.0D END) "
+                    "ELSE try_divide(covar_samp(a, b), stddev_samp(a) * stddev_samp(b)) END").alias("r"))
+    )
+    names = F.array(*[F.lit(c) for c in cols])
+    both = pairs.select(
+        F.explode(F.expr("CASE WHEN i = j THEN array(named_struct('x', i, 'y', j)) "
+                         "ELSE array(named_struct('x', i, 'y', j), named_struct('x', j, 'y', i)) END")).alias("k"),
+        "r",
+    )
+    full = both.select(F.element_at(names, F.col("k.x") + 1).alias("x"),
+                       F.element_at(names, F.col("k.y") + 1).alias("y"), "r")
+    # pairs never observed together (all-NULL columns) still get a row
+    grid = df.sparkSession.createDataFrame([(a, b) for a in cols for b in cols], "x string, y string")
+    return grid.join(full, on=["x", "y"], how="left")
 
 
 # ---------------------------------------------------------------------- A8
