@@ -77,6 +77,8 @@ class ForestParams:
     seed: int = SPLIT_SEED
     feature_subset: str = "all"
     checkpoint_interval: int = 10
+    max_memory_mb: int = 512
+    cache_node_ids: bool = False
 
 
 def forest_pipeline(model: str, params: ForestParams = ForestParams()) -> Pipeline:
@@ -86,16 +88,31 @@ def forest_pipeline(model: str, params: ForestParams = ForestParams()) -> Pipeli
         featuresCol="features", labelCol="label", predictionCol="prediction_log",
         numTrees=params.num_trees, maxDepth=params.max_depth, maxBins=params.max_bins,
         seed=params.seed, featureSubsetStrategy=params.feature_subset,
-        checkpointInterval=params.checkpoint_interval, cacheNodeIds=False,
+        # cache_node_ids=True trades a per-row node cache (checkpointed every
+        # checkpoint_interval levels into the shared folder) for fewer
+        # passes; worth it for deep trees on large inputs.
+        checkpointInterval=params.checkpoint_interval, cacheNodeIds=params.cache_node_ids,
+        maxMemoryInMB=params.max_memory_mb,
     )
     return Pipeline(stages=[assembler, rf])
 
 
 def fit_model(df: DataFrame, model: str, params: ForestParams = ForestParams(),
               spec: PanelSpec = DEFAULT_SPEC) -> PipelineModel:
-    """M4 (fit part): train on the non-test rows."""
-    train = training_frame(df, model, spec).where(~F.col("is_test"))
-    return forest_pipeline(model, params).fit(train)
+    """M4 (fit part): train on the non-test rows.
+
+    The forest reads its input several times (metadata, split candidates,
+    bagging); the training frame is persisted first so the panel is derived
+    once, and released after the fit.
+    """
+    from panelwise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    train = training_frame(df, model, spec).where(~F.col("is_test")).persist()
+    try:
+        return forest_pipeline(model, params).fit(train)
+    finally:
+        train.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -156,7 +156,15 @@ def stl_by_entity(df: DataFrame, metric: str, period: int = 7, seasonal: int = 7
                              "observed": pdf["observed"].to_numpy(), "trend": tr, "seasonal": se,
                              "resid": re})
 
-    return grid.groupBy("entity").applyInPandas(decompose, schema=schema).withColumnRenamed("entity", e)
+    # An explicit hash repartition (not coalesced by AQE) keeps the Python
+    # work spread over all tasks; the grouped map reuses this partitioning.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        grid.repartition(n, "entity")
+        .groupBy("entity")
+        .applyInPandas(decompose, schema=schema)
+        .withColumnRenamed("entity", e)
+    )
 
 
 # ---------------------------------------------------------------------- TS3

@@ -70,7 +70,7 @@ def finalize(sql: str, doubles) -> str:
     """Publish double columns with the engine-independent rounding."""
     if not doubles:
         return sql
-    repl = ", ".join(f"CAST({stable_round_sql(_q(c))} AS DOUBLE) AS {_q(c)}" for c in doubles)
+    repl = ", ".join(f"CAST({stable_round_sql(_q(c), dialect='duckdb')} AS DOUBLE) AS {_q(c)}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) q_final"
 
 
