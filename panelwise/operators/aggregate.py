@@ -216,23 +216,28 @@ def median_defaults(df: DataFrame, fallbacks: dict | None = None, full: DataFram
     """Per feature, the exact median (NULL-skipping) else the fallback.
 
     ``days_since_start`` defaults to the days between the full table's first
-    date and the selection's last date.  One row.
+    date and the selection's last date.  One row.  Medians come from
+    :func:`~panelwise.operators.quantiles.exact_quantiles` (no whole column
+    in one task).
     """
+    from panelwise.operators.quantiles import exact_quantiles
+
     fb = SCENARIO_FALLBACKS if fallbacks is None else fallbacks
-    aggs = []
+    present = [c for c in fb if c != "days_since_start" and c in df.columns]
+    med = exact_quantiles(df, present, [0.5]) if present else None
+    row = (med.groupBy().pivot("column", present).agg(F.first("value")) if med is not None
+           else df.sparkSession.range(1).select())
+    cols = []
     for c, v in fb.items():
         if c == "days_since_start":
             continue
-        if c in df.columns:
-            aggs.append(F.coalesce(F.median(c), F.lit(float(v))).cast("double").alias(c))
-        else:
-            aggs.append(F.lit(float(v)).alias(c))
+        val = F.col(f"`{c}`") if c in present else F.lit(None)
+        cols.append(F.coalesce(val.cast("double"), F.lit(float(v))).alias(c))
     base = full if full is not None else df
-    first_day = base.select(F.min(spec.date)).scalar()
-    days = F.coalesce(F.datediff(F.max(spec.date), first_day).cast("double"),
-                      F.lit(float(fb.get("days_since_start", 365.0))))
-    aggs.append(days.alias("days_since_start"))
-    return df.agg(*aggs)
+    span = F.datediff(df.select(F.max(spec.date)).scalar(), base.select(F.min(spec.date)).scalar())
+    cols.append(F.coalesce(span.cast("double"), F.lit(float(fb.get("days_since_start", 365.0))))
+                .alias("days_since_start"))
+    return row.select(*cols)
 
 
 # --------------------------------------------------------------------- A15/A16/J2

@@ -134,14 +134,18 @@ def regression_lines(df: DataFrame, x: str, y: str, spec: PanelSpec = DEFAULT_SP
 # ---------------------------------------------------------------------- A22
 def box_stats(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Quartiles, 1.5*IQR fences, whiskers (furthest values inside the
-    fences) and outlier count per entity."""
+    fences) and outlier count per entity.  Quartiles are exact and bounded
+    per task even for a hot entity (:mod:`panelwise.operators.quantiles`)."""
     e = spec.entity
+    from panelwise.operators.quantiles import exact_quantiles
+
     data = df.where(F.col(e).isNotNull() & F.col(metric).isNotNull()).select(e, F.col(metric).cast("double").alias("v"))
+    quart = exact_quantiles(data, ["v"], [0.25, 0.5, 0.75], groups=[e])
+    counts = data.groupBy(e).agg(F.count(F.lit(1)).alias("n"))
     q = (
-        data.groupBy(e)
-        .agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-             F.count(F.lit(1)).alias("n"))
-        .select(e, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+        quart.groupBy(e).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
+        .join(counts, on=e)
+        .select(e, "n", F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
         .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))

@@ -35,28 +35,36 @@ def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -
     """Count, mean, std (ddof 1), min, quartiles (linear interpolation), max
     per numeric column, one row per column.
 
-    ``exact=False`` swaps the exact percentiles for ``percentile_approx``.
+    Moments come from one wide aggregate; the quartiles from
+    :func:`exact_quantiles` (bounded per task however large the column).
+    ``exact=False`` uses ``percentile_approx`` instead.
     """
+    from panelwise.operators.quantiles import exact_quantiles
+
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 100000))
         aggs += [
             F.count(x).cast("double").alias(f"{c}__count"),
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
             F.min(x).alias(f"{c}__min"),
-            q.alias(f"{c}__q"),
             F.max(x).alias(f"{c}__max"),
         ]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"{c}__q"))
     wide = df.agg(*aggs)
-    wide = wide.select(
-        *[F.col(f"`{c}__{f}`") for c in cols for f in ("count", "mean", "std", "min", "max")],
-        *[F.col(f"`{c}__q`")[i].alias(f"{c}__{n}") for c in cols for i, n in enumerate(("q25", "q50", "q75"))],
-    )
-    return _stack(wide, cols, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    moments = _stack(wide, cols, ["count", "mean", "std", "min", "max"])
+    if exact:
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        quarts = q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")).select(
+            "column", F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("q50"), F.col("`0.75`").alias("q75"))
+    else:
+        quarts = _stack(wide.select(*[F.col(f"`{c}__q`")[i].alias(f"{c}__{n}") for c in cols
+                                      for i, n in enumerate(("q25", "q50", "q75"))]), cols, ["q25", "q50", "q75"])
+    return moments.join(quarts, on="column", how="left").select(
+        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 # ---------------------------------------------------------------------- A7

@@ -195,7 +195,7 @@ def q_median_defaults(spark, sf_dir):
 @register("cumulative_by_iso", with_prepared("""
 SELECT iso_code, country, coalesce(sum(New_deaths), 0) AS Cumulative_New_Deaths
 FROM prepared WHERE iso_code IS NOT NULL AND country IS NOT NULL GROUP BY 1, 2"""),
-          ("Cumulative_New_Deaths",), ("A15",))
+          ("Cumulative_New_Deaths",), ("A15", "P6", "C21"))
 def q_cumulative_by_iso(spark, sf_dir):
     """Cumulative deaths per (iso code, entity)."""
     return agg.cumulative_by_iso(prepared(spark, sf_dir))
@@ -213,7 +213,7 @@ _GEO_COLS = ("row_id", "country", "date") + PREPARED_DOUBLES + ("days_since_star
           FROM prepared WHERE iso_code IS NOT NULL AND country IS NOT NULL GROUP BY 1, 2)
 SELECT base.*, coalesce(cum.Cumulative_New_Deaths, 0) AS Cumulative_New_Deaths
 FROM base LEFT JOIN cum ON base.iso_code = cum.iso_code"""),
-    PREPARED_DOUBLES + ("Cumulative_New_Deaths",), ("A16", "J2", "A15"))
+    PREPARED_DOUBLES + ("Cumulative_New_Deaths",), ("A16", "J2", "A15", "C18"))
 def q_geo_snapshot(spark, sf_dir):
     """Latest snapshot per iso code with cumulative deaths (unfiltered table)."""
     return agg.geo_snapshot(prepared(spark, sf_dir))
@@ -231,7 +231,7 @@ def q_geo_snapshot(spark, sf_dir):
   UNION ALL SELECT 'Partially Vaccinated', partial_, 2 FROM parts
   UNION ALL SELECT 'Unvaccinated', none_, 3 FROM parts)
 SELECT status, "count", "count" / (SELECT sum("count") FROM st WHERE "count" > 0) AS share
-FROM st WHERE "count" > 0"""), ("count", "share"), ("A17", "J1"))
+FROM st WHERE "count" > 0"""), ("count", "share"), ("A17", "J1", "P6"))
 def q_vaccination_status(spark, sf_dir):
     """Latest vaccination status split."""
     return agg.vaccination_status(prepared(spark, sf_dir))
@@ -284,3 +284,20 @@ WHERE date = (SELECT max(date) FROM prepared)"""), ("daily_vaccinations",), ("K4
 def q_rank_on_latest_date(spark, sf_dir):
     """K4: rows of the latest date ranked by daily vaccinations."""
     return agg.rank_on_date(prepared(spark, sf_dir), "daily_vaccinations")
+
+
+@register("geo_snapshot_coverage", with_prepared(
+    ", base AS (SELECT iso_code, "
+    + ", ".join(_last_sql(c) for c in _GEO_COLS)
+    + " FROM prepared WHERE iso_code IS NOT NULL GROUP BY iso_code)"
+    + """
+, cum AS (SELECT iso_code, country, coalesce(sum(New_deaths), 0) AS Cumulative_New_Deaths
+          FROM prepared WHERE iso_code IS NOT NULL AND country IS NOT NULL GROUP BY 1, 2)
+SELECT base.* REPLACE (coalesce(base.vaccination_coverage, 0) AS vaccination_coverage),
+  cum.Cumulative_New_Deaths,
+  coalesce(base.vaccination_coverage, 0) * 100.0::DOUBLE AS vaccination_coverage_for_color
+FROM base LEFT JOIN cum ON base.iso_code = cum.iso_code"""),
+    PREPARED_DOUBLES + ("Cumulative_New_Deaths", "vaccination_coverage_for_color"), ("A16", "C20", "J2"))
+def q_geo_snapshot_coverage(spark, sf_dir):
+    """A16 + C20: the map snapshot coloured by coverage in percent."""
+    return agg.geo_snapshot(prepared(spark, sf_dir), metric="vaccination_coverage")

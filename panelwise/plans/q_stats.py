@@ -241,3 +241,21 @@ def _pair_sql(cols, bins: int) -> str:
 def q_pair_bins(spark, sf_dir):
     """Pair-plot clouds of four metrics as 20x20 bin counts per pair."""
     return dist.pair_bins(prepared(spark, sf_dir), PAIR_COLUMNS, 20)
+
+
+_TITLE = ("array_to_string(list_transform(string_split(replace(\"column\", '_', ' '), ' '), "
+          "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+@register("describe_labeled", with_prepared(f"""
+, d AS ({_describe_sql()})
+SELECT {_TITLE} AS label, d.* FROM d"""), ("count", "mean", "std", "min", "q25", "q50", "q75", "max"),
+          ("A6", "C16"))
+def q_describe_labeled(spark, sf_dir):
+    """A6 + C16: descriptive statistics with display labels ('New Deaths Per Million')."""
+    from pyspark.sql import functions as F
+
+    from panelwise.functions.columns import label_from_name
+
+    d = prof.describe(prepared(spark, sf_dir), DESCRIBE_COLUMNS)
+    return d.select(label_from_name(F.col("column")).alias("label"), "*")
