@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelwise.operators import timeseries as ts
 from panelwise.operators import windows as win
-from panelwise.plans.oracle_base import with_prepared
+from panelwise.plans.oracle_base import with_events, with_prepared
 from panelwise.plans.registry import prepared, register
 from panelwise.sources.driver_views import events_view
 from panelwise.spec import PanelSpec
@@ -112,7 +112,18 @@ def q_ma_forecast(spark, sf_dir):
 _EVENTS = PanelSpec(entity="event_type", date="date", row_id="date")
 
 
-@register("events_forecast", None, (), ("TS3",))
+@register("events_forecast", with_events("""
+, hist AS (SELECT event_type, date, n_events FROM ev WHERE event_type IS NOT NULL AND n_events IS NOT NULL)
+, qual AS (SELECT event_type FROM ev WHERE event_type IS NOT NULL GROUP BY event_type
+           HAVING count(DISTINCT date) >= 7 AND count(n_events) > 7)
+, lvl AS (SELECT event_type, avg(n_events) AS level, max(date) AS last_d FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY date DESC) AS rn FROM hist) t
+          WHERE rn <= 7 GROUP BY event_type)
+SELECT event_type, date, CAST(n_events AS DOUBLE) AS value, 'history' AS kind
+FROM hist WHERE event_type IN (SELECT event_type FROM qual)
+UNION ALL
+SELECT event_type, CAST(last_d + CAST(i + 1 AS INTEGER) AS DATE) AS date, level AS value, 'forecast' AS kind
+FROM lvl, range(0, 7) r(i) WHERE event_type IN (SELECT event_type FROM qual)"""), ("value",), ("TS3",))
 def q_events_forecast(spark, sf_dir):
     """TS3 on the events view (daily event counts per type)."""
     return ts.moving_average_forecast(events_view(spark, sf_dir), "n_events", 7, spec=_EVENTS)
