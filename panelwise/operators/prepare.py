@@ -82,9 +82,23 @@ def growth_rate(col: str, w) -> Column:
     return F.coalesce(safe_div(F.col(col), F.lag(col).over(w)) - F.lit(1.0), F.lit(0.0))
 
 
-def add_window_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """W1-W3 over one entity window."""
-    w = entity_window(spec)
+def add_window_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
+    """W1-W3 over one entity window.
+
+    ``split=None`` checks the data: when one entity is too large for a task
+    the series is cut into (entity, month) segments with a two-row halo
+    (:mod:`panelwise.operators.segments`); ``True``/``False`` force a plan.
+    """
+    from panelwise.operators import segments as sg
+
+    if sg.decide_split(df, spec, split):
+        x = sg.with_halo(df, 2, spec)
+        out = _window_columns(x, spec, sg.segment_window(spec))
+        return out.where(~F.col(sg.HALO)).drop(sg.SEG, sg.HALO)
+    return _window_columns(df, spec, entity_window(spec))
+
+
+def _window_columns(df: DataFrame, spec: PanelSpec, w) -> DataFrame:
     tv = spec.total_vaccinations
     out = df.withColumn(
         # Diff of a cumulative counter, first row 0, clamped at 0
@@ -109,8 +123,8 @@ def add_days_since_start(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, origin:
     return df.withColumn("days_since_start", F.datediff(F.col(spec.date), first_day).cast("int"))
 
 
-def prepare_panel(raw: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def prepare_panel(raw: DataFrame, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
     """the prepared panel every analysis starts from."""
     clean = clean_panel(raw, spec)
-    feats = add_window_features(add_ratio_features(clean, spec), spec)
+    feats = add_window_features(add_ratio_features(clean, spec), spec, split)
     return add_days_since_start(feats, spec, origin=clean)

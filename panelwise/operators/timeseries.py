@@ -186,13 +186,10 @@ def moving_average_forecast(df: DataFrame, metric: str, horizon: int = 7, window
         .agg(F.count_distinct(d).alias("_days"), F.count(metric).alias("_vals"), F.max(d).alias("_last"))
         .where((F.col("_days") >= window) & (F.col("_vals") > window))
     )
-    w = Window.partitionBy(e).orderBy(F.desc(d), F.desc(spec.row_id))
-    level = (
-        hist.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= window)
-        .groupBy(e)
-        .agg(F.avg(metric).alias("_level"), F.max(d).alias("_hist_last"))
-    )
+    from panelwise.operators.windows import last_rows_mean
+
+    level = last_rows_mean(df, metric, window, spec).withColumnRenamed("level", "_level").join(
+        hist.groupBy(e).agg(F.max(d).alias("_hist_last")), on=e)
     future = level.join(qual.select(e), on=e, how="left_semi").select(
         e,
         F.explode(F.sequence(F.date_add("_hist_last", 1), F.date_add("_hist_last", horizon))).alias(d),

@@ -4,12 +4,17 @@ All of them share ``entity_window``: Spark plans one exchange on the entity
 and one sort, whatever the number of window columns.  A partition holds one
 entity's series, i.e. at most one row per day and duplicate -- the panel's
 grain -- and the frames are bounded (7 rows, k rows) or running sums.
+When an entity is too large for one task (``split``; default: checked on
+the data), the same columns are computed per (entity, month) segment with a
+halo of preceding rows, and running sums are shifted by the earlier
+segments' totals (:mod:`panelwise.operators.segments`).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelwise.operators import segments as sg
 from panelwise.operators.prepare import entity_window
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
@@ -34,9 +39,25 @@ def trailing_mean(metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC) ->
     return _null_entity_is_null(spec, F.avg(metric).over(w))
 
 
-def cumulative_and_rolling(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows: int = 7) -> DataFrame:
+def cumulative_and_rolling(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows: int = 7,
+                           split: bool | None = None) -> DataFrame:
     """W4 + W5 for deaths and daily vaccinations (the four series of the
     cumulative / rolling section)."""
+    if sg.decide_split(df, spec, split):
+        base = df.select(spec.entity, spec.date, spec.row_id, spec.new_deaths, "daily_vaccinations")
+        x = sg.with_halo(base, rows - 1, spec)
+        sw = sg.segment_window(spec).rowsBetween(-(rows - 1), Window.currentRow)
+        x = x.withColumn("Rolling_Avg_Deaths", _null_entity_is_null(spec, F.avg(spec.new_deaths).over(sw)))
+        x = x.withColumn("Rolling_Avg_Daily_Vaccinations",
+                         _null_entity_is_null(spec, F.avg("daily_vaccinations").over(sw)))
+        x = x.where(~F.col(sg.HALO))
+        for metric, out in ((spec.new_deaths, "Cumulative_New_Deaths"),
+                            ("daily_vaccinations", "Cumulative_Daily_Vaccinations")):
+            x = sg.running_sum_segmented(x, metric, out, spec)
+            x = x.withColumn(out, _null_entity_is_null(
+                spec, F.when(F.col(metric).isNull(), F.lit(None)).otherwise(F.col(out))))
+        return x.select(spec.entity, spec.date, spec.row_id, "Cumulative_New_Deaths", "Rolling_Avg_Deaths",
+                        "Cumulative_Daily_Vaccinations", "Rolling_Avg_Daily_Vaccinations")
     return df.select(
         spec.entity, spec.date, spec.row_id,
         running_total(spec.new_deaths, spec).alias("Cumulative_New_Deaths"),
@@ -46,16 +67,20 @@ def cumulative_and_rolling(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows:
     )
 
 
-def lag_pairs(df: DataFrame, metric: str, lag: int = 7, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def lag_pairs(df: DataFrame, metric: str, lag: int = 7, spec: PanelSpec = DEFAULT_SPEC,
+              split: bool | None = None) -> DataFrame:
     """(value at t, value ``lag`` rows earlier) per entity; incomplete pairs dropped."""
     if not 1 <= lag <= 30:
         raise ValueError("lag must be between 1 and 30")
-    w = entity_window(spec)
-    lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(w))
-    return (
-        df.select(spec.entity, spec.date, spec.row_id, metric, lagged.alias("lagged_metric"))
-        .dropna(subset=[metric, "lagged_metric"])
-    )
+    base = df.select(spec.entity, spec.date, spec.row_id, metric)
+    if sg.decide_split(df, spec, split):
+        x = sg.with_halo(base, lag, spec)
+        lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(sg.segment_window(spec)))
+        out = x.withColumn("lagged_metric", lagged).where(~F.col(sg.HALO)).drop(sg.SEG, sg.HALO)
+    else:
+        lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(entity_window(spec)))
+        out = base.withColumn("lagged_metric", lagged)
+    return out.dropna(subset=[metric, "lagged_metric"])
 
 
 def lag_correlation(pairs: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -67,22 +92,40 @@ def lag_correlation(pairs: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPE
     )
 
 
-def daily_change(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def daily_change(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
     """Day-over-day change of a cumulative metric (first row 0, not clamped);
     daily metrics are already changes and pass through."""
     if metric in DAILY_METRICS:
         return df.select(spec.entity, spec.date, spec.row_id, F.col(metric).alias(metric))
-    w = entity_window(spec)
+    out_col = f"{metric}_calculated_daily_change"
+    base = df.select(spec.entity, spec.date, spec.row_id, metric)
+    segmented = sg.decide_split(df, spec, split)
+    if segmented:
+        base = sg.with_halo(base, 1, spec)
+    w = sg.segment_window(spec) if segmented else entity_window(spec)
     diff = F.coalesce(F.col(metric) - F.lag(metric).over(w), F.lit(0.0))
     diff = F.when(F.col(spec.entity).isNull(), F.lit(0.0)).otherwise(diff)
-    return df.select(spec.entity, spec.date, spec.row_id, diff.alias(f"{metric}_calculated_daily_change"))
+    out = base.withColumn(out_col, diff)
+    if segmented:
+        out = out.where(~F.col(sg.HALO))
+    return out.select(spec.entity, spec.date, spec.row_id, out_col)
+
 
+def last_rows_mean(df: DataFrame, metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC,
+                   split: bool | None = None) -> DataFrame:
+    """Mean of each entity's last ``rows`` non-null values.
 
-def last_rows_mean(df: DataFrame, metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Mean of each entity's last ``rows`` non-null values."""
+    Split plan: the last ``rows`` of every (entity, month) first, then the
+    last ``rows`` of those per entity (at most rows x months per entity).
+    """
     w = Window.partitionBy(spec.entity).orderBy(F.desc(spec.date), F.desc(spec.row_id))
+    base = df.where(F.col(spec.entity).isNotNull() & F.col(metric).isNotNull())
+    if sg.decide_split(df, spec, split):
+        ws = Window.partitionBy(spec.entity, sg.SEG).orderBy(F.desc(spec.date), F.desc(spec.row_id))
+        base = (base.withColumn(sg.SEG, sg.segment_key(spec)).withColumn("_rs", F.row_number().over(ws))
+                .where(F.col("_rs") <= rows).drop("_rs", sg.SEG))
     return (
-        df.where(F.col(spec.entity).isNotNull() & F.col(metric).isNotNull())
+        base
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= rows)
         .groupBy(spec.entity)
