@@ -49,6 +49,29 @@ def _propose(state: DataFrame) -> DataFrame:
     return state.withColumn("nlo", F.element_at("qs", k_lo + 1)).withColumn("nhi", F.element_at("qs", k_hi + 1))
 
 
+def _select_direct(long: DataFrame, keys, probs) -> DataFrame:
+    """All groups small: rank each group's distinct values once and pick every
+    requested order statistic in one aggregate."""
+    cand = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy(*keys).orderBy("v")
+    ranked = cand.withColumn("upto", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = ranked.withColumn("n", F.sum("cnt").over(Window.partitionBy(*keys)))
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        aggs.append(F.min(F.when(F.col("upto") > F.floor(pos), F.col("v"))).alias(f"_lo{i}"))
+        aggs.append(F.min(F.when(F.col("upto") > F.ceil(pos), F.col("v"))).alias(f"_hi{i}"))
+    aggs.append(F.max("n").alias("n"))
+    picked = ranked.groupBy(*keys).agg(*aggs)
+    recs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        frac = pos - F.floor(pos)
+        recs.append(F.struct(F.lit(float(p)).alias("p"),
+                             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias("value")))
+    return picked.select(*keys, F.explode(F.array(*recs)).alias("_q")).select(*keys, "_q.p", "_q.value")
+
+
 def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """Exact quantiles (numpy/pandas 'linear') per group and column.
 
@@ -62,11 +85,11 @@ def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int
     keys = groups + ["column"]
     long = _long(df, cols, groups)
     grid = [k / GRID for k in range(GRID + 1)]
-    base = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    if base.where(F.col("n") > candidate_limit).isEmpty():
-        # every group is small: select directly, no sketches needed
-        base = base.withColumn("qs", F.lit(None).cast("array<double>"))
-    else:
+    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > candidate_limit).isEmpty():
+        # every group is small: one ranking pass, no brackets needed
+        return _select_direct(long, keys, probs)
+    if True:
         base = long.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
             F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("qs"),

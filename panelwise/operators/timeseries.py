@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -9,6 +11,15 @@ from pyspark.sql.types import DateType, DoubleType, StringType, StructField, Str
 
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
+# The STL kernel runs inside Python workers: ship this module's functions with
+# the task (by value) so executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: package must be on executors
+    pass
+
 
 # ---------------------------------------------------------------------- TS1
 def daily_grid(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
