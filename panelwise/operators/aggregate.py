@@ -92,12 +92,18 @@ LATEST_STATS = (
 )
 
 
+def order_key_sql(spec: PanelSpec = DEFAULT_SPEC) -> str:
+    """(date, row id) packed into one exact, order-preserving DECIMAL(38,0):
+    days * 10^19 + (row id + 2^63).  A fixed-width key keeps ``max_by`` in a
+    hash aggregate (a struct key forces a sort-based aggregate)."""
+    return (f"(CAST(unix_date(`{spec.date}`) AS DECIMAL(38,0)) * CAST(10000000000000000000 AS DECIMAL(38,0)) "
+            f"+ (CAST(`{spec.row_id}` AS DECIMAL(38,0)) + CAST(9223372036854775808 AS DECIMAL(38,0))))")
+
+
 def last_non_null(col: str, spec: PanelSpec = DEFAULT_SPEC) -> Column:
     """pandas ``groupby().last()``: the latest non-null value of one column,
     independently of the other columns (ties on date broken by row id)."""
-    return F.expr(
-        f"max_by(`{col}`, struct(`{spec.date}`, `{spec.row_id}`)) FILTER (WHERE `{col}` IS NOT NULL)"
-    )
+    return F.expr(f"max_by(`{col}`, {order_key_sql(spec)}) FILTER (WHERE `{col}` IS NOT NULL)")
 
 
 def latest_stats(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
