@@ -187,3 +187,10 @@ def test_split_windows_equal_plain(spark, raw_panel, which):
         ra = sorted((tuple(r) for r in a.select(*cols).collect()), key=repr)
         rb = sorted((tuple(r) for r in b.select(*cols).collect()), key=repr)
         assert ra == rb
+
+
+def test_describe_approximate_option(panel):
+    exact = {r["column"]: r for r in prof.describe(panel, ["New_deaths"]).collect()}["New_deaths"]
+    approx = {r["column"]: r for r in prof.describe(panel, ["New_deaths"], exact=False).collect()}["New_deaths"]
+    assert approx["count"] == exact["count"] and approx["mean"] == pytest.approx(exact["mean"])
+    assert approx["q50"] == pytest.approx(exact["q50"], rel=0.05, abs=1.0)
