@@ -72,11 +72,14 @@ def _select_direct(long: DataFrame, keys, probs) -> DataFrame:
     return picked.select(*keys, F.explode(F.array(*recs)).alias("_q")).select(*keys, "_q.p", "_q.value")
 
 
-def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int = CANDIDATE_LIMIT) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int = CANDIDATE_LIMIT,
+                    max_group_rows: int | None = None) -> DataFrame:
     """Exact quantiles (numpy/pandas 'linear') per group and column.
 
     Returns long rows: (*groups, column, p, value).  NULLs are skipped; a
-    group/column without values yields no row.
+    group/column without values yields no row.  ``max_group_rows``: an
+    already known upper bound on non-null values per (group, column), which
+    saves the sizing pass.
     """
     from panelwise.session import ensure_checkpoint_dir
 
@@ -85,6 +88,8 @@ def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int
     keys = groups + ["column"]
     long = _long(df, cols, groups)
     grid = [k / GRID for k in range(GRID + 1)]
+    if max_group_rows is not None and max_group_rows <= candidate_limit:
+        return _select_direct(long, keys, probs)
     sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if sizes.where(F.col("n") > candidate_limit).isEmpty():
         # every group is small: one ranking pass, no brackets needed
