@@ -94,11 +94,10 @@ def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int
     if sizes.where(F.col("n") > candidate_limit).isEmpty():
         # every group is small: one ranking pass, no brackets needed
         return _select_direct(long, keys, probs)
-    if True:
-        base = long.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("qs"),
-        )
+    base = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("qs"),
+    )
     targets = F.array(*[F.struct(F.lit(i).alias("pidx"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     state = base.select(*keys, "n", "lo", "hi", "qs", F.explode(targets).alias("_t")).select(
         *keys, "n", "lo", "hi", "qs", "_t.pidx", "_t.p",
@@ -137,13 +136,12 @@ def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int
                 F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
                 F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
                 F.when(ok, F.col("c_below") + F.col("below")).otherwise(F.col("c_below")).alias("c_below"),
-                # a rejected proposal stops refining this target (it goes to selection as is)
-                F.when(ok, F.col("m_new")).otherwise(F.lit(0)).alias("m"),
+                # a rejected proposal keeps the previous (verified) bracket; after
+                # MAX_ROUNDS whatever bracket remains goes to selection -- still exact
+                F.when(ok, F.col("m_new")).otherwise(F.col("m")).alias("m"),
                 F.when(ok, F.col("qs_new")).otherwise(F.col("qs")).alias("qs"),
-                F.when(ok, F.lit(None)).otherwise(F.col("m")).alias("m_kept"),
             )
-            done = state.where(F.col("m") <= candidate_limit).withColumn("m_kept", F.lit(None).cast("bigint"))
-            state = done.unionByName(refined).withColumn("m", F.coalesce("m_kept", "m")).drop("m_kept")
+            state = state.where(F.col("m") <= candidate_limit).unionByName(refined)
             state = state.checkpoint()
         final = state
     # selection: distinct candidate values inside each bracket, ranked per target
