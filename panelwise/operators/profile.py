@@ -107,13 +107,18 @@ def correlation_matrix(df: DataFrame, cols=CORRELATION_COLUMNS) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- A8
-def column_profile(df: DataFrame) -> DataFrame:
-    """Type, non-null count and exact distinct count for every column."""
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Type, non-null count and distinct count for every column.
+
+    Exact distinct counts shuffle every (column, value) pair once (after
+    per-task de-duplication); ``approx=True`` uses HyperLogLog sketches
+    (fixed-size buffers, no value shuffle) for very large tables.
+    """
     cols = df.columns
     aggs = []
     for c in cols:
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"{c}__non_null"),
-                 F.count_distinct(F.col(f"`{c}`")).alias(f"{c}__unique")]
+        distinct = F.approx_count_distinct(F.col(f"`{c}`"), rsd=0.01) if approx else F.count_distinct(F.col(f"`{c}`"))
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"{c}__non_null"), distinct.alias(f"{c}__unique")]
     wide = df.agg(*aggs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     items = ", ".join(f"'{c}', '{types[c]}', `{c}__non_null`, `{c}__unique`" for c in cols)

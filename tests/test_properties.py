@@ -203,3 +203,10 @@ def test_kde_binned_path_close_to_exact(spark):
     binned = dist.kde(df, "v", exact_distinct=10, bins=4096).toPandas().sort_values("grid_index")
     assert np.allclose(exact["x"], binned["x"])
     assert np.max(np.abs(exact["density"].to_numpy() - binned["density"].to_numpy())) < 1e-4
+
+
+def test_column_profile_approx_close(panel):
+    exact = {r["column"]: r["unique"] for r in prof.column_profile(panel).collect()}
+    approx = {r["column"]: r["unique"] for r in prof.column_profile(panel, approx=True).collect()}
+    for c, v in exact.items():
+        assert abs(approx[c] - v) <= max(2, 0.1 * v)
