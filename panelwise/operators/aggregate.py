@@ -9,6 +9,7 @@ pandas does.  Sums of all-NULL groups are 0 (pandas), not NULL.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from panelwise.functions.columns import clamp_zero, year_month
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
@@ -106,6 +107,35 @@ def last_non_null(col: str, spec: PanelSpec = DEFAULT_SPEC) -> Column:
     return F.expr(f"max_by(`{col}`, {order_key_sql(spec)}) FILTER (WHERE `{col}` IS NOT NULL)")
 
 
+def latest_values(df: DataFrame, group: str, cols, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """Last non-null value of every column in ``cols`` per ``group``.
+
+    Fixed-width columns: ``max_by`` on the packed key, a hash aggregate.
+    Variable-width columns (strings...) would force a sort-based aggregate,
+    so the aggregate keeps only the key of their last non-null row; the
+    values are fetched by an inner join of the rows with that one-row-per-
+    group key table (small: broadcast by AQE), then attached with a left join
+    between two one-row-per-group tables.
+    """
+    variable = (StringType, BinaryType, ArrayType, MapType, StructType)
+    fixed = [c for c in cols if not isinstance(df.schema[c].dataType, variable)]
+    var = [c for c in cols if c not in fixed]
+    key = order_key_sql(spec)
+    aggs = [last_non_null(c, spec).alias(c) for c in fixed]
+    aggs += [F.expr(f"max({key}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_k_{c}") for c in var]
+    base = df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
+    for c in var:
+        keys = base.select(group, f"_k_{c}").where(F.col(f"_k_{c}").isNotNull())
+        picked = (
+            df.where(F.col(group).isNotNull() & F.col(c).isNotNull())
+            .select(group, F.expr(key).alias(f"_k_{c}"), F.col(c))
+            .join(keys, on=[group, f"_k_{c}"], how="inner")
+            .select(group, c)
+        )
+        base = base.join(picked, on=group, how="left").drop(f"_k_{c}")
+    return base.select(group, *cols)
+
+
 def latest_stats(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """A3: latest value per entity for nine metrics (partial aggregation)."""
     return (
@@ -266,11 +296,7 @@ def geo_snapshot(full: DataFrame, metric: str = "Cumulative_New_Deaths", spec: P
     broadcasts whichever side is small at run time.
     """
     cols = [c for c in full.columns if c != spec.iso]
-    base = (
-        full.where(F.col(spec.iso).isNotNull())
-        .groupBy(spec.iso)
-        .agg(*[last_non_null(c, spec).alias(c) for c in cols])
-    )
+    base = latest_values(full, spec.iso, cols, spec)
     cum = cumulative_by_iso(full, spec).select(spec.iso, "Cumulative_New_Deaths")
     out = base.join(cum, on=spec.iso, how="left")
     out = out.withColumn(metric, F.coalesce(F.col(metric), F.lit(0).cast(out.schema[metric].dataType)))
