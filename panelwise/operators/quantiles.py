@@ -90,8 +90,12 @@ def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int
     grid = [k / GRID for k in range(GRID + 1)]
     if max_group_rows is not None and max_group_rows <= candidate_limit:
         return _select_direct(long, keys, probs)
+    from panelwise.session import memoised_plan_choice
+
     sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.where(F.col("n") > candidate_limit).isEmpty():
+    all_small = memoised_plan_choice(df, ("quantile-groups", tuple(keys), tuple(cols), candidate_limit),
+                                     lambda: sizes.where(F.col("n") > candidate_limit).isEmpty())
+    if all_small:
         # every group is small: one ranking pass, no brackets needed
         return _select_direct(long, keys, probs)
     base = long.groupBy(*keys).agg(

@@ -29,16 +29,6 @@ SEG = "_seg"
 HALO = "_halo"
 
 
-_DECISIONS: dict = {}
-
-
-def _plan_key(df: DataFrame):
-    try:
-        return df._jdf.queryExecution().analyzed().semanticHash()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no JVM handle, no memo
-        return None
-
-
 def has_hot_entity(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, threshold: int | None = None) -> bool:
     """One partial-aggregated count per entity (entity column only).
 
@@ -46,16 +36,13 @@ def has_hot_entity(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, threshold: int
     so it is memoised per analysed plan for the session's lifetime: repeated
     analyses of the same panel pay for the count once.
     """
+    from panelwise.session import memoised_plan_choice
+
     if threshold is None:
         threshold = int(df.sparkSession.conf.get("panelwise.windows.hotEntityRows", str(HOT_ENTITY_ROWS)))
-    key = _plan_key(df)
-    memo = None if key is None else (id(df.sparkSession), key, spec.entity, threshold)
-    if memo is not None and memo in _DECISIONS:
-        return _DECISIONS[memo]
-    hot = not df.groupBy(spec.entity).count().where(F.col("count") > threshold).isEmpty()
-    if memo is not None:
-        _DECISIONS[memo] = hot
-    return hot
+    return memoised_plan_choice(
+        df, ("hot-entity", spec.entity, threshold),
+        lambda: not df.groupBy(spec.entity).count().where(F.col("count") > threshold).isEmpty())
 
 
 def decide_split(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> bool:
