@@ -210,3 +210,22 @@ def test_column_profile_approx_close(panel):
     approx = {r["column"]: r["unique"] for r in prof.column_profile(panel, approx=True).collect()}
     for c, v in exact.items():
         assert abs(approx[c] - v) <= max(2, 0.1 * v)
+
+
+def test_auto_split_kicks_in_for_hot_entities(spark, raw_panel):
+    """With a tiny per-entity threshold the automatic choice takes the split
+    plan (visible as a per-segment window) and still returns the plain rows."""
+    from panelwise.operators import segments as sg
+
+    plain = prepare_panel(raw_panel, split=False)
+    spark.conf.set("panelwise.windows.hotEntityRows", "2")
+    try:
+        assert sg.decide_split(raw_panel) is True
+        auto = prepare_panel(raw_panel)
+        assert "_seg" in auto._jdf.queryExecution().executedPlan().toString()
+        cols = plain.columns
+        assert sorted(map(tuple, auto.select(*cols).collect()), key=repr) == \
+            sorted(map(tuple, plain.select(*cols).collect()), key=repr)
+    finally:
+        spark.conf.unset("panelwise.windows.hotEntityRows")
+    assert sg.decide_split(raw_panel) is False
