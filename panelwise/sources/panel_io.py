@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwise.spec import RAW_CSV_SCHEMA, RAW_COLUMNS
+from panelwise.spec import DEFAULT_SPEC, RAW_CSV_SCHEMA, RAW_COLUMNS, PanelSpec
 
 # The tokens pandas' CSV reader treats as missing by default.
 NA_TOKENS = (
@@ -40,12 +40,15 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(RAW_CSV_SCHEMA)
         .option("header", True)
         .option("mode", "FAILFAST")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cols = [F.col(RAW_COLUMNS[0])]
     for c in RAW_COLUMNS[1:]:
-        v = F.trim(F.col(c))
+        # exact token match on the raw field, as pandas does (no whitespace stripping)
+        v = F.col(c)
         cols.append(F.when(F.array_contains(tokens, v), F.lit(None)).otherwise(v).alias(c))
     return df.select(*cols)
 
@@ -61,8 +64,7 @@ def persist_prepared(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def write_prepared(df: DataFrame, path: str, date_col: str = "date", entity_col: str = "country",
-                   partitions: int | None = None) -> None:
+def write_prepared(df: DataFrame, path: str, spec: PanelSpec = DEFAULT_SPEC, partitions: int | None = None) -> None:
     """S3 at scale: write the prepared panel once, partitioned by year so that
     date-range filters prune whole directories.
 
@@ -73,8 +75,8 @@ def write_prepared(df: DataFrame, path: str, date_col: str = "date", entity_col:
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.withColumn("year", F.year(F.col(date_col)))
-        .repartitionByRange(n, "year", entity_col, date_col)
+        df.withColumn("year", F.year(F.col(spec.date)))
+        .repartitionByRange(n, "year", spec.entity, spec.date)
         .write.mode("overwrite")
         .partitionBy("year")
         .parquet(path)

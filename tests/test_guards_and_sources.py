@@ -100,3 +100,12 @@ def test_write_prepared_partitions_by_year(prepared_fixture, tmp_path):
     back = prepared_fixture.sparkSession.read.parquet(out)
     assert back.count() == prepared_fixture.count()
     assert back.where(F.col("year") == 2021).count() == back.count()
+
+
+def test_csv_keeps_whitespace_and_matches_tokens_exactly(spark, tmp_path):
+    p = tmp_path / "ws.csv"
+    p.write_text(",country,iso_code,date,total_vaccinations,people_vaccinated,people_fully_vaccinated,"
+                 "New_deaths,population,ratio\n1, Alpha,NA,2021-01-01,1,1,1, NA,10,n/a\n")
+    r = read_panel_csv(spark, str(p)).first()
+    assert r["country"] == " Alpha" and r["iso_code"] is None and r["ratio"] is None
+    assert r["New_deaths"] == " NA"  # not a missing token for pandas either; typing makes it NULL -> 0
