@@ -308,14 +308,15 @@ def geo_snapshot(full: DataFrame, metric: str = "Cumulative_New_Deaths", spec: P
 
 # --------------------------------------------------------------------- A17/J1
 def latest_rows(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Every row at its entity's latest date (ties kept)."""
-    w = Window.partitionBy(spec.entity)
-    return (
-        _keyed(df, spec.entity)
-        .withColumn("_latest", F.max(spec.date).over(w))
-        .where(F.col(spec.date) == F.col("_latest"))
-        .drop("_latest")
-    )
+    """Every row at its entity's latest date (ties kept).
+
+    The latest date per entity is a partial-aggregated group-by (one row per
+    entity), joined back on (entity, date): AQE broadcasts it when small, so
+    the panel itself is not shuffled -- unlike a window over each entity.
+    """
+    keyed = _keyed(df, spec.entity)
+    latest = keyed.groupBy(spec.entity).agg(F.max(spec.date).alias(spec.date))
+    return keyed.join(latest, on=[spec.entity, spec.date], how="left_semi")
 
 
 def vaccination_status(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
