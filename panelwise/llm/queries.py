@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import quality_divergence, sql
+from panelwise.llm import best_fit_packing, quality_divergence, source_mixing, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_distribution_divergence(spark, sf_dir):
     report = quality_divergence.divergence_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_low_discrepancy_mix", sql.mixing_sql())
+def op5_low_discrepancy_mix(spark, sf_dir):
+    mix = source_mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")

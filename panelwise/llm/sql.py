@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelwise.llm import source_mixing as mixing
 from panelwise.llm.quality_divergence import DivergenceLimits
 
 
@@ -53,3 +54,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(cd > {limits.max_class_distance}, false) AND NOT coalesce(wd > {limits.max_word_distance}, false) AS kept
 FROM m"""
+
+
+def mixing_sql(seed: int = 42) -> str:
+    block, modulus = mixing.BLOCK, mixing.MODULUS
+    return rf"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':{seed}')) AS key FROM documents),
+a AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM s GROUP BY source),
+b AS (SELECT *, CAST([{', '.join(map(str, mixing.WEIGHTS))}][number % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight,
+      CAST({mixing.MOST} AS DOUBLE) * source_size AS lim FROM a),
+c AS (SELECT *, (CAST({mixing.SHARE} AS DOUBLE) * sum(source_size) OVER ()
+      - coalesce(sum(lim) OVER (ORDER BY lim / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY lim / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
+e AS (SELECT *, max(CASE WHEN level * weight <= lim THEN level END) OVER () AS final FROM c),
+t AS (SELECT source, number, source_size, least(coalesce(final * weight, lim), lim) AS target FROM e),
+i AS (SELECT *, CAST(round(sum(target) OVER (ORDER BY number) / sum(target) OVER () * {modulus}) AS BIGINT) AS hi FROM t),
+j AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY number), 0) AS lo FROM i),
+p AS (SELECT slot, (slot % {modulus} + 1) * {mixing.STEP} % {modulus} AS point FROM (
+      SELECT unnest(range(CAST(ceil((SELECT sum(target) FROM t) / {block}) AS BIGINT))) AS slot)),
+r AS (SELECT number, source_size, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank FROM p JOIN j ON point >= lo AND point < hi),
+u AS (SELECT number, rank % greatest((source_size + {block - 1}) // {block}, 1) AS block, count(*) AS uses FROM r
+      WHERE rank // greatest((source_size + {block - 1}) // {block}, 1) < {mixing.MOST} GROUP BY ALL),
+o AS (SELECT s.*, number, source_size, target,
+      sum(size) OVER (PARTITION BY number ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+      FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT row_number() OVER () AS row_id, * FROM o),
+k AS (SELECT row_id, unnest(range(CAST(start // {block} AS BIGINT), CAST((start + size - 1) // {block} AS BIGINT) + 1)) AS block FROM x WHERE size > 0),
+y AS (SELECT k.row_id, sum((least(start + size, (k.block + 1) * {block}) - greatest(start, k.block * {block})) * coalesce(uses, 0)) AS taken
+      FROM k JOIN x USING (row_id) LEFT JOIN u ON u.number = x.number AND u.block = k.block GROUP BY k.row_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM x LEFT JOIN y USING (row_id)"""
