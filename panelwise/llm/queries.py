@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import best_fit_packing, quality_divergence, source_mixing, sql
+from panelwise.llm import best_fit_packing, flow_resharding, quality_divergence, source_mixing, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op2_best_fit_packing(spark, sf_dir):
 def op5_low_discrepancy_mix(spark, sf_dir):
     mix = source_mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_flow_resharding")
+def op10_flow_resharding(spark, sf_dir):
+    return flow_resharding.sharded_report(table(spark, sf_dir, "documents"))
