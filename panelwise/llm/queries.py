@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import best_fit_packing, flow_resharding, quality_divergence, source_mixing, sql
+from panelwise.llm import best_fit_packing, flow_resharding, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op5_low_discrepancy_mix(spark, sf_dir):
 @query("op10_flow_resharding")
 def op10_flow_resharding(spark, sf_dir):
     return flow_resharding.sharded_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_seekable_warc", sql.WARC)
+def op4_seekable_warc(spark, sf_dir):
+    return warc_bundles.archived_pages(table(spark, sf_dir, "pages"))

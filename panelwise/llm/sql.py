@@ -85,3 +85,11 @@ y AS (SELECT k.row_id, sum((least(start + size, (k.block + 1) * {block}) - great
       FROM k JOIN x USING (row_id) LEFT JOIN u ON u.number = x.number AND u.block = k.block GROUP BY k.row_id)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM x LEFT JOIN y USING (row_id)"""
+
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM q"""
