@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import best_fit_packing, flow_resharding, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op10_flow_resharding(spark, sf_dir):
 @query("op4_seekable_warc", sql.WARC)
 def op4_seekable_warc(spark, sf_dir):
     return warc_bundles.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op9_spherical_cap_filters")
+def op9_spherical_cap_filters(spark, sf_dir):
+    return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))

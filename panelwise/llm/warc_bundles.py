@@ -35,6 +35,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 28
+#: Frames that a reading task gets, about.
+FRAMES_A_TASK = 16
 LEAST = 1000
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
 INDEX = "page_id bigint, bundle string, frame int, frame_start bigint, frame_bytes bigint, record_offset bigint, record_bytes bigint"
@@ -194,7 +196,8 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
     The digest is taken anew from a response's payload and checked against its header.
     """
-    frames = index.select("bundle", "frame").distinct()
+    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n"))
+    tasks = max(1, -(-frames.count() // FRAMES_A_TASK))  # rows this few would else be coalesced into one task
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = [x.split()[0] for x in RECORD.split(", ")]
 
@@ -221,7 +224,7 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return frames.repartition("bundle", F.floor(F.col("frame") / 8)).mapInArrow(read, RECORD)
+    return frames.select("bundle", "frame").repartition(tasks, "bundle", F.floor(F.col("frame") / FRAMES_A_TASK)).mapInArrow(read, RECORD)
 
 
 def archived_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
