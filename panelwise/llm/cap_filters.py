@@ -84,40 +84,42 @@ def _unit(raw: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _share_earlier(i: np.ndarray, j: np.ndarray, filters: list[np.ndarray], f: int) -> np.ndarray:
+    """Whether each pair of rows shares a filter below f, by products of the rows' incidence with those filters."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    lists = [filters[k][filters[k] < f] for k in used]
+    if not len(used):
+        return np.zeros(0, bool)
+    known, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(used)), list(map(len, lists)))
+    several = count > 1
+    column, row = (np.cumsum(several) - 1)[column[several[column]]], row[several[column]]
+    shared = np.zeros((len(used),) * 2, bool)
+    for at in range(0, int(several.sum()), 2048):
+        here = (column >= at) & (column < at + 2048)
+        m = np.zeros((len(used), 2048), np.float32)
+        m[row[here], column[here] - at] = 1
+        shared |= m @ m.T > 0.5
+    return shared[place[:len(i)], place[len(i):]]
+
+
 def linked_within(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of one group: per class, the copies it links with that count in this filter, and its local component."""
     f, lo, hi = (int(g[c].iloc[0]) for c in ("filter", "lo", "hi"))
     g = g.sort_values("rep_id", ignore_index=True)
     x, part, n = _unit(g["vector"]), g["part"].to_numpy(), len(g)
-    width = max(map(len, g["filters"]))
-    known = np.full((n, width), -1, np.int32)
-    for i, fs in enumerate(g["filters"]):
-        fs = np.asarray(fs)
-        fs = fs[fs < f]
-        known[i, :len(fs)] = fs
-    links, label = np.zeros(n, np.int64), np.arange(n)
-    copies = g["copies"].to_numpy(np.int64)
-    mine = np.flatnonzero(part == lo)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(n)
+    mine, pairs = np.flatnonzero(part == lo), []
     for at in range(0, len(mine), 512):
         rows = mine[at:at + 512]
-        near = x[rows] @ x.T >= threshold
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(x[rows] @ x.T >= threshold)
         i = rows[i]
         keep = (j > i) if lo == hi else part[j] == hi
-        i, j = i[keep], j[keep]
-        pairs.append((i.astype(np.int32), j.astype(np.int32)))
-        for k in range(0, len(i), 50_000):
-            a, b = i[k:k + 50_000], j[k:k + 50_000]
-            before = np.zeros(len(a), bool)
-            for c in range(width):
-                one = known[a, c]
-                if not (one >= 0).any():
-                    break
-                before |= ((known[b] == one[:, None]) & (one >= 0)[:, None]).any(axis=1)
-            np.add.at(links, a[~before], copies[b[~before]])
-            np.add.at(links, b[~before], copies[a[~before]])
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int32),) * 2
+        pairs.append((i[keep], j[keep]))
+    i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    first = ~_share_earlier(i, j, [np.asarray(fs) for fs in g["filters"]], f)
+    copies = g["copies"].to_numpy(np.int64)
+    links = np.bincount(i[first], copies[j[first]], n).astype(np.int64) + np.bincount(j[first], copies[i[first]], n).astype(np.int64)
     while len(i):  # least label over links, then over labels
         least = np.minimum(label[i], label[j])
         new = label.copy()
