@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, order_minhash, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op4_seekable_warc(spark, sf_dir):
 @query("op9_spherical_cap_filters")
 def op9_spherical_cap_filters(spark, sf_dir):
     return cap_filters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark, sf_dir):
+    return order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
