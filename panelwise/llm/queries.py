@@ -10,8 +10,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, order_minhash, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +69,9 @@ def op9_spherical_cap_filters(spark, sf_dir):
 @query("op6_order_minhash")
 def op6_order_minhash(spark, sf_dir):
     return order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_pii_surrogates")
+def op3_pii_surrogates(spark, sf_dir):
+    found = pii_surrogates.replace_entities(table(spark, sf_dir, "documents"), key="panelwise-demo-key")
+    return found.select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
