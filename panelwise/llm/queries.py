@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import best_fit_packing, cap_filters, flow_resharding, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import best_fit_packing, byte_cnn, cap_filters, flow_resharding, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op6_order_minhash(spark, sf_dir):
 def op3_pii_surrogates(spark, sf_dir):
     found = pii_surrogates.replace_entities(table(spark, sf_dir, "documents"), key="panelwise-demo-key")
     return found.select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
+@query("op7_byte_cnn")
+def op7_byte_cnn(spark, sf_dir):
+    return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
