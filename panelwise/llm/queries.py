@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import best_fit_packing, byte_cnn, cap_filters, flow_resharding, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import best_fit_packing, byte_cnn, cap_filters, flow_resharding, license_dice, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op3_pii_surrogates(spark, sf_dir):
 @query("op7_byte_cnn")
 def op7_byte_cnn(spark, sf_dir):
     return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_license_dice")
+def op8_license_dice(spark, sf_dir):
+    return license_dice.scan_documents(table(spark, sf_dir, "documents"))
