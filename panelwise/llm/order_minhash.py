@@ -9,8 +9,8 @@ a banded alignment of their shingles: similarity is the aligned shingles
 over all shingles of both, at least 0.8.
 
 Equal texts are one class first.  Buckets are never expanded into all pairs:
-each round compares a bucket's members with one of them, its leader, unless
-connected with it, and drops the buckets whose members are connected by then;
+each round compares a bucket's members with a few of them, its leaders, unless
+connected with them, and drops the buckets whose members are connected by then;
 only members still in different components are compared with each other at
 the end, all of them.  So classes
 equal the components of all links among candidates.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,13 @@ WANTED_ROWS = 400_000
 @dataclass(frozen=True)
 class OrderMinHash:
     shingle: int = 5
-    sketches: int = 16
-    picked: int = 3
+    sketches: int = 32
+    picked: int = 5
     similarity: float = 0.8
-    star_rounds: int = 6
+    #: leaders of a bucket in each round
+    leaders: tuple[int, ...] = (1, 2, 4)
+    #: texts of a bucket compared with as many at once
+    chunk: int = 1000
     seed: int = 42
 
 
@@ -249,31 +253,78 @@ def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFra
             out = out.unionByName(t)
         return out
 
-    def test(pairs: DataFrame) -> int:
-        """Verify the pairs not tested so far; gives the number of new links."""
+    def test(pairs: DataFrame) -> None:
+        """Verify the pairs not tested so far."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(union(tested), ["a", "b"], "left_anti") if tested else pairs, "omh-pairs")
         tested.append(pairs)
         links.append(written(verified(pairs, texts, p), "omh-links"))
-        return links[-1].count()
 
-    for k in range(p.star_rounds):
+    for k, many in enumerate(p.leaders):
         order = F.xxhash64("rep", F.lit(p.seed + k))
-        leaders = members.groupBy("bucket", "key").agg(F.min_by("rep", order).alias("leader"), F.min_by("component", order).alias("led"))
+        leaders = members.groupBy("bucket", "key", F.pmod(F.hash(order), F.lit(many)).alias("of")).agg(
+            F.min_by("rep", order).alias("leader"), F.min_by("component", order).alias("led"))
         pairs = members.join(leaders, ["bucket", "key"]).where("component <> led").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        if not test(pairs):
-            break
+        test(pairs)
         joined = components(union(links)).withColumnRenamed("node", "rep")
         members = members.drop("component").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         members = _unfinished(members)
         if members.isEmpty():
             return union(links)
-    other = members.select("bucket", "key", F.col("rep").alias("b"), F.col("component").alias("other"))
-    rest = members.withColumnRenamed("rep", "a").join(other, ["bucket", "key"]).where("component < other")
-    test(rest.select("a", "b"))
+    links.append(written(_links_in_buckets(members, texts, p), "omh-links"))
     return union(links)
 
 
+def _links_in_buckets(members: DataFrame, texts: DataFrame, p: OrderMinHash) -> DataFrame:
+    """Links between components within each bucket, from all pairs of its texts, a pair of chunks a group."""
+    sizes = members.groupBy("bucket", "key").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks"))
+    d = members.join(sizes, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    d = d.select("bucket", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
+    d = d.join(texts, "rep")
+    return d.groupBy("bucket", "key", "lo", "hi").applyInPandas(lambda g: linked_in_group(g, p), "a bigint, b bigint")
+
+
+def linked_in_group(g: pd.DataFrame, p: OrderMinHash) -> pd.DataFrame:
+    """Links that connect different components of one group.
+
+    Products of the texts' incidence with labelled shingles give each pair's
+    shared shingles, which bounds its similarity; the pairs that pass are
+    aligned, unless connected already.
+    """
+    sets = [shingles(t, p.shingle) for t in g["text"]]
+    size, part = np.array([len(s) for s in sets]), g["part"].to_numpy()
+    row = np.repeat(np.arange(len(sets)), size)
+    labelled = np.concatenate([s + _occurrences(s) * np.uint64(_PRIME) for s in sets])
+    _, column, count = np.unique(labelled, return_inverse=True, return_counts=True)
+    several = count > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    shared = np.zeros((len(sets),) * 2, np.float32)
+    for at in range(0, int(several.sum()), 2048):
+        here = (column >= at) & (column < at + 2048)
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[row[here], column[here] - at] = 1
+        shared += m @ m.T
+    near = shared >= p.similarity * (size[:, None] + size[None, :] - shared) - 1e-3
+    lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+    near &= np.triu(np.ones_like(near), 1) if lo == hi else (part == lo)[:, None] & (part == hi)[None, :]
+    root = {c: c for c in g["component"].tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    own, ids, found = g["component"].to_numpy(), g["rep"].to_numpy(), []
+    for i, j in zip(*np.nonzero(near)):
+        x, y = find(int(own[i])), find(int(own[j]))
+        if x != y and aligned_similarity(sets[i], sets[j], p.similarity) >= p.similarity:
+            root[max(x, y)] = min(x, y)
+            found.append((int(ids[i]), int(ids[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def near_duplicate_classes(docs: DataFrame, p: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), kept (it is that document).
 
