@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 SIGNIFICANT_DIGITS = 9
 _TOP_EXP = 18
-_BOTTOM_EXP = -9
+_BOTTOM_EXP = -30
 
 
 def stable_round_sql(col: str, digits: int = SIGNIFICANT_DIGITS, dialect: str = "spark") -> str:
@@ -29,7 +29,8 @@ def stable_round_sql(col: str, digits: int = SIGNIFICANT_DIGITS, dialect: str =
     a literal array; then x is scaled, rounded to an integer and scaled back
     with plain IEEE operations.  (Where log10 could differ in the last bit
     between engines, x is within ~1e-15 of a power of ten and both possible
-    k round it to that same power.)  |x| < 1e-9 publishes +0.0.
+    k round it to that same power.)  Whole
+    numbers below 2^53 are published as they are; |x| < 1e-30 publishes +0.0.
     """
     k = f"CAST(least(greatest(floor(log10(abs({col}))), {_BOTTOM_EXP}), {_TOP_EXP}) AS INT)"
     top_small = digits - 1  # k <= digits-1: multiply by 10**(digits-1-k)
@@ -43,6 +44,7 @@ def stable_round_sql(col: str, digits: int = SIGNIFICANT_DIGITS, dialect: str =
         down = f"list_extract([{downs}]::DOUBLE[], {k} - {digits - 1})"
     return (
         f"CASE WHEN {col} IS NULL THEN NULL "
+        f"WHEN {col} = floor({col}) AND abs({col}) < 9007199254740992 THEN CAST({col} AS DOUBLE) "
         f"WHEN abs({col}) < 1e{_BOTTOM_EXP} THEN CAST(0 AS DOUBLE) "
         f"WHEN {k} <= {top_small} THEN round({col} * {up}, 0) / {up} "
         f"ELSE round({col} / {down}, 0) * {down} END"

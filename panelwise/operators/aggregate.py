@@ -363,26 +363,17 @@ def trend_series(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) ->
 def top_bottom(df: DataFrame, metric: str, n: int | None = None, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """K2: the ``n`` entities with the highest and the lowest mean ``metric``.
 
-    Default ``n`` = min(5, entity count), capped at min(10, entity count).
+    Default ``n`` = 5; with fewer entities both lists hold all of them.
     Both lists are sorted descending (the bottom list is the tail of the
     descending ranking).  Each side is a TakeOrderedAndProject: a per-task
     top-n, then one merge of n rows per task.
     """
-    e = spec.entity
+    e, n = spec.entity, 5 if n is None else int(n)
     means = _keyed(df, e).groupBy(e).agg(F.avg(metric).alias("avg_metric"))
-    count_e = means.select(F.count(F.lit(1))).scalar()
-    if n is None:
-        limit = F.least(F.lit(5), count_e)
-    else:
-        limit = F.least(F.lit(int(n)), F.lit(10), count_e)
-    w_top = Window.orderBy(F.desc_nulls_last("avg_metric"), F.asc(e))
-    # n is at most 10: take the 10 first per side, then keep `limit` of them.
-    top = means.orderBy(F.desc_nulls_last("avg_metric"), F.asc(e)).limit(10)
-    bottom = means.orderBy(F.asc_nulls_first("avg_metric"), F.desc(e)).limit(10)
-    top = top.withColumn("position", F.row_number().over(w_top)).where(F.col("position") <= limit)
-    w_bot = Window.orderBy(F.asc_nulls_first("avg_metric"), F.desc(e))
-    bottom = bottom.withColumn("_pos", F.row_number().over(w_bot)).where(F.col("_pos") <= limit)
-    bottom = bottom.withColumn("position", F.row_number().over(w_top)).drop("_pos")
+    descending = Window.orderBy(F.desc_nulls_last("avg_metric"), F.asc(e))
+    top = means.orderBy(F.desc_nulls_last("avg_metric"), F.asc(e)).limit(n)
+    bottom = means.orderBy(F.asc_nulls_first("avg_metric"), F.desc(e)).limit(n)
+    top, bottom = (x.withColumn("position", F.row_number().over(descending)) for x in (top, bottom))
     return top.withColumn("side", F.lit("top")).unionByName(bottom.withColumn("side", F.lit("bottom"))).select(
         "side", "position", e, "avg_metric"
     )

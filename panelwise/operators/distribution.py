@@ -75,12 +75,8 @@ def histogram(df: DataFrame, col: str, max_bins: int = 30) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- A20
-KDE_EXACT_DISTINCT = 1_000_000
-KDE_BINS = 65536
-
-
 def kde(df: DataFrame, col: str, by: str | None = None, grid_size: int = 200, cut: float = 3.0,
-        exact_distinct: int = KDE_EXACT_DISTINCT, bins: int = KDE_BINS) -> DataFrame:
+        bins: int | None = None) -> DataFrame:
     """Gaussian KDE on a ``grid_size``-point grid, per group (``by``) or
     overall; each group's curve integrates to 1 (no common norm).
 
@@ -88,11 +84,10 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid_size: int = 200, cu
     to max + cut*bw (cut=3 for density plots, 0 for the histogram overlay).
     Groups with fewer than two values or no spread are skipped.
     Values are first collapsed to (group, value, multiplicity), so repeated
-    values cost one kernel evaluation per grid point.  A group with more than
-    ``exact_distinct`` distinct values (HyperLogLog estimate) is first binned
-    into ``bins`` equal-width bins at their centres: the cost per group is
-    then bounded by grid_size x bins, with a relative error of order
-    (bin width / bandwidth)^2 / 24.  Smaller groups are evaluated exactly.
+    values cost one kernel evaluation per grid point.  All values are exact
+    unless the caller asks for ``bins``: then each group's values are first
+    put at the centres of that many equal-width bins, with a relative error
+    of order (bin width / bandwidth)^2 / 24.
     """
     g = F.col(by) if by else F.lit("all")
     x = F.col(col).cast("double")
@@ -100,21 +95,18 @@ def kde(df: DataFrame, col: str, by: str | None = None, grid_size: int = 200, cu
     stats = (
         base.groupBy("grp")
         .agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-             F.min("x").alias("xmin"), F.max("x").alias("xmax"),
-             (F.approx_count_distinct("x") > F.lit(exact_distinct)).alias("binned"))
+             F.min("x").alias("xmin"), F.max("x").alias("xmax"))
         .where((F.col("n") >= 2) & (F.col("sd") > 0))
         .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
         .withColumn("g_lo", F.col("xmin") - F.col("bw") * F.lit(cut))
         .withColumn("g_hi", F.col("xmax") + F.col("bw") * F.lit(cut))
     )
-    width = (F.col("xmax") - F.col("xmin")) / F.lit(bins)
-    centre = F.col("xmin") + (F.least(F.floor((F.col("x") - F.col("xmin")) / width), F.lit(bins - 1)) + 0.5) * width
-    values = (
-        base.join(stats.select("grp", "xmin", "xmax", "binned"), on="grp")
-        .select("grp", F.when(F.col("binned"), centre).otherwise(F.col("x")).alias("x"))
-        .groupBy("grp", "x")
-        .agg(F.count(F.lit(1)).alias("mult"))
-    )
+    kept = base
+    if bins is not None:
+        width = (F.col("xmax") - F.col("xmin")) / F.lit(bins)
+        centre = F.col("xmin") + (F.least(F.floor((F.col("x") - F.col("xmin")) / width), F.lit(bins - 1)) + 0.5) * width
+        kept = base.join(stats.select("grp", "xmin", "xmax"), on="grp").select("grp", centre.alias("x"))
+    values = kept.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("mult"))
     step = (F.col("g_hi") - F.col("g_lo")) / F.lit(grid_size - 1)
     gx = F.when(F.col("i") == grid_size - 1, F.col("g_hi")).otherwise(F.col("g_lo") + F.col("i") * step)
     z = (F.col("gx") - F.col("x")) / F.col("bw")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwise.functions.columns import clamp_zero, half_even_int, safe_div
 from panelwise.operators.aggregate import mean_defaults, median_defaults
+from panelwise.sources.panel_io import PanelSourceError, require_path
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 # The two models' targets and feature lists, in model order.
@@ -175,17 +176,19 @@ def save_models(models: dict, path: str) -> None:
 
 def load_models(path: str, required=("deaths",), optional=("vaccinations",)):
     """(models, features); a missing optional model is ``None``, a missing
-    required one raises."""
+    required one raises.  Only a missing path is "missing"; a model that is
+    there but can't be read raises its own error."""
     models, feats = {}, {}
+    spark = SparkSession.getActiveSession()
     for name in tuple(required) + tuple(optional):
         try:
-            m = PipelineModel.load(f"{path}/{name}")
-        except Exception as exc:  # noqa: BLE001 - Spark raises several error types
+            require_path(spark, f"{path}/{name}")
+        except PanelSourceError as exc:
             if name in required:
                 raise FileNotFoundError(f"required model '{name}' not found under {path}") from exc
             models[name], feats[name] = None, None
             continue
-        models[name] = m
+        m = models[name] = PipelineModel.load(f"{path}/{name}")
         feats[name] = list(m.stages[0].getInputCols())
     return models, feats
 
@@ -232,6 +235,9 @@ def validate_scenarios(frame: DataFrame, model_name: str) -> DataFrame:
     ]
     if model_name == "vaccinations":
         checks.append(("New_deaths out of [0, 5000]", ~F.col("New_deaths").between(0, 5000)))
+    # a bound holds only for the model's own features and the population they are scaled by
+    own = set(FEATURES[model_name]) | {"population"}
+    checks = [(text, bad) for text, bad in checks if text.split()[0] in own]
     reason = F.lit(None).cast("string")
     for text, bad in reversed(checks):
         reason = F.when(F.coalesce(bad, F.lit(True)), F.lit(text)).otherwise(reason)
@@ -240,10 +246,10 @@ def validate_scenarios(frame: DataFrame, model_name: str) -> DataFrame:
 
 def score_scenarios(model: PipelineModel, frame: DataFrame, model_name: str) -> DataFrame:
     """M5 + M7: score the valid scenarios; invalid ones keep a NULL prediction."""
-    feats = FEATURES[model_name]
-    valid = frame.where("valid")
-    scored = predict(model, valid.select("scenario_id", *feats)).select("scenario_id", "prediction", "predicted_count")
-    return frame.join(scored, on="scenario_id", how="left")
+    scored = predict(model, frame.where("valid")).select(*frame.columns, "prediction", "predicted_count")
+    invalid = frame.where("not valid").select("*", F.lit(None).cast("double").alias("prediction"),
+                                              F.lit(None).cast("bigint").alias("predicted_count"))
+    return scored.unionByName(invalid)
 
 
 def prediction_defaults(filtered: DataFrame, full: DataFrame, horizon_days: int = 7,

@@ -38,7 +38,7 @@ def _as_double(df: DataFrame, name: str, lenient: bool) -> Column:
     c = F.col(name)
     if isinstance(dt, DoubleType):
         return nan_to_null(c)
-    if lenient or isinstance(dt, StringType):
+    if lenient:
         # Pd.to_numeric(errors='coerce') -> try_cast (bad token -> NULL)
         return nan_to_null(F.expr(f"try_cast(`{name}` AS DOUBLE)"))
     return nan_to_null(c.cast("double"))
@@ -54,8 +54,8 @@ def clean_panel(raw: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
         elif n == spec.population:
             cols.append(_as_double(raw, n, lenient=True).alias(n))
         elif n in FILL_ZERO_COLUMNS:
-            # fillna(0)
-            cols.append(F.coalesce(_as_double(raw, n, lenient=True), F.lit(0.0)).alias(n))
+            # fillna(0); a bad token fails the load
+            cols.append(F.coalesce(_as_double(raw, n, lenient=False), F.lit(0.0)).alias(n))
         else:
             cols.append(F.col(f"`{n}`"))
     # C4: dropna(population) and population > 0 (a NULL comparison rejects the row)

@@ -39,7 +39,10 @@ PARAMS = ml.ForestParams()
 def q_model_training(spark, sf_dir):
     """M4: train both forests (100 trees) and report held-out MSE/RMSE/R^2."""
     panel = prepared(spark, sf_dir).persist()
-    outs = [ml.train_and_evaluate(panel, name, PARAMS)[1] for name in ("deaths", "vaccinations")]
+    try:
+        outs = [ml.train_and_evaluate(panel, name, PARAMS)[1] for name in ("deaths", "vaccinations")]
+    finally:
+        panel.unpersist()
     return outs[0].unionByName(outs[1])
 
 
@@ -133,7 +136,10 @@ def q_scenario_validation(spark, sf_dir):
 def q_scenario_scores(spark, sf_dir):
     """M5 + M7: score the valid scenarios with the deaths forest."""
     panel = prepared(spark, sf_dir).persist()
-    model = ml.fit_model(panel, "deaths", PARAMS)
+    try:
+        model = ml.fit_model(panel, "deaths", PARAMS)
+    finally:
+        panel.unpersist()
     return ml.score_scenarios(model, _scenario_frame(panel), "deaths")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwise.spec import DEFAULT_SPEC, RAW_CSV_SCHEMA, RAW_COLUMNS, PanelSpec
+from panelwise.spec import DEFAULT_SPEC, RAW_COLUMNS, PanelSpec
 
 # The tokens pandas' CSV reader treats as missing by default.
 NA_TOKENS = (
@@ -30,25 +30,30 @@ def require_path(spark: SparkSession, path: str) -> str:
 
 
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV whose first column is the row id; every other value as text.
+    """CSV read by its header: the first column is the row id, the others go by name, every value as text.
 
-    Missing-value tokens become NULL here; typing (strict dates, lenient
-    numbers) is done by :func:`panelwise.operators.prepare.clean_panel`.
+    Columns may come in any order; a missing one raises, columns beyond the
+    schema are passed through.  Missing-value tokens become NULL here; typing
+    (strict dates and counters, lenient population) is done by
+    :func:`panelwise.operators.prepare.clean_panel`.
     """
     require_path(spark, path)
     df = (
-        spark.read.schema(RAW_CSV_SCHEMA)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("mode", "FAILFAST")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    row_id, *found = df.columns
+    missing = [c for c in RAW_COLUMNS[1:] if c not in found]
+    if missing:
+        raise ValueError(f"the panel source lacks the columns {missing}")
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
-    cols = [F.col(RAW_COLUMNS[0])]
-    for c in RAW_COLUMNS[1:]:
+    cols = [F.col(f"`{row_id}`").cast("bigint").alias(RAW_COLUMNS[0])]
+    for c in [*RAW_COLUMNS[1:], *(x for x in found if x not in RAW_COLUMNS)]:
         # exact token match on the raw field, as pandas does (no whitespace stripping)
-        v = F.col(c)
+        v = F.col(f"`{c}`")
         cols.append(F.when(F.array_contains(tokens, v), F.lit(None)).otherwise(v).alias(c))
     return df.select(*cols)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,8 @@ class PanelSpec:
     ratio: str = "ratio"
 
     def order(self):
-        """Window ordering inside one entity: date, then row id."""
-        return [self.date, self.row_id]
+        """Window ordering inside one entity: date (undated rows last), then row id."""
+        return [F.asc_nulls_last(self.date), F.asc(self.row_id)]
 
 
 DEFAULT_SPEC = PanelSpec()

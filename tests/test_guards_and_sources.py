@@ -109,3 +109,32 @@ def test_csv_keeps_whitespace_and_matches_tokens_exactly(spark, tmp_path):
     r = read_panel_csv(spark, str(p)).first()
     assert r["country"] == " Alpha" and r["iso_code"] is None and r["ratio"] is None
     assert r["New_deaths"] == " NA"  # not a missing token for pandas either; typing makes it NULL -> 0
+
+
+def test_csv_goes_by_header(spark, tmp_path):
+    p = tmp_path / "p.csv"
+    p.write_text(",iso_code,country,extra,date,total_vaccinations,people_vaccinated,people_fully_vaccinated,New_deaths,population,ratio\n"
+                 "1,AAA,Alpha,e,2021-01-01,1,2,3,4,1000,5\n2,AAA,Alpha,e,2021-01-02,12abc,2,3,4,1000,5\n")
+    r = read_panel_csv(spark, str(p)).first()
+    assert (r["country"], r["iso_code"], r["extra"], r["row_id"]) == ("Alpha", "AAA", "e", 1)
+    with pytest.raises(Exception, match="12abc"):
+        prepare_panel(read_panel_csv(spark, str(p))).collect()
+    q = tmp_path / "q.csv"
+    q.write_text(",country,date\n1,Alpha,2021-01-01\n")
+    with pytest.raises(ValueError, match="iso_code"):
+        read_panel_csv(spark, str(q))
+
+
+def test_undated_rows_come_last(spark, raw_csv_path, tmp_path):
+    p = tmp_path / "n.csv"
+    head = open(raw_csv_path).readline()
+    p.write_text(head + "1,A,AAA,2021-01-01,10,1,1,1,100,1\n2,A,AAA,2021-01-02,20,1,1,1,100,1\n3,A,AAA,,4,1,1,1,100,1\n")
+    got = {r["row_id"]: r["daily_vaccinations"] for r in prepare_panel(read_panel_csv(spark, str(p))).collect()}
+    assert got == {1: 0.0, 2: 10.0, 3: 0.0}
+
+
+def test_top_bottom_takes_the_limit_asked_for(spark):
+    from panelwise.operators import aggregate as agg
+
+    d = spark.createDataFrame([(f"c{i:02d}", float(i)) for i in range(30)], "country string, m double")
+    assert agg.top_bottom(d, "m", n=15).count() == 30

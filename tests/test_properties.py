@@ -200,7 +200,7 @@ def test_kde_binned_path_close_to_exact(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(float(v),) for v in rng.normal(0, 1, 4000)], "v double")
     exact = dist.kde(df, "v").toPandas().sort_values("grid_index")
-    binned = dist.kde(df, "v", exact_distinct=10, bins=4096).toPandas().sort_values("grid_index")
+    binned = dist.kde(df, "v", bins=4096).toPandas().sort_values("grid_index")
     assert np.allclose(exact["x"], binned["x"])
     assert np.max(np.abs(exact["density"].to_numpy() - binned["density"].to_numpy())) < 1e-4
 
