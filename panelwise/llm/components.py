@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 from panelwise.llm.shared import written
 
 
+#: Links in a file of a round's table, and files at least.
+LINKS_A_FILE, MIN_FILES = 200_000, 12
+
+
+def _both_ways(e: DataFrame) -> DataFrame:
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _both_ways(e)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -32,14 +40,19 @@ def components(links: DataFrame) -> DataFrame:
     no harm; no links give no rows.
     """
     x, y = links.columns
+
+    def put(df: DataFrame, name: str, rows: int) -> DataFrame:
+        return written(df.coalesce(MIN_FILES + rows // LINKS_A_FILE), name)
+
     e = links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where(
         F.col(x).isNotNull() & F.col(y).isNotNull()).where("a <> b").distinct()
-    state, e = None, written(e, "links")
+    e = written(e, "links")
     while True:
-        new = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if new == state or not new[0]:
+        each = _both_ways(e).groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        ends, open_nodes = each.agg(F.sum("n"), F.count_if(F.expr("m < a and n > 1"))).first()
+        if not open_nodes:  # every node is the least of its neighbours, or has one neighbour, which is less
             break
-        state, e = new, written(_small_star(written(_large_star(e), "large-star")), "small-star")
+        e = put(_small_star(put(_large_star(e), "large-star", ends)), "small-star", ends)
     # every edge now leads from a node to the least of its component
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -45,7 +45,7 @@ class OrderMinHash:
     picked: int = 5
     similarity: float = 0.8
     #: leaders of a bucket in each round
-    leaders: tuple[int, ...] = (1, 2, 4)
+    leaders: tuple[int, ...] = (1,)
     #: texts of a bucket compared with as many at once
     chunk: int = 1000
     seed: int = 42
@@ -234,6 +234,15 @@ def _unfinished(members: DataFrame) -> DataFrame:
     return written(members.join(several.select("bucket", "key"), ["bucket", "key"]), "omh-members")
 
 
+def _still_open(members: DataFrame) -> DataFrame:
+    """Unfinished members after a round: it compared both texts of buckets of two; of buckets of the same texts one is enough."""
+    sets = members.groupBy("bucket", "key").agg(
+        F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"),
+        *(F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(20,0)")).alias(f"set_{i}") for i in (0, 1))).where("x <> y and n > 2")
+    one = sets.groupBy("n", "set_0", "set_1").agg(F.min(F.struct("bucket", "key")).alias("of")).select("of.*")
+    return written(members.join(one, ["bucket", "key"]), "omh-members")
+
+
 def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame | None:
     """Links (a, b) whose components are those of all similar candidates; ``classes`` has rep, digest, sketch."""
     members = _unfinished(classes.select("rep", F.posexplode("sketch").alias("bucket", "key")).withColumn("component", F.col("rep")))
@@ -268,7 +277,7 @@ def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFra
         test(pairs)
         joined = components(union(links)).withColumnRenamed("node", "rep")
         members = members.drop("component").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        members = _unfinished(members)
+        members = _still_open(members)
         if members.isEmpty():
             return union(links)
     links.append(written(_links_in_buckets(members, texts, p), "omh-links"))
