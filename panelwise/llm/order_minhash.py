@@ -34,6 +34,8 @@ from panelwise.llm.shared import ship_by_value, written
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _SLICE = 1 << 20
+#: Values of a hash function expected under the limit below which its least are sought.
+_EXPECTED = 24
 #: Ids and digests of texts to verify that are broadcast at most (about 100 bytes each); beyond, a plain join.
 WANTED_ROWS = 400_000
 
@@ -114,21 +116,38 @@ def _occurrences(s: np.ndarray) -> np.ndarray:
     return label
 
 
+def _least_places(v: np.ndarray, take: int) -> np.ndarray:
+    """Per row of v, the places of its ``take`` least values, in text order."""
+    rows, n = v.shape
+    if take == n:
+        return np.tile(np.arange(n), (rows, 1))
+    if n > 4 * _EXPECTED:  # values are spread evenly: few lie under the limit, which are then sorted, by row
+        flat = np.flatnonzero(v < np.uint64(int(_EXPECTED / n * 2**64)))
+        row = flat // n
+        count = np.bincount(row, minlength=rows)
+        if count.min() >= take:
+            bits = np.uint64((rows - 1).bit_length())
+            by = (v.ravel()[flat] >> bits) | (row.astype(np.uint64) << (np.uint64(63) - bits) << np.uint64(1))
+            first = (np.cumsum(count) - count)[:, None] + np.arange(take)
+            return np.sort(flat[np.argsort(by)[first]] % n, axis=1)
+    return np.sort(np.argpartition(v, take - 1, axis=1)[:, :take], axis=1)
+
+
 def order_sketch(s: np.ndarray, p: OrderMinHash = OrderMinHash()) -> list[int]:
-    """Per hash function, the key of its least labelled shingles in text order, as a signed 64-bit number."""
+    """Per hash function, the key of its least labelled shingles in text order, as a signed 64-bit number.
+
+    The functions are products of the mixed labelled hash with odd numbers.
+    """
     if not len(s):
         return []
     labelled = _mix(s + _occurrences(s) * np.uint64(_PRIME))
-    seeds = _mix(np.arange(1, p.sketches + 1, dtype=np.uint64) * np.uint64(_PRIME) + np.uint64(p.seed))
-    keys, take = [], min(p.picked, len(s))
-    for seed in seeds if len(s) > 20_000 else [seeds]:  # long texts one function at a time
-        v = _mix(labelled[None, :] ^ np.atleast_1d(seed)[:, None])
-        least = np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(s) else np.tile(np.arange(take), (len(v), 1))
-        ordered = s[np.sort(least, axis=1)]
-        key = np.zeros(len(v), np.uint64)
-        for i in range(take):
-            key = _mix(key * np.uint64(_PRIME) + ordered[:, i])
-        keys += key.astype(np.int64).tolist()
+    odd = _mix(np.arange(1, p.sketches + 1, dtype=np.uint64) * np.uint64(_PRIME) + np.uint64(p.seed)) | np.uint64(1)
+    take = min(p.picked, len(s))
+    weights = _mix(np.arange(take, dtype=np.uint64) * np.uint64(_PRIME) + np.uint64(p.seed + 1)) | np.uint64(1)
+    keys: list[int] = []
+    for functions in np.split(odd, p.sketches) if len(s) > 20_000 else [odd]:  # long texts one function at a time
+        ordered = s[_least_places(labelled[None, :] * functions[:, None], take)]
+        keys += _mix((ordered * weights).sum(axis=1)).astype(np.int64).tolist()
     return keys
 
 
