@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from panelwise.operators import filters
 from panelwise.operators import timeseries as ts
 from panelwise.operators import windows as win
 from panelwise.plans.oracle_base import with_events, with_prepared
-from panelwise.plans.registry import prepared, register
+from panelwise.plans.registry import PREPARED_DOUBLES, prepared, register
 from panelwise.sources.driver_views import events_view
 from panelwise.spec import PanelSpec
 
 _W = "PARTITION BY country ORDER BY date, row_id"
 
-
-@register("cumulative_rolling", with_prepared(f"""
+_ROLLING_SQL = f"""
 SELECT country, date, row_id,
   CASE WHEN country IS NULL OR New_deaths IS NULL THEN NULL
        ELSE sum(New_deaths) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS Cumulative_New_Deaths,
@@ -24,13 +24,40 @@ SELECT country, date, row_id,
   CASE WHEN country IS NULL THEN NULL
        ELSE avg(daily_vaccinations) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END
     AS Rolling_Avg_Daily_Vaccinations
-FROM prepared"""), ("Cumulative_New_Deaths", "Rolling_Avg_Deaths", "Cumulative_Daily_Vaccinations",
-                    "Rolling_Avg_Daily_Vaccinations"), ("W4", "W5", "K1"))
+FROM """
+_ROLLING_DOUBLES = ("Cumulative_New_Deaths", "Rolling_Avg_Deaths", "Cumulative_Daily_Vaccinations",
+                    "Rolling_Avg_Daily_Vaccinations")
+
+@register("cumulative_rolling", with_prepared(_ROLLING_SQL + "prepared"), _ROLLING_DOUBLES, ("W4", "W5", "K1"))
 def q_cumulative_rolling(spark, sf_dir):
     """W4 + W5: running totals and 7-row trailing means per entity."""
     return win.cumulative_and_rolling(prepared(spark, sf_dir))
 
 
+#: A selection as a page makes it: some entities, a range of dates inside the panel's.
+_ENTITIES, _START, _END = ("NATION_0", "NATION_10", "NATION_12", "NATION_15"), "1996-03-01", "1999-10-31"
+_FILTERED = f"""
+, filtered AS (SELECT * FROM prepared WHERE country IN {_ENTITIES}
+               AND date BETWEEN DATE '{_START}' AND DATE '{_END}')"""
+
+
+def _filtered(spark, sf_dir):
+    return filters.filter_panel(prepared(spark, sf_dir), _ENTITIES, _START, _END)
+
+
+@register("filtered_panel", with_prepared(_FILTERED + "\nSELECT * FROM filtered"), PREPARED_DOUBLES, ("P1",))
+def q_filtered_panel(spark, sf_dir):
+    """Chosen entities and dates; features come from the whole panel, so the first kept day has its difference."""
+    return _filtered(spark, sf_dir)
+
+
+@register("filtered_cumulative_rolling", with_prepared(_FILTERED + _ROLLING_SQL + "filtered"), _ROLLING_DOUBLES,
+          ("P1", "W4", "W5"))
+def q_filtered_cumulative_rolling(spark, sf_dir):
+    """W4 + W5 on P1's rows: running totals restart at the selection's first day."""
+    return win.cumulative_and_rolling(_filtered(spark, sf_dir))
+
+
 _LAG_SQL = f"""
 , pairs AS (
   SELECT * FROM (
@@ -47,6 +74,14 @@ def q_lag_pairs(spark, sf_dir):
     return win.lag_pairs(prepared(spark, sf_dir), "New_deaths", 7)
 
 
+@register("filtered_lag_pairs", with_prepared(
+    _FILTERED + _LAG_SQL.replace("FROM prepared", "FROM filtered") + "\nSELECT * FROM pairs"),
+          ("New_deaths", "lagged_metric"), ("P1", "W6", "P7"))
+def q_filtered_lag_pairs(spark, sf_dir):
+    """W6 on P1's rows: lags reach back to the selection's first day only."""
+    return win.lag_pairs(_filtered(spark, sf_dir), "New_deaths", 7)
+
+
 @register("lag_correlation", with_prepared(_LAG_SQL + """
 SELECT country, count(*) AS n_pairs,
   covar_samp(lagged_metric, New_deaths) / nullif(stddev_samp(lagged_metric) * stddev_samp(New_deaths), 0) AS lag_corr
