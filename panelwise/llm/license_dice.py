@@ -1,16 +1,19 @@
 """License scan: Dice coefficient over word bigrams against licence templates.
 
 A text is normalised (lower case, runs of letters and digits as words,
-copyright lines left out) and each window of a template's size, from a
-bigram of the template on, is compared with the template: twice the shared
-bigrams over the bigrams of both, repeats counted.  Size bounds prune: a
-text with too few bigrams, or with too few of a template's own, can't reach
-the threshold with it.  One pass over the texts, no shuffle.
+copyright statements left out) and each window from a bigram of a template
+to another is compared with the template: twice the shared bigrams over the
+bigrams of both, repeats counted.  Windows have all the lengths that can
+reach the threshold.  Size bounds prune: a text with too few bigrams, or with
+too few of a template's own, can't reach it.  One pass over the texts, no
+shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,14 +65,22 @@ NAMES = {
 FORMS = ("Licensed under {}", "Released under {}", "This work is licensed under {}")
 
 _WORDS = re.compile(r"[^\W_]+")
-_COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright|©|\(c\)).*$", re.IGNORECASE | re.MULTILINE)
+# where notices begin; a copyright statement on the same line ends there
+_NOTICE = "|".join(sorted({r"\W+".join(map(re.escape, _WORDS.findall(t.lower())[:2])) for t in [*NOTICES.values(), *FORMS]}))
+# words that follow 'copyright' in notices themselves
+_NO_HOLDER = r"(?i:notices?|holders?|owners?|laws?|licen[cs]\w*|statements?|interests?|protect\w*|and|or|in)\b"
+# at a line's begin: copyright word or sign with a year, sign or holder; the holder's words (up to 8) if the line ends or a notice begins after them
+_COPYRIGHT = re.compile(
+    rf"^[^\w\n(©]*(?:(?i:copyright)[^\w\n]*(?:\([cC]\)|©|(?=\d{{4}})|(?i:by\b)|(?=[A-Z])(?!{_NO_HOLDER}))|©|\([cC]\)(?=[^\w\n]*(?:\d{{4}}|(?i:copyright)|[A-Z][^\n]*\d{{4}})))"
+    r"(?:[^\w\n]*(?:\d{4}|(?i:copyright|present))\b)*"
+    rf"(?:[^\w\n]*+(?:(?!(?i:{_NOTICE})\b)\w++[^\w\n]*+){{0,8}}(?=$|(?i:{_NOTICE})\b))?", re.MULTILINE)
 
 
 def normalised_words(text: str | None) -> list[str]:
     text = text or ""
     low = text.lower()
     if "copyright" in low or "©" in low or "(c)" in low:
-        low = _COPYRIGHT.sub("", low)
+        low = _COPYRIGHT.sub(" ", text).lower()
     return _WORDS.findall(low)
 
 
@@ -98,8 +109,9 @@ class LicenseScanner:
         self.sizes = [sum(c.values()) for c in self.counts]
         self.known = np.array(sorted({k for c in self.counts for k in c}))
         self.members = np.array([[k in c for k in self.known] for c in self.counts])
-        #: bigrams that a window needs at least, and shared ones in it
+        #: bigrams that a window has at least and at most, and shared ones in it
         self.least_size = [int(np.ceil(s * threshold / (2 - threshold) - 1e-9)) for s in self.sizes]
+        self.most_size = [int(s * (2 - threshold) / threshold + 1e-9) for s in self.sizes]
         self.least_shared = [threshold * (s + m) / 2 for s, m in zip(self.sizes, self.least_size)]
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
@@ -113,27 +125,55 @@ class LicenseScanner:
         if not len(hit):
             return []
         place = place[hit]
-        found = []
-        for t, template in enumerate(self.templates):
-            mine = self.members[t, place]
-            at = hit[mine]
+        near: list[tuple] = []
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for t in range(len(self.templates)):
+            at = hit[self.members[t, place]]
             if len(pairs) < self.least_size[t] or len(at) < self.least_shared[t]:
                 continue
-            codes, size = pairs[at], self.sizes[t]
-            # windows from each own bigram on; enough of them must follow within the template's size
-            ends = np.searchsorted(at, at + size)
-            for k in np.flatnonzero(ends - np.arange(len(at)) >= self.least_shared[t]):
-                length = min(size, len(pairs) - int(at[k]))
-                here = Counter(codes[k:ends[k]].tolist())
-                shared = sum(min(v, self.counts[t][c]) for c, v in here.items())
-                dice = 2 * shared / (size + length)
-                if dice >= self.threshold:
-                    found.append((-dice, -size, template.license, int(at[k]), int(at[k]) + length + 1))
+            # windows from each own bigram on; enough of them must follow within the longest window
+            follow = np.searchsorted(at, at + self.most_size[t]) - np.arange(len(at))
+            starts = np.flatnonzero(follow >= self.least_shared[t])
+            if len(starts):
+                own[t] = at, self._full_from(t, pairs[at])
+                near += [x for k in starts.tolist() if (x := self._nearest(t, *own[t], k, int(at[k]) + self.most_size[t] + 1))]
+        heapq.heapify(near)
         kept: list[tuple[str, float, int, int]] = []
-        for dice, _, name, a, z in sorted(found):
-            if all(z <= x[2] or a >= x[3] for x in kept):
-                kept.append((name, -dice, a, z))
-        return kept
+        begins: list[int] = []
+        while near:
+            dice, _, name, a, z, t, k = heapq.heappop(near)
+            i = bisect_left(begins, a)
+            if i and kept[i - 1][3] > a or i < len(kept) and begins[i] == a:
+                continue
+            if i < len(kept) and begins[i] < z:  # the nearest of the windows that end before the match kept there
+                if x := self._nearest(t, *own[t], k, begins[i]):
+                    heapq.heappush(near, x)
+                continue
+            kept.insert(i, (name, -dice, a, z))
+            begins.insert(i, a)
+        return sorted(kept, key=lambda x: (-x[1], x[0], x[2]))
+
+    def _full_from(self, t: int, codes: np.ndarray) -> np.ndarray:
+        """Per own bigram, the place of that one from which on a window has the template's repeats of it without this one; -1 for none."""
+        full, seen = np.full(len(codes), -1), {}
+        for j, c in enumerate(codes.tolist()):
+            before = seen.setdefault(c, [])
+            if len(before) >= self.counts[t][c]:
+                full[j] = before[-self.counts[t][c]]
+            before.append(j)
+        return full
+
+    def _nearest(self, t: int, at: np.ndarray, full: np.ndarray, k: int, end: int) -> tuple | None:
+        """The nearest window from own bigram ``k`` on up to word ``end``, if near enough."""
+        last = int(np.searchsorted(at, min(int(at[k]) + self.most_size[t], end - 1)))
+        shared = np.cumsum(full[k:last] < k)
+        if not len(shared) or shared[-1] < self.least_shared[t]:
+            return None
+        dice = 2 * shared / (self.sizes[t] + at[k:last] - at[k] + 1)
+        j = int(np.argmax(dice))
+        if dice[j] < self.threshold:
+            return None
+        return -float(dice[j]), -self.sizes[t], self.templates[t].license, int(at[k]), int(at[k + j]) + 2, t, k
 
 
 def scan_documents(docs: DataFrame, templates: list[Template] | None = None, threshold: float = THRESHOLD) -> DataFrame:

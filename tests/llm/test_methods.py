@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -211,6 +212,43 @@ def test_license_windows():
     assert scanner.scan(None) == scanner.scan("") == scanner.scan("under the terms of the plain text") == []
 
 
+def test_license_windows_of_other_lengths():
+    scanner = license_dice.LicenseScanner(license_dice.standard_templates())
+    for name in ("MIT", "BSD", "ISC"):
+        words = license_dice.normalised_words(license_dice.NOTICES[name])
+        n = len(words)
+        cut = words[:n // 2] + words[n // 2 + n // 4:]
+        more = words[:n // 2] + ["filler"] * (n // 3) + words[n // 2:]
+        for notice in (cut, more):
+            found = scanner.scan("alpha beta " * 20 + " ".join(notice) + " gamma delta" * 60)
+            assert [x[0] for x in found] == [name] and 0.8 <= found[0][1] < 1 and found[0][2:] == (40, 40 + len(notice))
+    # two cut notices side by side are two matches
+    cut = " ".join(license_dice.NOTICES["BSD"].split()[12:])
+    assert [x[0] for x in scanner.scan(f"{cut} {license_dice.NOTICES['BSD']} {cut}")] == ["BSD"] * 3
+
+
+def test_only_copyright_statements_are_stripped():
+    scanner = license_dice.LicenseScanner(license_dice.standard_templates())
+    isc = """Copyright (c) 2004-2010, Some Holder, Inc.
+ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+ * WITH REGARD TO THIS SOFTWARE"""
+    found = scanner.scan(isc)
+    assert found[0][:3] == ("ISC", 1.0, 0) and len(found) == 1
+    for name in ("MIT", "BSD", "Apache-2.0", "ISC"):
+        one_line = "Copyright (c) 2020 John Doe. All rights reserved. " + " ".join(license_dice.NOTICES[name].split())
+        assert [x[:3] for x in scanner.scan(one_line + " and more text " * 9)] == [(name, 1.0, 0)]
+        for width in (20, 40, 60):
+            wrapped = "\n".join("# " + x for x in textwrap.wrap(license_dice.NOTICES[name], width, break_long_words=False))
+            assert [x[:2] for x in scanner.scan("x y\n" + wrapped + "\n and more text" * 9)] == [(name, 1.0)]
+    words = license_dice.normalised_words
+    assert words("COPYRIGHT HOLDERS be\nCopyright 2020 Me\n© Them\nCopyright The Authors\n(c) You may copy") == ["copyright", "holders", "be", "c", "you", "may", "copy"]
+    assert words("Copyright 2020 A B, which of all these many words is no holder of it") == words("A B, which of all these many words is no holder of it")
+
+
 def _links_by_force(x):
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
