@@ -54,6 +54,67 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means.""",
 }
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    return f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License as published
+by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."""
+
+
+def _gnu_only(what: str, name: str, version: str) -> str:
+    return f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License version
+{version} as published by the Free Software Foundation."""
+
+
+def _gnu_warranty(what: str, name: str) -> str:
+    return f"""This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} License for more details."""
+
+
+_GNU = [("GPL-2.0", "program", "General Public", "2"), ("GPL-3.0", "program", "General Public", "3"),
+        ("LGPL-2.0", "library", "Library General Public", "2"), ("LGPL-2.1", "library", "Lesser General Public", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public", "3"), ("LGPL-3.0", "program", "Lesser General Public", "3"),
+        ("LGPL-2.1", "program", "Lesser General Public", "2.1"), ("AGPL-3.0", "program", "Affero General Public", "3")]
+_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial",
+       "CC-BY-ND-4.0": "Attribution-NoDerivatives", "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike",
+       "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives"}
+#: Notices with their disclaimers, and those of the licence families.
+MORE_NOTICES = [
+    ("MIT", f"{NOTICES['MIT']} {_AS_IS}"), ("ISC", f"{NOTICES['ISC']} {_ISC_AS_IS}"), ("BSD", f"{NOTICES['BSD']} {_BSD_NAMES}"),
+    ("BSD", f"{NOTICES['BSD']} {_BSD_AS_IS}"), ("BSD", f"{NOTICES['BSD']} {_BSD_NAMES} {_BSD_AS_IS}"),
+    ("Apache-2.0", f"{NOTICES['Apache-2.0']} See the License for the specific language governing permissions and limitations under the License."),
+    *((k, _gnu(what, name, version)) for k, what, name, version in _GNU if k not in NOTICES),
+    *((k, _gnu_only(what, name, version)) for k, what, name, version in _GNU),
+    *((k, f"{form(what, name, version)} {_gnu_warranty(what, name)}") for k, what, name, version in _GNU for form in (_gnu, _gnu_only)),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which
+is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which
+accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html"""),
+    ("EPL-1.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public
+License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"""),
+    *((k, f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in _CC.items()),
+    *((k, f"This work is licensed under the Creative Commons {name} 4.0 International License. To view a copy of this license, visit "
+          f"http://creativecommons.org/licenses/{k[3:-4].lower()}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")
+      for k, name in _CC.items()),
+    ("CC0-1.0", """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This
+work is published under the CC0 1.0 Universal public domain dedication."""),
+]
 NAMES = {
     "MIT": "the MIT License", "ISC": "the ISC License", "BSD": "the BSD License", "Apache-2.0": "the Apache License, Version 2.0",
     "GPL-3.0": "the GNU General Public License, version 3", "GPL-2.0": "the GNU General Public License, version 2",
@@ -61,12 +122,14 @@ NAMES = {
     "MPL-2.0": "the Mozilla Public License, version 2.0", "EPL-2.0": "the Eclipse Public License, version 2.0",
     "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0",
     "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0", "CC0-1.0": "CC0 1.0", "LGPL-2.1": "the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.0": "the GNU Library General Public License, version 2", "EPL-1.0": "the Eclipse Public License, version 1.0",
 }
 FORMS = ("Licensed under {}", "Released under {}", "This work is licensed under {}")
 
 _WORDS = re.compile(r"[^\W_]+")
 # where notices begin; a copyright statement on the same line ends there
-_NOTICE = "|".join(sorted({r"\W+".join(map(re.escape, _WORDS.findall(t.lower())[:2])) for t in [*NOTICES.values(), *FORMS]}))
+_NOTICE = "|".join(sorted({r"\W+".join(map(re.escape, _WORDS.findall(t.lower())[:2])) for t in [*NOTICES.values(), *(t for _, t in MORE_NOTICES), *FORMS]}))
 # words that follow 'copyright' in notices themselves
 _NO_HOLDER = r"(?i:notices?|holders?|owners?|laws?|licen[cs]\w*|statements?|interests?|protect\w*|and|or|in)\b"
 # at a line's begin: copyright word or sign with a year, sign or holder; the holder's words (up to 8) if the line ends or a notice begins after them
@@ -96,7 +159,7 @@ class Template:
 
 def standard_templates() -> list[Template]:
     short = [Template(k, tuple(normalised_words(form.format(name)))) for k, name in NAMES.items() for form in FORMS]
-    return [Template(k, tuple(normalised_words(text))) for k, text in NOTICES.items()] + short
+    return [Template(k, tuple(normalised_words(text))) for k, text in [*NOTICES.items(), *MORE_NOTICES]] + short
 
 
 class LicenseScanner:
@@ -177,27 +240,31 @@ class LicenseScanner:
 
 
 def scan_documents(docs: DataFrame, templates: list[Template] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_matches and its nearest match: license, dice, first_word, end_word (null for none).
+    """Per document: doc_id, n_matches, its nearest match: license, dice, first_word, end_word (null for none), and all
+    matches, the nearest first, in ``matches``.
 
     Null and empty texts match nothing; texts are scanned whole; repeated
     rows get a row each; an empty table gives no rows; other columns are
     ignored.
     """
     scanner = LicenseScanner(templates or standard_templates(), threshold)
-    kinds = (pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64())
-    names = ["doc_id", "n_matches", "license", "dice", "first_word", "end_word"]
+    match = {"license": pa.string(), "dice": pa.float64(), "first_word": pa.int64(), "end_word": pa.int64()}
+    kinds = (pa.int32(), *match.values(), pa.list_(pa.struct(match)))
+    names = ["doc_id", "n_matches", *match, "matches"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column(1):
                 found = scanner.scan(text.as_py())
-                rows.append((len(found), *(found[0] if found else (None,) * 4)))
-            columns = list(zip(*rows)) or [()] * 5
+                rows.append((len(found), *(found[0] if found else (None,) * 4), [dict(zip(match, x)) for x in found]))
+            columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_matches int, license string, dice double, first_word bigint, end_word bigint")
+    one = "license string, dice double, first_word bigint, end_word bigint"
+    each = f"array<struct<{one.replace(' ', ':').replace(',:', ',')}>>"
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_matches int, {one}, matches {each}")
 
 
 ship_by_value(__name__)

@@ -249,6 +249,43 @@ def test_only_copyright_statements_are_stripped():
     assert words("Copyright 2020 A B, which of all these many words is no holder of it") == words("A B, which of all these many words is no holder of it")
 
 
+def test_license_families_and_all_matches(spark):
+    gnu = """This {0} is free software{4} you can redistribute it and/or modify
+it under the terms of the GNU {1} as published by
+the Free Software Foundation{5} either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1} for more details."""
+    notices = {
+        "GPL-2.0": gnu.format("program", "General Public License", "2", "", ";", ";"),
+        "GPL-3.0": gnu.format("program", "General Public License", "3", "", ":", ","),
+        "AGPL-3.0": gnu.format("program", "Affero General Public License", "3", "", ":", ","),
+        "LGPL-2.1": gnu.format("library", "Lesser General Public\nLicense", "2.1", "", ";", ";"),
+        "LGPL-3.0": gnu.format("program", "Lesser General Public License", "3", "", ":", ","),
+        "EPL-2.0": "This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n"
+                   " * which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."}
+    texts = [(i, f"int x;\n{t}\nint y;") for i, t in enumerate(notices.values())]
+    for k, t in list(notices.items())[:5]:  # the first paragraph alone too
+        texts.append((len(texts), t.split("\n\n")[0]))
+    both = "\n".join(["one two", notices["AGPL-3.0"], "three four", license_dice.NOTICES["MIT"], "five", notices["EPL-2.0"]])
+    d = spark.createDataFrame([*texts, (100, both), (101, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_dice.scan_documents(d).collect()}
+    for i, k in enumerate([*notices, *list(notices)[:5]]):
+        assert [x["license"] for x in found[i]["matches"]] == [k] == [found[i]["license"]] and found[i]["dice"] > 0.97
+    assert {x["license"] for x in found[100]["matches"]} == {"AGPL-3.0", "MIT", "EPL-2.0"} and found[100]["n_matches"] == 3
+    assert tuple(found[100]["matches"][0]) == tuple(found[100][x] for x in ("license", "dice", "first_word", "end_word"))
+    assert found[101]["matches"] == []
+    scanner = license_dice.LicenseScanner(license_dice.standard_templates())
+    for k in ("MIT", "ISC", "BSD"):  # with the disclaimer
+        whole = max((t for x, t in license_dice.MORE_NOTICES if x == k), key=len)
+        (name, dice, first, end), = scanner.scan(whole + " gamma")
+        assert (name, dice, first, end) == (k, 1.0, 0, len(license_dice.normalised_words(whole)))
+
+
 def _links_by_force(x):
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
