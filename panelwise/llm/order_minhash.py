@@ -4,7 +4,9 @@ A text is a sequence of five-word shingles, each labelled with how often it
 occurred before.  Each of ``sketches`` hash functions picks the
 ``picked`` labelled shingles of least hash and keeps them in text order; the
 ordered pick is a bucket key, so texts with the same content in another
-order don't meet.  Texts that share a bucket are candidates and verified by
+order don't meet.  Picks of short texts seldom meet or never, so these also
+have a key for each ordered choice of shingles that a similar text may share
+with them, all in one more bucket number.  Texts that share a bucket are candidates and verified by
 a banded alignment of their shingles: similarity is the aligned shingles
 over all shingles of both, at least 0.8.
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +50,8 @@ class OrderMinHash:
     sketches: int = 32
     picked: int = 5
     similarity: float = 0.8
+    #: keys at most of a short text's ordered choices of shingles; at similarity 0.8, texts of up to 14 shingles have them
+    exact_keys: int = 128
     #: leaders of a bucket in each round
     leaders: tuple[int, ...] = (1,)
     #: texts of a bucket compared with as many at once
@@ -151,6 +157,27 @@ def order_sketch(s: np.ndarray, p: OrderMinHash = OrderMinHash()) -> list[int]:
     return keys
 
 
+_CHOICES: dict[tuple[int, int], list[np.ndarray]] = {}
+
+
+def exact_sketch(s: np.ndarray, p: OrderMinHash = OrderMinHash()) -> list[int]:
+    """Keys of all that is left of a short text's shingles without as many as a similar text may lack; none for a longer text.
+
+    Two texts share one if their common subsequence is long enough for ``similarity``.
+    """
+    n = len(s)
+    lacking = int(n * (1 - p.similarity) + 1e-9)
+    if not n or n > p.exact_keys or sum(math.comb(n, k) for k in range(lacking + 1)) > p.exact_keys:
+        return []
+    if (n, lacking) not in _CHOICES:
+        _CHOICES[n, lacking] = [np.array(list(itertools.combinations(range(n), n - k))) for k in range(lacking + 1)]
+    keys: set[int] = set()
+    for places in _CHOICES[n, lacking]:
+        weights = _mix(np.arange(places.shape[1], dtype=np.uint64) * np.uint64(_PRIME) + np.uint64(p.seed + 2)) | np.uint64(1)
+        keys.update(_mix((s[places] * weights).sum(axis=1)).astype(np.int64).tolist())
+    return sorted(keys)
+
+
 # --- verification -----------------------------------------------------------------
 
 def banded_common(a: list[int], b: list[int], band: int) -> int:
@@ -213,12 +240,13 @@ def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = 0.8) -> floa
 # --- Spark jobs --------------------------------------------------------------------
 
 def sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
-    """doc_id, digest (of the text; null for a null one) and sketch keys."""
+    """doc_id, digest (of the text; null for a null one) and sketch keys, exact ones after the others."""
     names = ["doc_id", "digest", "sketch"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [order_sketch(shingles(text.as_py(), p.shingle), p) for text in b.column(2)]
+            sets = [shingles(text.as_py(), p.shingle) for text in b.column(2)]
+            keys = [order_sketch(s, p) + exact_sketch(s, p) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
     return _digested(docs).mapInArrow(sketch, "doc_id bigint, digest string, sketch array<bigint>")
@@ -264,7 +292,8 @@ def _still_open(members: DataFrame) -> DataFrame:
 
 def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame | None:
     """Links (a, b) whose components are those of all similar candidates; ``classes`` has rep, digest, sketch."""
-    members = _unfinished(classes.select("rep", F.posexplode("sketch").alias("bucket", "key")).withColumn("component", F.col("rep")))
+    members = classes.select("rep", F.posexplode("sketch").alias("bucket", "key")).withColumn("bucket", F.least("bucket", F.lit(p.sketches)))
+    members = _unfinished(members.withColumn("component", F.col("rep")))
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct().join(
         classes.select(F.col("rep").alias("doc_id"), "digest"), "doc_id"), "omh-wanted")
     rows = wanted.count()

@@ -177,6 +177,31 @@ def test_near_classes_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op6_order_minhash"](spark, SF01).collect()} == want
 
 
+def test_short_texts_that_are_near_share_a_key(spark):
+    rng = random.Random(5)
+    p, rows, near = order_minhash.OrderMinHash(), [], 0
+    for n in range(8, 19):  # words; 4 to 14 shingles
+        for _ in range(60):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randint(1, 2)):
+                if rng.random() < 0.5:
+                    b = [f"w{rng.randrange(10**6)}"] * rng.randint(0, 1) + b[rng.randint(0, 1):]
+                else:
+                    b = b[:len(b) - rng.randint(0, 1)] + [f"w{rng.randrange(10**6)}"] * rng.randint(0, 1)
+            x, y = (order_minhash.shingles(" ".join(t)) for t in (a, b))
+            if a != b and max(len(x), len(y)) <= 14 and order_minhash.aligned_similarity(x, y) >= 0.8:
+                assert set(order_minhash.exact_sketch(x, p)) & set(order_minhash.exact_sketch(y, p))
+                near += 1
+                rows += [(2 * near, " ".join(a)), (2 * near + 1, " ".join(b))]
+    assert near > 150 and max(len(order_minhash.exact_sketch(order_minhash.shingles("a b c d e " * n))) for n in range(1, 30)) <= p.exact_keys
+    rows += [(9000, "one two three four five six seven eight"), (9001, "one two three four five six seven eight nine"), (9002, "zero two three four five six seven eight nine")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicate_classes(d).collect()}
+    assert all(found[2 * i] == found[2 * i + 1] == 2 * i for i in range(1, near + 1))
+    assert (found[9000], found[9001], found[9002]) == (9000, 9000, 9002)
+
+
 def test_blocks_of_a_bucket_find_the_links():
     import pandas as pd
 
