@@ -4,7 +4,9 @@ Each entity found in the corpus (an e-mail address, a phone, card, account or
 national number, an IP address, a secret, a name after a form of address)
 gets one surrogate of its kind: derived from a secret key by SHA-512, of the
 same length, character classes, script and, for names, gender.  All mentions
-of an entity get its surrogate in their own format, so coreference holds.
+of an entity get its surrogate in their own format, so coreference holds;
+within a text, also bare mentions of a name's words that have a form of
+address elsewhere in it.
 Surrogates are checked against each other and against all real entities; a
 collision is derived again until none is left, so different entities stay
 different and no surrogate is someone else's datum.
@@ -20,9 +22,18 @@ from pyspark.sql import functions as F
 
 from panelwise.llm.shared import written
 
-MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
+MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Mister", "Sir", "Lord")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Lady", "Dame", "Señorita", "Srta", "Mademoiselle", "Mlle")
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Rev", "Доктор", "Профессор")
 _SECRET = r"(?:password|passwd|pwd|secret|token|api[_-]?key)"
+_TITLES = rf"(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? )+"
+#: A word of a name, and what may stand before one and is kept: particles and initials.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
+_BETWEEN = r"(?:(?:von|van|der|den|de|del|della|di|da|du|la|le|zu) |\p{Lu}\. ?)*"
+_H = "[0-9A-Fa-f]{1,4}"
+#: Phone numbers that begin with neither + nor a bracket: 00 and a country, 0 and an area, three groups of 3, 3 and 4, pairs after 0.
+_DOMESTIC = (r"(?<![\w.+-])(?:00[1-9]\d{0,2}(?:[ ./-](?:\(0\))?\d{2,8}){2,4}|00[1-9]\d{9,12}|0[1-9]\d{1,4}[ /-](?:\d{3,4}[ -]\d{3,5}|\d{5,8})"
+             r"|0[1-9](?: \d{2}){4}|0[1-9](?:\.\d{2}){4}|(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4}))(?!\w|[.-]\d)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: What is looked for, in this order where several match at a place.
@@ -30,12 +41,13 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": rf"(?<![A-Za-z])(?i:{_SECRET})\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,}}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|" + _DOMESTIC,
+    "ip6": rf"(?<![\w:.])(?:(?:{_H}:){{7}}{_H}|(?=[0-9A-Fa-f:]{{0,35}}[0-9A-Fa-f]{{3}})(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,5}}(?:{_OCTET}\.){{3}}{_OCTET}|(?:{_H}(?::{_H}){{0,6}})?))(?![\w:]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
+    "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)|(?<![\d-])\d{4}(?: \d{6} |-\d{6}-)\d{4,5}(?!\d)",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<!\p{{L}}){_TITLES}{_BETWEEN}{_WORD}(?:[ -]{_BETWEEN}{_WORD}){{0,3}}",
 }
 ANY = "|".join(PATTERNS.values())
 #: Syllables that surrogate names are built of, by script.
@@ -47,7 +59,7 @@ ROUNDS = 40
 def _kind(m: Column) -> Column:
     starts = lambda p: m.rlike(p)
     return (F.when(m.contains("@"), "email").when(starts(rf"^(?i:{_SECRET})\s*[=:]"), "secret").when(starts("^AKIA[A-Z0-9]{16}$"), "access_key")
-            .when(starts(r"^[+(]"), "phone").when(starts(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(starts(r"^\d{3}-\d{2}-\d{4}$"), "national")
+            .when(starts(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"), "ip6").when(starts(r"^[+(]") | starts(f"^(?:{_DOMESTIC})$"), "phone").when(starts(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(starts(r"^\d{3}-\d{2}-\d{4}$"), "national")
             .when(starts(r"^\d"), "card").when(starts(r"^[A-Z]{2}\d{2}"), "account").otherwise("name"))
 
 
@@ -56,13 +68,18 @@ def _units(mentions: DataFrame) -> DataFrame:
     d = mentions.withColumn("kind", _kind(F.col("mention")))
     m, k = F.col("mention"), F.col("kind")
     core = (F.when(k == "email", F.lower(m)).when(k == "secret", F.regexp_extract(m, rf"^(?i:{_SECRET})\s*[=:]\s*[\"']?(.*)$", 1))
-            .when(k.isin("ip", "access_key"), m).otherwise(F.regexp_replace(m, "[^A-Za-z0-9]", "")))
-    female = F.regexp_extract(m, r"^(\p{L}+)", 1).isin(*FEMALE)
-    parts = F.slice(F.split(m, "[ -]"), 2, 2)
-    given = F.when(female, "given female").otherwise("given male")
+            .when(k == "ip6", F.lower(m)).when(k.isin("ip", "access_key"), m).otherwise(F.regexp_replace(m, "[^A-Za-z0-9]", "")))
+    titles = F.regexp_extract(m, f"^({_TITLES})", 1)
+    called = lambda words: titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})")
+    parts = F.regexp_extract_all(F.regexp_replace(m, f"^{_TITLES}", ""), F.lit(_WORD), 0)
+    given = F.when(called(FEMALE), "given female").when(called(MALE), "given male").otherwise("given")
     names = F.transform(parts, lambda x, i: F.struct(i.alias("place"), F.when(F.size(parts) - 1 == i, "family").otherwise(given).alias("unit"), x.alias("core")))
     single = F.array(F.struct(F.lit(0).alias("place"), k.alias("unit"), core.alias("core")))
-    return d.select("mention", "kind", F.explode(F.when(k == "name", names).otherwise(single)).alias("u")).select("mention", "kind", "u.*")
+    d = d.select("mention", "kind", F.explode(F.when(k == "name", names).otherwise(single)).alias("u")).select("mention", "kind", "u.*")
+    # a given name after a title of no gender is one that has a gender elsewhere, if it has
+    known = d.where(F.col("unit").isin("given female", "given male")).groupBy("core").agg(F.min("unit").alias("known"))
+    open_ = d.where("unit = 'given'").join(known, "core", "left").withColumn("unit", F.coalesce("known", "unit"))
+    return d.where("unit <> 'given'").unionByName(open_.select(d.columns))
 
 
 def _derived(unit: Column, core: Column, key: str, attempt: int) -> Column:
@@ -70,7 +87,7 @@ def _derived(unit: Column, core: Column, key: str, attempt: int) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), unit, core), 512)
     byte = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     hexadecimal = core.rlike("^[0-9a-f]+$") & core.rlike("[0-9]")
-    kept = F.when(unit == "phone", F.greatest(F.length(core) - 10, F.lit(0))).when(unit == "access_key", 4).when(unit == "card", 1).when(unit == "account", 2).otherwise(0)
+    kept = F.when(unit == "phone", F.greatest(F.length(core) - 10, F.length(F.regexp_extract(core, "^(0{1,2}[1-9]|)", 1)))).when(unit == "access_key", 4).when(unit == "card", 1).when(unit == "account", 2).otherwise(0)
     letter = lambda i, first, n=26: F.char(F.lit(first) + byte(i) % n)
 
     def mapped(text: Column) -> Column:
@@ -82,12 +99,13 @@ def _derived(unit: Column, core: Column, key: str, attempt: int) -> Column:
     more = F.lit("" if attempt < 8 else str(attempt))  # short ones run out of others of their length
     local = F.concat(mapped(F.regexp_extract(core, "^([^@]*)", 1)), more, F.lit("@example.org"))
     ip = F.concat_ws(".", (F.lit(240) + byte(F.lit(0)) % 15).cast("string"), *[byte(F.lit(i)).cast("string") for i in (1, 2, 3)])
+    ip6 = F.concat_ws(":", F.lit("2001:db8"), *[F.lower(F.lpad(F.hex(byte(F.lit(2 * i)) * 256 + byte(F.lit(2 * i + 1))), 4, "0")) for i in range(6)])
     syllable = lambda script, i: F.element_at(F.array(*map(F.lit, SYLLABLES[script])), byte(F.lit(i)) % 20 + 1)
     name = lambda script, ends: F.initcap(F.concat(*[syllable(script, i) for i in range(3 + attempt // 8)], ends))
     cyrillic = core.rlike(r"\p{IsCyrillic}")
-    named = F.when(cyrillic, name("cyrillic", F.when(unit == "given female", "на").when(unit == "given male", "н").otherwise("к"))).otherwise(
-        name("latin", F.when(unit == "given female", "na").when(unit == "given male", "n").otherwise("ck")))
-    return F.when(unit == "email", local).when(unit == "ip", ip).when(unit.isin("family", "given female", "given male"), named).otherwise(mapped(core))
+    named = F.when(cyrillic, name("cyrillic", F.when(unit == "given female", "на").when(unit.startswith("given"), "н").otherwise("к"))).otherwise(
+        name("latin", F.when(unit == "given female", "na").when(unit.startswith("given"), "n").otherwise("ck")))
+    return F.when(unit == "email", local).when(unit == "ip", ip).when(unit == "ip6", ip6).when(unit.isin("family", "given", "given female", "given male"), named).otherwise(mapped(core))
 
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -119,11 +137,35 @@ def _formatted(kind: Column, mention: Column, found: Column) -> Column:
     walked = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(
         c.rlike("[A-Za-z0-9]"), F.substr(s, before(i) + 1, F.lit(1))).otherwise(c)), "")
     prefix = F.regexp_extract(mention, rf"^((?i:{_SECRET})\s*[=:]\s*[\"']?)", 1)
-    title = F.regexp_extract(mention, r"^(\p{L}+\.?[ -])", 1)
-    between = F.when(mention.rlike(r"-\p{L}+$"), "-").otherwise(" ")
-    named = F.concat(title, F.when(F.size(found) > 1, F.concat(s, between, F.element_at(found, -1)["surrogate"])).otherwise(s))
+    title = F.regexp_extract(mention, f"^({_TITLES})", 1)
+    kept = F.split(F.regexp_replace(mention, f"^{_TITLES}", ""), _WORD, -1)
+    named = F.concat(title, F.array_join(F.flatten(F.zip_with(kept, found, lambda a, b: F.array(a, F.coalesce(b["surrogate"], F.lit(""))))), ""))
     return (F.when(kind == "email", F.when(mention == F.upper(mention), F.upper(s)).otherwise(s)).when(kind == "secret", F.concat(prefix, s))
-            .when(kind.isin("ip", "access_key"), s).when(kind == "name", named).otherwise(walked))
+            .when(kind.isin("ip", "ip6", "access_key"), s).when(kind == "name", named).otherwise(walked))
+
+
+def _joined(parts: Column, new: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+
+def _replaced(d: DataFrame) -> DataFrame:
+    text = _joined(F.split("text", ANY, -1), F.transform("_new", lambda x: x["new"]))
+    return d.withColumn("text", text).withColumn("_n_entities", F.size("_new")).drop("_new")
+
+
+def _replaced_with_bare_names(d: DataFrame) -> DataFrame:
+    """The mentions and the bare words of the text's own names (``_words``) replaced; a word that is both is a family name."""
+    cores = F.array_distinct(F.transform("_words", lambda x: x["core"]))
+    any_here = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(F.reverse(F.array_sort(cores)), "|"), F.lit(r")(?!\p{L})"))  # longer ones first
+    d = d.withColumn("_any", any_here).withColumn("_found", F.regexp_extract_all("text", F.col("_any"), F.lit(0)))
+
+    def new(mention: Column) -> Column:
+        whole = F.filter("_new", lambda x: x["mention"] == mention)
+        word = F.filter("_words", lambda x: x["core"] == mention)  # in the order of units
+        return F.when(F.size(whole) > 0, F.get(whole, F.lit(0))["new"]).when(F.size(word) > 0, F.get(word, F.lit(0))["surrogate"]).otherwise(mention)
+
+    text = _joined(F.split("text", F.col("_any"), -1), F.transform("_found", new))
+    return d.withColumn("text", text).withColumn("_n_entities", F.size("_found")).drop("_new", "_words", "_any", "_found")
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -141,13 +183,15 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     each = texts.select("_digest", F.posexplode("found").alias("at", "mention"))
     units = written(_units(each.select("mention").distinct()), "pii-units")
     named = units.join(surrogates(units, key), ["unit", "core"])
-    named = named.groupBy("mention", "kind").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("found"))  # one or two
-    named = written(named.select("mention", _formatted(F.col("kind"), F.col("mention"), F.col("found")).alias("new")), "pii-mentions")
-    new = each.join(named, "mention").groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_new"))  # a text's own
+    found = F.sort_array(F.collect_list(F.struct("place", "surrogate", "core", "unit")))  # as many as a name has words
+    named = named.groupBy("mention", "kind").agg(found.alias("found"))
+    words = F.when(F.col("kind") == "name", F.transform("found", lambda x: F.struct(x["core"], x["unit"], x["surrogate"])))
+    named = written(named.select("mention", _formatted(F.col("kind"), F.col("mention"), F.col("found")).alias("new"), words.alias("words")), "pii-mentions")
+    new = each.join(named, "mention").groupBy("_digest").agg(  # a text's own
+        F.sort_array(F.collect_list(F.struct("at", "mention", "new"))).alias("_new"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_words"))
     new = written(new, "pii-replacements")
     d = d.join(new, "_digest")
-    parts = F.zip_with(F.split("text", ANY, -1), F.transform("_new", lambda x: x["new"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))
-    d = d.withColumn("text", F.array_join(F.flatten(parts), "")).withColumn("_n_entities", F.size("_new"))
+    d = _replaced(d.where("size(_words) = 0").drop("_words")).unionByName(_replaced_with_bare_names(d.where("size(_words) > 0")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return d.select(*docs.columns, "_n_entities").unionByName(plain)

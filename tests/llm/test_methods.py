@@ -121,6 +121,31 @@ def test_surrogates_keep_gender_script_format(spark):
     assert len({found[i] for i in range(26)}) == 26
 
 
+def test_surrogates_of_other_forms(spark):
+    real = ["555-123-4567", "555.123.4567", "0049 30 1234567", "030 1234567", "020 7946 0958", "01 23 45 67 89", "3782 822463 10005", "3782-822463-10005",
+            "2001:db8:85a3::8a2e:370:7334", "fe80::1", "1080:0:0:0:8:800:200C:417A", "::ffff:192.0.2.1"]
+    kept = ["10:20:30", "std::vector x[1::2]", "2020-01-02", "01-2024", "version 1.2.3", "pages 100-200", "12 000 000"]
+    people = ("Mrs Anna Smith came. Smith said that Anna's brother, Dr. Karl von Meyer, knew Prof. Smith; Smithson and Annals did not. Frau Dr. Müller and Sir J. O'Brien-Hall; "
+              "Hall left. Dr Anna Smith stays, Mr John Paul Jones, Jones")
+    rows = [(i, f"a {x}, b {x}.") for i, x in enumerate(real)] + [(100 + i, f"a {x}, b") for i, x in enumerate(kept)] + [(200, people), (201, "Smith and Anna alone")]
+    found = {r["doc_id"]: r for r in pii_surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, x in enumerate(real):
+        first, second = found[i]["text"][2:-1].split(", b ")
+        assert first == second != x and x not in found[i]["text"] and found[i]["_n_entities"] == 2
+        if ":" not in x:
+            assert [c if not c.isdigit() else "9" for c in first] == [c if not c.isdigit() else "9" for c in x]
+    assert all(found[100 + i]["text"] == f"a {x}, b" and found[100 + i]["_n_entities"] == 0 for i, x in enumerate(kept))
+    new = found[200]["text"]
+    a, s = new.split()[1], new.split()[2]
+    assert a.endswith("na")
+    assert new.startswith(f"Mrs {a} {s} came. {s} said that {a}'s brother, Dr. ") and f"knew Prof. {s}; Smithson and Annals did not." in new and f"Dr {a} {s} stays" in new
+    assert " von " in new and "Frau Dr. " in new and "Sir J. " in new
+    for x in ("Karl", "Meyer", "Müller", "O'Brien", "Hall", "John", "Paul", "Jones", "Smith ", "Smith;", "Anna "):
+        assert x not in new
+    assert new.split()[-1] == new.split()[-2].rstrip(",")
+    assert found[201]["text"] == "Smith and Anna alone"
+
+
 def test_bundles_round_trip_and_seek(spark):
     pages = spark.read.parquet(f"{SF001}/pages.parquet").unionByName(
         spark.createDataFrame([(900, None, None), (None, "http://x", "y" * 1500), (901, "u\nv", "y" * 1500), (901, "u\nv", "y" * 1500)], "page_id long, url string, html string"))
