@@ -46,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
           ("source_weights", source_weights), ("packed", packed)]
 
-#: Tokenisation has no SQL; the pipeline is tested against a brute-force version.
+#: Tokenisation has no SQL; the pipeline as a whole has no test yet, its operators have.
 ORACLE_SQL = None
 
 
