@@ -12,12 +12,9 @@ the texts, ranks the pieces of each length and looks the segments up.
 from __future__ import annotations
 
 import bisect
-import os
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -25,76 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm.shared import joined_small, ship_by_value, written
+from panelwise.llm.token_ids import word_ids
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps, in each of two generations (about 200 bytes a word).
-CACHED_WORDS = 500_000
-#: ASCII punctuation but the apostrophe, which starts tokens that hold letters.
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 # --- tokens -----------------------------------------------------------------
 
-class _WordIds:
-    """Ids of white-space-separated words as little-endian unsigned 32-bit bytes, in two generations of a cache."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, text: str) -> bytes:
-        # no token of a tokenizer that drops white space spans it, so words can be encoded apart
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for spaces, the tokenizer doesn't
-            return self.encoded([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.young.__getitem__, words))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        parts = {w: self.parts(w) for w in words if w not in self.young}
-        units = {u for found in parts.values() for u in found if u not in self.young}
-        self.young.update((u, self.old[u]) for u in units if u in self.old)
-        new = [u for u in units if u not in self.young]
-        self.young.update(zip(new, self.encoded(new)))
-        for word, units in parts.items():
-            if word not in self.young:
-                self.young[word] = b"".join(self.young[u] for u in units)
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """A run of letters and the punctuation after it are tokens apart; ASCII letters are encoded in lower case."""
-        core = word.rstrip(PUNCTUATION)
-        if not core.isalpha():
-            return (word,)
-        lower = core.lower() if core.isascii() else core
-        return (lower, word[len(core):]) if len(core) < len(word) else (lower,)
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _word_ids(path: str) -> _WordIds:
-    """The worker process's cache; this module is pickled by value, so its own globals are new in each task."""
-    kept = sys.modules.setdefault("panelwise_worker_caches", ModuleType("panelwise_worker_caches")).__dict__
-    if path not in kept:
-        kept[path] = _WordIds(path)
-    return kept[path]
-
-
 def document_ids(text: str | None, path: str) -> bytes:
     """A document's ids, the end id last, as little-endian unsigned 32-bit bytes."""
-    return _word_ids(path).of(text or "") + END_ID.to_bytes(4, "little")
+    return word_ids(path).of_text(text).tobytes() + END_ID.to_bytes(4, "little")
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -109,8 +48,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, w
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = document_ids(text.as_py(), tokenizer_path)
+            for doc_id, found in zip(batch.column(0).to_pylist(), word_ids(tokenizer_path).of_column(batch.column(1))):
+                ids = found.tobytes() + END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     size += len(part) * with_ids
