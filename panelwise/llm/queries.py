@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import best_fit_packing, byte_cnn, cap_filters, flow_resharding, license_dice, order_minhash, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import arrow_sequences, best_fit_packing, byte_cnn, cap_filters, flow_resharding, license_dice, order_minhash, periodic_runs, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,15 @@ def op7_byte_cnn(spark, sf_dir):
 @query("op8_license_dice")
 def op8_license_dice(spark, sf_dir):
     return license_dice.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_arrow_sequences")
+def op11_arrow_sequences(spark, sf_dir):
+    import public_tokenizers
+
+    return arrow_sequences.stored_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"), edit=periodic_runs.planted_period)
