@@ -252,28 +252,18 @@ def median_defaults(df: DataFrame, fallbacks: dict | None = None, full: DataFram
     """Per feature, the exact median (NULL-skipping) else the fallback.
 
     ``days_since_start`` defaults to the days between the full table's first
-    date and the selection's last date.  One row.  Medians come from
-    :func:`~panelwise.operators.quantiles.exact_quantiles` (no whole column
-    in one task).
+    date and the selection's last date.  One row.  The medians come back as a
+    number per feature (:func:`~panelwise.operators.quantiles.column_quantiles`).
     """
-    from panelwise.operators.quantiles import exact_quantiles
+    from panelwise.operators.quantiles import column_quantiles
 
     fb = SCENARIO_FALLBACKS if fallbacks is None else fallbacks
-    present = [c for c in fb if c != "days_since_start" and c in df.columns]
-    med = exact_quantiles(df, present, [0.5]) if present else None
-    row = (med.groupBy().pivot("column", present).agg(F.first("value")) if med is not None
-           else df.sparkSession.range(1).select())
-    cols = []
-    for c, v in fb.items():
-        if c == "days_since_start":
-            continue
-        val = F.col(f"`{c}`") if c in present else F.lit(None)
-        cols.append(F.coalesce(val.cast("double"), F.lit(float(v))).alias(c))
-    base = full if full is not None else df
-    span = F.datediff(df.select(F.max(spec.date)).scalar(), base.select(F.min(spec.date)).scalar())
-    cols.append(F.coalesce(span.cast("double"), F.lit(float(fb.get("days_since_start", 365.0))))
-                .alias("days_since_start"))
-    return row.select(*cols)
+    medians = column_quantiles(df, [c for c in fb if c != "days_since_start" and c in df.columns], [0.5])
+    found = {c: (medians.get(c) or [float(v)])[0] for c, v in fb.items() if c != "days_since_start"}
+    last, first = df.agg(F.max(spec.date)).first()[0], (full if full is not None else df).agg(F.min(spec.date)).first()[0]
+    span = float((last - first).days) if last is not None and first is not None else float(fb.get("days_since_start", 365.0))
+    schema = ", ".join(f"`{c}` double" for c in [*found, "days_since_start"])
+    return df.sparkSession.createDataFrame([(*found.values(), span)], schema)
 
 
 # --------------------------------------------------------------------- A15/A16/J2

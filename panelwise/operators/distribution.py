@@ -13,6 +13,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelwise.operators.quantiles import group_quantiles, value_counts_in_blocks
+from panelwise.sources.scratch import written
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -141,39 +143,40 @@ def regression_lines(df: DataFrame, x: str, y: str, spec: PanelSpec = DEFAULT_SP
 
 
 # ---------------------------------------------------------------------- A22
-def box_stats(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def box_stats(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
     """Quartiles, 1.5*IQR fences, whiskers (furthest values inside the
-    fences) and outlier count per entity.  Quartiles are exact and bounded
-    per task even for a hot entity (:mod:`panelwise.operators.quantiles`)."""
-    e = spec.entity
-    from panelwise.operators.quantiles import exact_quantiles
+    fences) and outlier count per entity.
 
-    data = df.where(F.col(e).isNotNull() & F.col(metric).isNotNull()).select(e, F.col(metric).cast("double").alias("v"))
-    quart = exact_quantiles(data, ["v"], [0.25, 0.5, 0.75], groups=[e])
-    counts = data.groupBy(e).agg(F.count(F.lit(1)).alias("n"))
+    Everything comes from the counts of each entity's distinct values, sorted
+    into blocks (:mod:`panelwise.operators.quantiles`), so a hot entity is
+    spread over tasks.  ``blocks`` bounds their number, for tests.
+    """
+    e = spec.entity
+    counts = value_counts_in_blocks(df, e, metric, blocks)
     q = (
-        quart.groupBy(e).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-        .join(counts, on=e)
-        .select(e, "n", F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
+        group_quantiles(counts, e, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr"))
         .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
     )
+    q = written(q, "box-stats")
     inside = F.col("v").between(F.col("lower_fence"), F.col("upper_fence"))
     whiskers = (
-        data.join(q.select(e, "lower_fence", "upper_fence"), on=e)
+        counts.join(q.select(e, "lower_fence", "upper_fence"), on=e)
         .groupBy(e)
         .agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
              F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-             F.count_if(~inside).alias("n_outliers"))
+             F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"))
     )
     return q.join(whiskers, on=e)
 
 
-def box_outliers(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def box_outliers(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
     """A22 second output: the rows outside their entity's fences."""
     e = spec.entity
-    fences = box_stats(df, metric, spec).select(e, "lower_fence", "upper_fence")
+    quartiles = group_quantiles(value_counts_in_blocks(df, e, metric, blocks), e, [0.25, 0.75], ["q1", "q3"])
+    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
+    fences = quartiles.select(e, (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"))
     v = F.col(metric)
     return (
         df.where(F.col(e).isNotNull() & v.isNotNull())

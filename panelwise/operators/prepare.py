@@ -1,25 +1,22 @@
 """F1 prepare_panel = C1-C9 + W1-W3.
 
-Plan shape: one projection (typing, null filling, ratios), one exchange on
-the entity with one sort on (date, row_id) shared by both window stages
-(lag of a lag), and the global first date as a scalar subquery (evaluated
-once, no cross join and no unpartitioned window).
+Plan shape: one projection (typing, null filling, ratios), the rows cut into
+blocks of whole or part series by sampled range boundaries
+(:mod:`panelwise.operators.blocks`), one sort per block shared by both window
+stages (lag of a lag), and the global first date as a scalar subquery
+(evaluated once, no cross join and no unpartitioned window).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, TimestampNTZType, TimestampType
 
 from panelwise.functions.columns import clamp_zero, nan_to_null, safe_div
+from panelwise.operators.blocks import BLOCK, HALO, block_window, in_blocks, with_halo
 from panelwise.spec import DEFAULT_SPEC, FILL_ZERO_COLUMNS, PanelSpec
 
 
-def entity_window(spec: PanelSpec = DEFAULT_SPEC):
-    """The one window every per-entity series operator uses."""
-    return Window.partitionBy(spec.entity).orderBy(*spec.order())
-
-
 def _as_date(df: DataFrame, name: str) -> Column:
     """Strict date typing (ANSI: a malformed string raises, NULL stays NULL)."""
     dt = df.schema[name].dataType
@@ -82,20 +79,11 @@ def growth_rate(col: str, w) -> Column:
     return F.coalesce(safe_div(F.col(col), F.lag(col).over(w)) - F.lit(1.0), F.lit(0.0))
 
 
-def add_window_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
-    """W1-W3 over one entity window.
-
-    ``split=None`` checks the data: when one entity is too large for a task
-    the series is cut into (entity, month) segments with a two-row halo
-    (:mod:`panelwise.operators.segments`); ``True``/``False`` force a plan.
-    """
-    from panelwise.operators import segments as sg
-
-    if sg.decide_split(df, spec, split):
-        x = sg.with_halo(df, 2, spec)
-        out = _window_columns(x, spec, sg.segment_window(spec))
-        return out.where(~F.col(sg.HALO)).drop(sg.SEG, sg.HALO)
-    return _window_columns(df, spec, entity_window(spec))
+def add_window_features(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
+    """W1-W3 in blocks with a halo of two rows (the difference, and the rate of the differences)."""
+    key, order = [spec.entity], spec.order()
+    x = with_halo(in_blocks(df, key, order, blocks), key, order, 2)
+    return _window_columns(x, spec, block_window(key, order)).where(~F.col(HALO)).drop(BLOCK, HALO)
 
 
 def _window_columns(df: DataFrame, spec: PanelSpec, w) -> DataFrame:
@@ -123,8 +111,10 @@ def add_days_since_start(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, origin:
     return df.withColumn("days_since_start", F.datediff(F.col(spec.date), first_day).cast("int"))
 
 
-def prepare_panel(raw: DataFrame, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
-    """the prepared panel every analysis starts from."""
-    clean = clean_panel(raw, spec)
-    feats = add_window_features(add_ratio_features(clean, spec), spec, split)
-    return add_days_since_start(feats, spec, origin=clean)
+def prepare_panel(raw: DataFrame, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
+    """the prepared panel every analysis starts from.
+
+    ``blocks`` bounds the number of blocks (for tests); it never changes a row.
+    """
+    feats = add_window_features(add_ratio_features(clean_panel(raw, spec), spec), spec, blocks)
+    return add_days_since_start(feats, spec)

@@ -1,19 +1,21 @@
 """Column statistics, correlations, profiles and missingness.
 
-Statistics over many columns are computed as ONE wide aggregate (one pass,
-partial aggregation in every task) and stacked to long form afterwards --
-never by unpivoting the rows, which would multiply the data by the number
-of columns before the shuffle.
+Statistics over many columns are computed as wide aggregates (partial
+aggregation in every task) and stacked to long form afterwards.  Only exact
+distinct counts take the rows apart, into (column number, value) pairs that
+each task counts before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, DateType, DecimalType, FractionalType, IntegralType, NumericType
 
-from panelwise.functions.columns import year_month
+from panelwise.functions.columns import nan_to_null, year_month
+from panelwise.operators.quantiles import column_quantiles
 from panelwise.spec import CORRELATION_COLUMNS, DEFAULT_SPEC, PanelSpec
 
 
@@ -22,106 +24,108 @@ def numeric_columns(df: DataFrame, exclude=("row_id",)) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-def _stack(wide: DataFrame, names: list[str], fields: list[str], key: str = "column") -> DataFrame:
-    """One-row wide frame with columns ``{name}__{field}`` -> one row per name."""
-    items = ", ".join(
-        f"'{n}', " + ", ".join(f"`{n}__{f}`" for f in fields) for n in names
-    )
-    return wide.select(F.expr(f"stack({len(names)}, {items})").alias(key, *fields))
-
-
 # ---------------------------------------------------------------------- A6
 def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, std (ddof 1), min, quartiles (linear interpolation), max
     per numeric column, one row per column.
 
-    Moments come from one wide aggregate; the quartiles from
-    :func:`exact_quantiles` (bounded per task however large the column).
-    ``exact=False`` uses ``percentile_approx`` instead.
+    Moments come from one wide aggregate, the quartiles from
+    :func:`column_quantiles`; what comes back is a few numbers per column.
+    ``exact=False`` takes the quartiles of ``percentile_approx`` instead.
     """
-    from panelwise.operators.quantiles import exact_quantiles
-
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [
-            F.count(x).cast("double").alias(f"{c}__count"),
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"),
-            F.max(x).alias(f"{c}__max"),
-        ]
-        if not exact:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"{c}__q"))
-    wide = df.agg(*aggs)
-    moments = _stack(wide, cols, ["count", "mean", "std", "min", "max"])
-    if exact:
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-        quarts = q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value")).select(
-            "column", F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("q50"), F.col("`0.75`").alias("q75"))
-    else:
-        quarts = _stack(wide.select(*[F.col(f"`{c}__q`")[i].alias(f"{c}__{n}") for c in cols
-                                      for i, n in enumerate(("q25", "q50", "q75"))]), cols, ["q25", "q50", "q75"])
-    return moments.join(quarts, on="column", how="left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+        x = nan_to_null(F.col(f"`{c}`").cast("double"))
+        aggs += [F.count(x).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)]
+        aggs += [] if exact else [F.percentile_approx(x, [0.25, 0.5, 0.75], 100000)]
+    row, width = df.agg(*aggs).first(), 5 if exact else 6
+    quarts = column_quantiles(df, cols, [0.25, 0.5, 0.75]) if exact else {c: row[width * i + 5] for i, c in enumerate(cols)}
+    rows = []
+    for i, c in enumerate(cols):
+        n, mean, std, least, most = row[width * i:width * i + 5]
+        rows.append((c, n, mean, std, least, *(quarts[c] or (None,) * 3), most))
+    return df.sparkSession.createDataFrame(rows, "column string, count double, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 # ---------------------------------------------------------------------- A7
 def correlation_matrix(df: DataFrame, cols=CORRELATION_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered column pair, long form
-    (x, y, r).  A constant column gives NULL (not an error, not NaN); the
+    (x, y, r).  A column that is constant where both are present gives NULL
+    (not an error, not NaN), and so does a pair never seen together; the
     diagonal is 1.0 when the column varies.
 
-    Each row emits one (i, j, a, b) record per column pair i <= j where both
-    values are present; a grouped aggregate over (i, j) -- three aggregate
-    functions, partially aggregated in every task before a shuffle of at most
-    one buffer per pair per task -- yields every r in one pass.  The records
-    are generated in-stage and consumed by the partial aggregate, so the
-    expansion is never shuffled or stored.
+    One wide aggregate finds each column's mean, range and missing values; a
+    second adds up, about those means, one product per pair and one square per
+    column.  A pair needs sums of its own only where one of its columns has
+    missing values.  The sums of tasks merge by addition; nothing is expanded
+    by pair, and one row is shuffled a task.
     """
     cols = list(cols)
     n = len(cols)
-    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    recs = ", ".join(f"named_struct('i', {i}, 'j', {j}, 'a', c{i}, 'b', c{j})"
-                     for i in range(n) for j in range(i, n))
-    pairs = (
-        src.select(F.explode(F.expr(f"array({recs})")).alias("p"))
-        .select("p.*")
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("i", "j")
-        .agg(F.expr("CASE WHEN i = j THEN (CASE WHEN var_samp(a) > 0 THEN 1.0D END) "
-                    "ELSE try_divide(covar_samp(a, b), stddev_samp(a) * stddev_samp(b)) END").alias("r"))
-    )
-    names = F.array(*[F.lit(c) for c in cols])
-    both = pairs.select(
-        F.explode(F.expr("CASE WHEN i = j THEN array(named_struct('x', i, 'y', j)) "
-                         "ELSE array(named_struct('x', i, 'y', j), named_struct('x', j, 'y', i)) END")).alias("k"),
-        "r",
-    )
-    full = both.select(F.element_at(names, F.col("k.x") + 1).alias("x"),
-                       F.element_at(names, F.col("k.y") + 1).alias("y"), "r")
-    # pairs never observed together (all-NULL columns) still get a row
-    grid = df.sparkSession.createDataFrame([(a, b) for a in cols for b in cols], "x string, y string")
-    return grid.join(full, on=["x", "y"], how="left")
+    x = [nan_to_null(F.col(f"`{c}`").cast("double")) for c in cols]
+    first = df.agg(F.count(F.lit(1)), *[e for v in x for e in (F.count(v), F.avg(v), F.min(v), F.max(v))]).first()
+    rows = first[0]
+    full = [first[1 + 4 * i] == rows for i in range(n)]
+    varies = [first[3 + 4 * i] is not None and first[3 + 4 * i] < first[4 + 4 * i] for i in range(n)]
+    src = df.select(*[(v - F.lit(first[2 + 4 * i] or 0.0)).alias(f"d{i}") for i, v in enumerate(x)])
+    d = [F.col(f"d{i}") for i in range(n)]
+    sums = {(i,): (F.sum(d[i]), F.sum(d[i] * d[i])) for i in range(n)}
+    for i, j in combinations(range(n), 2):
+        both = d[i].isNotNull() & d[j].isNotNull()
+        sums[i, j] = (F.sum(d[i] * d[j]),)
+        if not (full[i] and full[j]):
+            a, b = F.when(both, d[i]), F.when(both, d[j])
+            sums[i, j] += (F.count_if(both), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.min(a) < F.max(a), F.min(b) < F.max(b))
+    row = src.agg(*[e.alias(f"s{k}") for k, e in enumerate(e for es in sums.values() for e in es)])
+    got = iter(row.first())
+    value = {k: [next(got) for _ in es] for k, es in sums.items()}
+    found = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i == j:
+                found.append((a, b, 1.0 if varies[i] else None))
+                continue
+            lo, hi = min(i, j), max(i, j)
+            own = value[lo, hi][1:]
+            count, sa, sb, qa, qb, va, vb = own or (rows, value[(lo,)][0], value[(hi,)][0], value[(lo,)][1], value[(hi,)][1], varies[lo], varies[hi])
+            if not count or not va or not vb:
+                found.append((a, b, None))
+                continue
+            spread = (qa - sa * sa / count) * (qb - sb * sb / count)
+            found.append((a, b, (value[lo, hi][0] - sa * sb / count) / math.sqrt(spread) if spread > 0 else None))
+    return df.sparkSession.createDataFrame(found, "x string, y string, r double")
 
 
 # ---------------------------------------------------------------------- A8
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Type, non-null count and distinct count for every column.
 
-    Exact distinct counts shuffle every (column, value) pair once (after
-    per-task de-duplication); ``approx=True`` uses HyperLogLog sketches
+    Exact distinct counts are found in two stages: (column number, value)
+    pairs are counted, in every task and again after a shuffle by the pair, so
+    that a common value or a column of few values is no hot key; the pairs of
+    a column are then counted.  ``approx=True`` uses HyperLogLog sketches
     (fixed-size buffers, no value shuffle) for very large tables.
     """
-    cols = df.columns
-    aggs = []
-    for c in cols:
-        distinct = F.approx_count_distinct(F.col(f"`{c}`"), rsd=0.01) if approx else F.count_distinct(F.col(f"`{c}`"))
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"{c}__non_null"), distinct.alias(f"{c}__unique")]
-    wide = df.agg(*aggs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    items = ", ".join(f"'{c}', '{types[c]}', `{c}__non_null`, `{c}__unique`" for c in cols)
+    cols, types = df.columns, {f.name: f.dataType for f in df.schema.fields}
+    if approx:
+        wide = df.agg(*[e for c in cols for e in (F.count(F.col(f"`{c}`")).alias(f"{c}__non_null"),
+                                                 F.approx_count_distinct(F.col(f"`{c}`"), rsd=0.01).alias(f"{c}__unique"))])
+    else:
+        # a value in the one of three slots that holds its type exactly
+        slots = {"l": (IntegralType, DateType, BooleanType), "d": (FractionalType,)}
+        cells = []
+        for i, c in enumerate(cols):
+            at = next((s for s, kinds in slots.items() if isinstance(types[c], kinds) and not isinstance(types[c], DecimalType)), "s")
+            v = F.unix_date(F.col(f"`{c}`")) if isinstance(types[c], DateType) else F.col(f"`{c}`")
+            values = [(v if s == at else F.lit(None)).cast(k).alias(s) for s, k in (("l", "bigint"), ("d", "double"), ("s", "string"))]
+            cells.append(F.struct(F.lit(i).alias("i"), *values))
+        pairs = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
+        pairs = pairs.groupBy("i", "l", "d", "s").agg(F.count("*").alias("n"))
+        per = pairs.groupBy("i").agg(F.sum("n").alias("non_null"), F.count("*").alias("unique"))
+        wide = per.agg(*[e for i, c in enumerate(cols) for e in (F.coalesce(F.max(F.when(F.col("i") == i, F.col("non_null"))), F.lit(0)).alias(f"{c}__non_null"),
+                                                              F.coalesce(F.max(F.when(F.col("i") == i, F.col("unique"))), F.lit(0)).alias(f"{c}__unique"))])
+    items = ", ".join(f"'{c}', '{types[c].simpleString()}', `{c}__non_null`, `{c}__unique`" for c in cols)
     return wide.select(F.expr(f"stack({len(cols)}, {items})").alias("column", "dtype", "non_null", "unique"))
 
 

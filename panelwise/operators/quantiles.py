@@ -1,167 +1,175 @@
-"""Exact quantiles (linear interpolation) without holding a group in one task.
-
-``percentile`` / ``median`` merge every distinct value of a group into one
-task; over a whole column of a very large table that is the whole column.
-Here the order statistics are found by bracketing instead:
-
-1. one pass per (group, column): count, min, max and a ``percentile_approx``
-   grid (GRID points, bounded memory);
-2. each target rank r = p * (n - 1) (floor and ceil) gets a bracket
-   [lo, hi] between grid points around it, and a refinement pass over the
-   rows inside the previous bracket counts the rows below the new one and
-   re-sketches inside it -- the bracket shrinks ~GRID/4 times per pass;
-3. once a bracket holds at most ``candidate_limit`` rows, its distinct values
-   with multiplicities are ranked by a window per target (bounded size) and
-   the exact order statistics are picked.
-
-Brackets are only accepted after their rank counts are checked, so the
-result is exact whatever the sketch's error; the sketch only decides how
-fast the brackets shrink.  Groups with at most ``candidate_limit`` values go
-straight to step 3.  The small per-target state is checkpointed each round.
+"""Exact quantiles (linear interpolation) that no task has to hold a column or a group for.
+
+*Whole columns* (``column_quantiles``): the order statistics of all columns
+are narrowed together.  Each pass is one wide aggregate without a key: for
+every order statistic sought it counts the rows below and up to two pivots and
+sketches what lies between them; a handful of numbers comes back.  A pivot
+that the sought rank falls on is the answer, however many rows are equal to
+it.  Pivots come from the sketches, which narrow the rows between them some
+hundredfold a pass; when a sketch doesn't help, the pivot is the middle of the
+bracket in the ordered bits of a double, which halves the 64 bits left.
+
+*Per group* (``group_quantiles``): each group's distinct values, counted once
+in every task and once after the shuffle, are sorted into blocks
+(:mod:`panelwise.operators.blocks`); a value's rank is its place in its block
+after the counts of the group's earlier blocks.  A hot group spreads over the
+blocks that its distinct values need.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-GRID = 1000
-SKETCH_ACCURACY = 10000
-CANDIDATE_LIMIT = 200_000
-MAX_ROUNDS = 6
-
-
-def _long(df: DataFrame, cols, groups) -> DataFrame:
-    recs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
-    return (
-        df.select(*groups, F.explode(recs).alias("_kv"))
-        .select(*groups, "_kv.column", "_kv.v")
-        .where(F.col("v").isNotNull())
-    )
-
-
-def _propose(state: DataFrame) -> DataFrame:
-    """New bracket from the grid of the current bracket's rows."""
-    t_lo = F.col("r_lo") - F.col("c_below")
-    t_hi = F.col("r_hi") - F.col("c_below")
-    span = F.greatest(F.col("m") - 1, F.lit(1)).cast("double")
-    k_lo = F.greatest(F.floor(t_lo / span * GRID) - 2, F.lit(0)).cast("int")
-    k_hi = F.least(F.ceil(t_hi / span * GRID) + 2, F.lit(GRID)).cast("int")
-    return state.withColumn("nlo", F.element_at("qs", k_lo + 1)).withColumn("nhi", F.element_at("qs", k_hi + 1))
-
-
-def _select_direct(long: DataFrame, keys, probs) -> DataFrame:
-    """All groups small: rank each group's distinct values once and pick every
-    requested order statistic in one aggregate."""
-    cand = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    ranked = cand.withColumn("upto", F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ranked = ranked.withColumn("n", F.sum("cnt").over(Window.partitionBy(*keys)))
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
-        aggs.append(F.min(F.when(F.col("upto") > F.floor(pos), F.col("v"))).alias(f"_lo{i}"))
-        aggs.append(F.min(F.when(F.col("upto") > F.ceil(pos), F.col("v"))).alias(f"_hi{i}"))
-    aggs.append(F.max("n").alias("n"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    recs = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("n") - 1).cast("double")
-        frac = pos - F.floor(pos)
-        recs.append(F.struct(F.lit(float(p)).alias("p"),
-                             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias("value")))
-    return picked.select(*keys, F.explode(F.array(*recs)).alias("_q")).select(*keys, "_q.p", "_q.value")
-
-
-def exact_quantiles(df: DataFrame, cols, probs, groups=(), candidate_limit: int = CANDIDATE_LIMIT,
-                    max_group_rows: int | None = None) -> DataFrame:
-    """Exact quantiles (numpy/pandas 'linear') per group and column.
-
-    Returns long rows: (*groups, column, p, value).  NULLs are skipped; a
-    group/column without values yields no row.  ``max_group_rows``: an
-    already known upper bound on non-null values per (group, column), which
-    saves the sizing pass.
+import math
+import struct
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from panelwise.functions.columns import nan_to_null
+from panelwise.operators.blocks import BLOCK, block_window, in_blocks
+
+#: Points of a sketch's grid, and the rank error of a sketch (one part in so many; none up to that many rows).
+GRID = 500
+ACCURACY = 2000
+
+
+# ---------------------------------------------------------------------- ordered bits
+def to_bits(x: float) -> int:
+    """A double's place in the order of all doubles, as a signed 64-bit number."""
+    n = struct.unpack("<q", struct.pack("<d", x))[0]
+    return n if n >= 0 else -(n & 0x7FFFFFFFFFFFFFFF)
+
+
+def from_bits(n: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", n))[0] if n >= 0 else -struct.unpack("<d", struct.pack("<q", -n))[0]
+
+
+# ---------------------------------------------------------------------- whole columns
+@dataclass
+class _Sought:
+    """One order statistic: ``below`` rows lie up to ``lo``, ``inside`` between ``lo`` and ``hi`` (both exclusive)."""
+
+    column: str
+    rank: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+    #: quantiles of ``grid_rows`` rows that come after ``grid_below`` others
+    grid: list[float] | None
+    grid_below: int
+    grid_rows: int
+    halve: bool = False
+    found: float | None = None
+
+    def pivots(self) -> tuple[float, float]:
+        if self.grid and not self.halve:
+            at = (self.rank - self.grid_below + 1) / self.grid_rows * GRID
+            slack = 0 if self.grid_rows <= ACCURACY else 1
+            pair = [self.grid[min(max(i, 0), GRID)] for i in (math.floor(at) - slack, math.ceil(at) + slack)]
+            pair = [p for p in pair if self.lo < p < self.hi]
+            if pair:
+                return pair[0], pair[-1]
+        middle = from_bits((to_bits(self.lo) + to_bits(self.hi)) // 2)
+        return middle, middle
+
+    def narrowed(self, p: float, q: float, counts: Sequence[int], grid: list[float] | None) -> None:
+        """Take the counts of rows below p, up to p, below q and up to q."""
+        before, (lt_p, le_p, lt_q, le_q) = self.inside, counts
+        if lt_p <= self.rank < le_p:
+            self.found = p
+        elif lt_q <= self.rank < le_q:
+            self.found = q
+        elif self.rank < lt_p:
+            self.hi, self.inside = p, lt_p - self.below
+        elif self.rank >= le_q:
+            self.inside -= le_q - self.below
+            self.lo, self.below = q, le_q
+        else:
+            self.lo, self.hi, self.below, self.inside = p, q, le_p, lt_q - le_p
+            self.grid, self.grid_below, self.grid_rows = grid, le_p, lt_q - le_p
+        self.halve = self.found is None and 2 * self.inside > before
+
+
+def _sketch(x: Column) -> Column:
+    return F.percentile_approx(x, [k / GRID for k in range(GRID + 1)], ACCURACY)
+
+
+def column_quantiles(df: DataFrame, cols: Iterable[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Per column, its exact quantiles; None for a column without values (NULL and NaN are skipped).
+
+    What comes back to the driver a pass is a few numbers and a sketch's grid
+    for each (column, quantile).  ``df`` is read once a pass, three times for
+    some 100,000 rows, five for 10^9: keep it as a table if it is dear.
     """
-    from panelwise.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    groups = list(groups)
-    keys = groups + ["column"]
-    long = _long(df, cols, groups)
-    grid = [k / GRID for k in range(GRID + 1)]
-    if max_group_rows is not None and max_group_rows <= candidate_limit:
-        return _select_direct(long, keys, probs)
-    from panelwise.session import memoised_plan_choice
-
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    all_small = memoised_plan_choice(df, ("quantile-groups", tuple(keys), tuple(cols), candidate_limit),
-                                     lambda: sizes.where(F.col("n") > candidate_limit).isEmpty())
-    if all_small:
-        # every group is small: one ranking pass, no brackets needed
-        return _select_direct(long, keys, probs)
-    base = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.percentile_approx("v", grid, SKETCH_ACCURACY).alias("qs"),
-    )
-    targets = F.array(*[F.struct(F.lit(i).alias("pidx"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    state = base.select(*keys, "n", "lo", "hi", "qs", F.explode(targets).alias("_t")).select(
-        *keys, "n", "lo", "hi", "qs", "_t.pidx", "_t.p",
-    )
-    pos = F.col("p") * (F.col("n") - 1).cast("double")
-    state = (
-        state.withColumn("r_lo", F.floor(pos).cast("bigint"))
-        .withColumn("r_hi", F.ceil(pos).cast("bigint"))
-        .withColumn("frac", pos - F.floor(pos))
-        .withColumn("c_below", F.lit(0).cast("bigint"))
-        .withColumn("m", F.col("n"))
-    )
-    tkeys = keys + ["pidx"]
-    if state.where(F.col("m") > candidate_limit).isEmpty():
-        final = state
-    else:
-        ensure_checkpoint_dir(spark)
-        state = state.checkpoint()
-        for _ in range(MAX_ROUNDS):
-            if state.where(F.col("m") > candidate_limit).isEmpty():
-                break
-            prop = _propose(state).where(F.col("m") > candidate_limit)
-            inside = long.join(prop.select(*tkeys, "lo", "hi", "nlo", "nhi"), on=keys).where(
-                F.col("v").between(F.col("lo"), F.col("hi")))
-            in_new = F.col("v").between(F.col("nlo"), F.col("nhi"))
-            counted = inside.groupBy(*tkeys).agg(
-                F.count_if(F.col("v") < F.col("nlo")).alias("below"),
-                F.count_if(in_new).alias("m_new"),
-                F.percentile_approx(F.when(in_new, F.col("v")), grid, SKETCH_ACCURACY).alias("qs_new"),
-            )
-            nxt = prop.join(counted, on=tkeys, how="left")
-            ok = ((F.col("c_below") + F.col("below")) <= F.col("r_lo")) & (
-                (F.col("c_below") + F.col("below") + F.col("m_new")) > F.col("r_hi")) & (F.col("m_new") < F.col("m"))
-            refined = nxt.select(
-                *tkeys, "n", "p", "r_lo", "r_hi", "frac",
-                F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-                F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
-                F.when(ok, F.col("c_below") + F.col("below")).otherwise(F.col("c_below")).alias("c_below"),
-                # a rejected proposal keeps the previous (verified) bracket; after
-                # MAX_ROUNDS whatever bracket remains goes to selection -- still exact
-                F.when(ok, F.col("m_new")).otherwise(F.col("m")).alias("m"),
-                F.when(ok, F.col("qs_new")).otherwise(F.col("qs")).alias("qs"),
-            )
-            state = state.where(F.col("m") <= candidate_limit).unionByName(refined)
-            state = state.checkpoint()
-        final = state
-    # selection: distinct candidate values inside each bracket, ranked per target
-    cand = (
-        long.join(final.select(*tkeys, "lo", "hi", "c_below", "r_lo", "r_hi", "frac", "p"), on=keys)
-        .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .groupBy(*tkeys, "v", "c_below", "r_lo", "r_hi", "frac", "p")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    w = Window.partitionBy(*tkeys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cand.withColumn("upto", F.col("c_below") + F.sum("cnt").over(w))
-    picked = ranked.groupBy(*tkeys, "p", "frac").agg(
-        F.min(F.when(F.col("upto") > F.col("r_lo"), F.col("v"))).alias("x_lo"),
-        F.min(F.when(F.col("upto") > F.col("r_hi"), F.col("v"))).alias("x_hi"),
-    )
-    return picked.select(
-        *keys, "p",
-        (F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * F.col("frac")).alias("value"),
-    )
+    cols = list(cols)
+    value = {c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in cols}
+    row = df.agg(*[e for c in cols for e in (F.count(value[c]), _sketch(value[c]))]).first() if cols else []
+    state: dict[tuple[str, int], _Sought] = {}
+    sizes = {}
+    for i, c in enumerate(cols):
+        n, grid = row[2 * i], row[2 * i + 1]
+        sizes[c] = n
+        for p in probs if n else []:
+            for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
+                state.setdefault((c, rank), _Sought(c, rank, -math.inf, math.inf, 0, n, list(grid), 0, n))
+    # the infinities are values like others, but no pivot lies beyond them
+    for s in state.values():
+        if math.isinf(s.grid[0]) or math.isinf(s.grid[-1]):
+            s.lo, s.hi = from_bits(to_bits(-math.inf) - 1), from_bits(to_bits(math.inf) + 1)
+    while open_ := [s for s in state.values() if s.found is None]:
+        aggs: dict[tuple, Column] = {}
+        asked = []
+        for s in open_:
+            v, (p, q) = value[s.column], s.pivots()
+            keys = [(s.column, "<", p), (s.column, "<=", p), (s.column, "<", q), (s.column, "<=", q), (s.column, "in", p, q)]
+            for op, at, key in (("<", p, keys[0]), ("<=", p, keys[1]), ("<", q, keys[2]), ("<=", q, keys[3])):
+                aggs[key] = F.count_if(v < F.lit(at) if op == "<" else v <= F.lit(at))
+            if p < q:
+                aggs[keys[4]] = _sketch(F.when((v > F.lit(p)) & (v < F.lit(q)), v))
+            asked.append((s, p, q, keys))
+        row = df.agg(*aggs.values()).first()
+        got = dict(zip(aggs, row))
+        for s, p, q, keys in asked:
+            grid = got.get(keys[4])
+            s.narrowed(p, q, [got[k] for k in keys[:4]], list(grid) if grid else None)
+    found = {}
+    for c in cols:
+        values = []
+        for p in probs if sizes[c] else []:
+            place = p * (sizes[c] - 1)
+            a, b = state[c, math.floor(place)].found, state[c, math.ceil(place)].found
+            values.append(a if a == b else a + (b - a) * (place - math.floor(place)))
+        found[c] = values or None
+    return found
+
+
+# ---------------------------------------------------------------------- per group
+def value_counts_in_blocks(df: DataFrame, group: str, value: str, blocks: int | None = None) -> DataFrame:
+    """(group, value, n) of all rows with both, sorted into blocks; a table that is read more than once."""
+    d = df.select(F.col(group).alias(group), nan_to_null(F.col(f"`{value}`").cast("double")).alias("v"))
+    counts = d.where(F.col(group).isNotNull() & F.col("v").isNotNull()).groupBy(group, "v").agg(F.count("*").alias("n"))
+    return in_blocks(counts, [group], [F.asc("v")], blocks)
+
+
+def group_quantiles(counts: DataFrame, group: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Per group of ``value_counts_in_blocks``: ``n`` and its exact quantiles, one column each."""
+    whole = Window.partitionBy(group)
+    before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(group, BLOCK).agg(F.sum("n").alias("_part")).select(
+        group, BLOCK, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_before"), F.sum("_part").over(whole).alias("_all"))
+    # the join and the ranks share one shuffle by (group, block)
+    here = block_window([group], [F.asc("v")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.join(parts, [group, BLOCK]).withColumn("_upto", F.col("_before") + F.sum("n").over(here))
+    aggs = [F.max("_all").alias("n")]
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("_all") - 1).cast("double")
+        aggs += [F.min(F.when(F.col("_upto") > F.floor(place), F.col("v"))).alias(f"_lo{i}"),
+                 F.min(F.when(F.col("_upto") > F.ceil(place), F.col("v"))).alias(f"_hi{i}")]
+    picked = ranked.groupBy(group).agg(*aggs)
+    values = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        place = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        values.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return picked.select(group, "n", *values)

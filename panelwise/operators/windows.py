@@ -1,21 +1,21 @@
 """Per-entity series windows (ROWS frames, ordered by date then row id).
 
-All of them share ``entity_window``: Spark plans one exchange on the entity
-and one sort, whatever the number of window columns.  A partition holds one
-entity's series, i.e. at most one row per day and duplicate -- the panel's
-grain -- and the frames are bounded (7 rows, k rows) or running sums.
-When an entity is too large for one task (``split``; default: checked on
-the data), the same columns are computed per (entity, month) segment with a
-halo of preceding rows, and running sums are shifted by the earlier
-segments' totals (:mod:`panelwise.operators.segments`).
+The series are cut into blocks by sampled range boundaries
+(:mod:`panelwise.operators.blocks`), so an entity of any size spreads over as
+many tasks as its rows need.  Frames that look back get a halo of the rows
+before the block; running totals get the exact sums of the earlier blocks
+(:mod:`panelwise.operators.exact_sums`), so they don't depend on where the
+blocks begin.  ``blocks`` bounds their number, for tests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.operators import segments as sg
-from panelwise.operators.prepare import entity_window
+from panelwise.operators.blocks import BLOCK, HALO, block_window, in_blocks, pieces, with_halo, with_prefix
+from panelwise.operators.exact_sums import limbs_of
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 DAILY_METRICS = ("New_deaths", "daily_vaccinations")
@@ -26,61 +26,65 @@ def _null_entity_is_null(spec: PanelSpec, value: Column) -> Column:
     return F.when(F.col(spec.entity).isNull(), F.lit(None)).otherwise(value)
 
 
-def running_total(metric: str, spec: PanelSpec = DEFAULT_SPEC) -> Column:
-    """Cumulative sum per entity (a NULL value stays NULL, like cumsum)."""
-    w = entity_window(spec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    val = F.when(F.col(metric).isNull(), F.lit(None)).otherwise(F.sum(metric).over(w))
-    return _null_entity_is_null(spec, val)
-
-
-def trailing_mean(metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC) -> Column:
-    """Mean of the last ``rows`` rows (min_periods=1) -- rows, not days."""
-    w = entity_window(spec).rowsBetween(-(rows - 1), Window.currentRow)
-    return _null_entity_is_null(spec, F.avg(metric).over(w))
-
-
-def cumulative_and_rolling(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows: int = 7,
-                           split: bool | None = None) -> DataFrame:
-    """W4 + W5 for deaths and daily vaccinations (the four series of the
-    cumulative / rolling section)."""
-    if sg.decide_split(df, spec, split):
-        base = df.select(spec.entity, spec.date, spec.row_id, spec.new_deaths, "daily_vaccinations")
-        x = sg.with_halo(base, rows - 1, spec)
-        sw = sg.segment_window(spec).rowsBetween(-(rows - 1), Window.currentRow)
-        x = x.withColumn("Rolling_Avg_Deaths", _null_entity_is_null(spec, F.avg(spec.new_deaths).over(sw)))
-        x = x.withColumn("Rolling_Avg_Daily_Vaccinations",
-                         _null_entity_is_null(spec, F.avg("daily_vaccinations").over(sw)))
-        x = x.where(~F.col(sg.HALO))
-        for metric, out in ((spec.new_deaths, "Cumulative_New_Deaths"),
-                            ("daily_vaccinations", "Cumulative_Daily_Vaccinations")):
-            x = sg.running_sum_segmented(x, metric, out, spec)
-            x = x.withColumn(out, _null_entity_is_null(
-                spec, F.when(F.col(metric).isNull(), F.lit(None)).otherwise(F.col(out))))
-        return x.select(spec.entity, spec.date, spec.row_id, "Cumulative_New_Deaths", "Rolling_Avg_Deaths",
-                        "Cumulative_Daily_Vaccinations", "Rolling_Avg_Daily_Vaccinations")
-    return df.select(
-        spec.entity, spec.date, spec.row_id,
-        running_total(spec.new_deaths, spec).alias("Cumulative_New_Deaths"),
-        trailing_mean(spec.new_deaths, rows, spec).alias("Rolling_Avg_Deaths"),
-        running_total("daily_vaccinations", spec).alias("Cumulative_Daily_Vaccinations"),
-        trailing_mean("daily_vaccinations", rows, spec).alias("Rolling_Avg_Daily_Vaccinations"),
-    )
-
-
-def lag_pairs(df: DataFrame, metric: str, lag: int = 7, spec: PanelSpec = DEFAULT_SPEC,
-              split: bool | None = None) -> DataFrame:
+def _series(spec: PanelSpec):
+    return [spec.entity], spec.order(), [spec.entity, spec.date, spec.row_id]
+
+
+def _with_running_totals(rows: DataFrame, blocked: DataFrame, totals: Mapping[str, str], spec: PanelSpec) -> DataFrame:
+    """Adds W4's totals to ``rows``, the blocks with or without a halo."""
+    key, order, _ = _series(spec)
+    own = ~F.col(HALO) if HALO in rows.columns else F.lit(True)
+    w = block_window(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = limbs_of(blocked, totals)
+    sums, running = {}, {}
+    for i, metric in enumerate(totals):
+        for j, limb in enumerate([*cut[metric].of_value(), cut[metric].not_finite()]):
+            sums[f"_before_{i}_{j}"] = F.sum(limb)
+            running[f"_here_{i}_{j}"] = F.sum(F.when(own, limb)).over(w)
+    out = with_prefix(rows.select("*", *[c.alias(n) for n, c in running.items()]), pieces(blocked, key, **sums), key, *sums)
+    out = out.withColumns({n: F.when(F.coalesce(n, n.replace("here", "before")).isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce(n.replace("here", "before"), F.lit(0)))
+                           for n in running})
+    found = {}
+    for i, (metric, name) in enumerate(totals.items()):
+        *limbs, beyond = [n for n in running if n.startswith(f"_here_{i}_")]
+        value = F.when(F.col(metric).isNull(), F.lit(None)).otherwise(cut[metric].total(limbs, beyond))
+        found[name] = _null_entity_is_null(spec, value)
+    return out.withColumns(found).drop(*running, *sums, "_rows_before")
+
+
+def running_totals(df: DataFrame, totals: Mapping[str, str], spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
+    """Per entity, the running total of each metric (a NULL value stays NULL, like cumsum).
+
+    ``totals`` maps a metric to the name of its total.  Each is the double
+    nearest to the true sum, whatever the order in which rows are added.
+    """
+    key, order, names = _series(spec)
+    blocked = in_blocks(df.select(*names, *totals), key, order, blocks)
+    return _with_running_totals(blocked, blocked, totals, spec).select(*names, *totals.values())
+
+
+def cumulative_and_rolling(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, rows: int = 7, blocks: int | None = None) -> DataFrame:
+    """W4 + W5 for deaths and daily vaccinations: running totals, and means of the
+    last ``rows`` rows (rows, not days; at the start of fewer)."""
+    key, order, names = _series(spec)
+    blocked = in_blocks(df.select(*names, spec.new_deaths, "daily_vaccinations"), key, order, blocks)
+    x = with_halo(blocked, key, order, rows - 1)
+    trailing = block_window(key, order).rowsBetween(-(rows - 1), Window.currentRow)
+    x = x.withColumns({"Rolling_Avg_Deaths": _null_entity_is_null(spec, F.avg(spec.new_deaths).over(trailing)),
+                       "Rolling_Avg_Daily_Vaccinations": _null_entity_is_null(spec, F.avg("daily_vaccinations").over(trailing))})
+    totals = {spec.new_deaths: "Cumulative_New_Deaths", "daily_vaccinations": "Cumulative_Daily_Vaccinations"}
+    x = _with_running_totals(x, blocked, totals, spec).where(~F.col(HALO))
+    return x.select(*names, "Cumulative_New_Deaths", "Rolling_Avg_Deaths", "Cumulative_Daily_Vaccinations", "Rolling_Avg_Daily_Vaccinations")
+
+
+def lag_pairs(df: DataFrame, metric: str, lag: int = 7, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
     """(value at t, value ``lag`` rows earlier) per entity; incomplete pairs dropped."""
     if not 1 <= lag <= 30:
         raise ValueError("lag must be between 1 and 30")
-    base = df.select(spec.entity, spec.date, spec.row_id, metric)
-    if sg.decide_split(df, spec, split):
-        x = sg.with_halo(base, lag, spec)
-        lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(sg.segment_window(spec)))
-        out = x.withColumn("lagged_metric", lagged).where(~F.col(sg.HALO)).drop(sg.SEG, sg.HALO)
-    else:
-        lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(entity_window(spec)))
-        out = base.withColumn("lagged_metric", lagged)
-    return out.dropna(subset=[metric, "lagged_metric"])
+    key, order, names = _series(spec)
+    x = with_halo(in_blocks(df.select(*names, metric), key, order, blocks), key, order, lag)
+    lagged = _null_entity_is_null(spec, F.lag(metric, lag).over(block_window(key, order)))
+    return x.withColumn("lagged_metric", lagged).where(~F.col(HALO)).drop(BLOCK, HALO).dropna(subset=[metric, "lagged_metric"])
 
 
 def lag_correlation(pairs: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
@@ -92,40 +96,28 @@ def lag_correlation(pairs: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPE
     )
 
 
-def daily_change(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC, split: bool | None = None) -> DataFrame:
+def daily_change(df: DataFrame, metric: str, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
     """Day-over-day change of a cumulative metric (first row 0, not clamped);
     daily metrics are already changes and pass through."""
+    key, order, names = _series(spec)
     if metric in DAILY_METRICS:
-        return df.select(spec.entity, spec.date, spec.row_id, F.col(metric).alias(metric))
+        return df.select(*names, F.col(metric).alias(metric))
     out_col = f"{metric}_calculated_daily_change"
-    base = df.select(spec.entity, spec.date, spec.row_id, metric)
-    segmented = sg.decide_split(df, spec, split)
-    if segmented:
-        base = sg.with_halo(base, 1, spec)
-    w = sg.segment_window(spec) if segmented else entity_window(spec)
-    diff = F.coalesce(F.col(metric) - F.lag(metric).over(w), F.lit(0.0))
+    x = with_halo(in_blocks(df.select(*names, metric), key, order, blocks), key, order, 1)
+    diff = F.coalesce(F.col(metric) - F.lag(metric).over(block_window(key, order)), F.lit(0.0))
     diff = F.when(F.col(spec.entity).isNull(), F.lit(0.0)).otherwise(diff)
-    out = base.withColumn(out_col, diff)
-    if segmented:
-        out = out.where(~F.col(sg.HALO))
-    return out.select(spec.entity, spec.date, spec.row_id, out_col)
+    return x.withColumn(out_col, diff).where(~F.col(HALO)).select(*names, out_col)
 
 
-def last_rows_mean(df: DataFrame, metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC,
-                   split: bool | None = None) -> DataFrame:
+def last_rows_mean(df: DataFrame, metric: str, rows: int = 7, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Mean of each entity's last ``rows`` non-null values.
 
-    Split plan: the last ``rows`` of every (entity, month) first, then the
-    last ``rows`` of those per entity (at most rows x months per entity).
+    The rank limit is applied in every task before the shuffle, so at most
+    ``rows`` rows a task and entity are moved.
     """
     w = Window.partitionBy(spec.entity).orderBy(F.desc(spec.date), F.desc(spec.row_id))
-    base = df.where(F.col(spec.entity).isNotNull() & F.col(metric).isNotNull())
-    if sg.decide_split(df, spec, split):
-        ws = Window.partitionBy(spec.entity, sg.SEG).orderBy(F.desc(spec.date), F.desc(spec.row_id))
-        base = (base.withColumn(sg.SEG, sg.segment_key(spec)).withColumn("_rs", F.row_number().over(ws))
-                .where(F.col("_rs") <= rows).drop("_rs", sg.SEG))
     return (
-        base
+        df.where(F.col(spec.entity).isNotNull() & F.col(metric).isNotNull())
         .withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") <= rows)
         .groupBy(spec.entity)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelwise.operators import aggregate as agg
 from panelwise.operators import filters as flt
+from panelwise.operators.prepare import prepare_panel
 from panelwise.plans.oracle_base import with_prepared, with_raw
 from panelwise.plans.registry import PREPARED_DOUBLES, RAW_DOUBLES, panel_view, prepared, register
 
@@ -18,8 +19,8 @@ def q_panel_view(spark, sf_dir):
 @register("prepare_panel", with_prepared("SELECT * FROM prepared"), PREPARED_DOUBLES,
           ("F1", "C1", "C2", "C3", "C4", "C5", "C6", "C7", "C8", "C9", "W1", "W2", "W3", "J3"))
 def q_prepare_panel(spark, sf_dir):
-    """cleaned, typed panel with the eight derived features."""
-    return prepared(spark, sf_dir)
+    """cleaned, typed panel with the eight derived features (derived anew, not read from the kept table)."""
+    return prepare_panel(panel_view(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ filters

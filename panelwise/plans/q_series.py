@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from panelwise.operators import filters
 from panelwise.operators import timeseries as ts
 from panelwise.operators import windows as win
 from panelwise.plans.oracle_base import with_events, with_prepared
-from panelwise.plans.registry import PREPARED_DOUBLES, prepared, register
+from panelwise.plans.registry import PREPARED_DOUBLES, prepared, prepared_table, register
 from panelwise.sources.driver_views import events_view
 from panelwise.spec import PanelSpec
 
@@ -42,12 +41,30 @@ _FILTERED = f"""
 
 
 def _filtered(spark, sf_dir):
-    return filters.filter_panel(prepared(spark, sf_dir), _ENTITIES, _START, _END)
+    return prepared_table(spark, sf_dir).read(_ENTITIES, _START, _END)
 
 
-@register("filtered_panel", with_prepared(_FILTERED + "\nSELECT * FROM filtered"), PREPARED_DOUBLES, ("P1",))
+#: Multiples of 2^-64 add up exactly as HUGEINT; the sum is rounded once, from a 63-bit head and the rest.
+_EXACT = 64
+_FRACTIONS_SQL = f"""
+, s AS (SELECT country, date, row_id, new_deaths_per_million AS m,
+          sum(CAST(new_deaths_per_million * {2.0 ** _EXACT!r}::DOUBLE AS HUGEINT)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t
+        FROM prepared)
+, h AS (SELECT *, CAST(t // {2 ** 24} AS DOUBLE) AS head FROM s)
+SELECT country, date, row_id, CASE WHEN country IS NULL OR m IS NULL THEN NULL
+  ELSE (head * {2.0 ** 24!r}::DOUBLE + CAST(t - CAST(head AS HUGEINT) * {2 ** 24} AS DOUBLE)) / {2.0 ** _EXACT!r}::DOUBLE END AS running_deaths_per_million
+FROM h"""
+
+
+@register("running_fractions", with_prepared(_FRACTIONS_SQL), ("running_deaths_per_million",), ("W4",), exact=True)
+def q_running_fractions(spark, sf_dir):
+    """W4 of a fractional metric: each total is the double nearest to the true sum, bit for bit."""
+    return win.running_totals(prepared(spark, sf_dir), {"new_deaths_per_million": "running_deaths_per_million"})
+
+
+@register("filtered_panel", with_prepared(_FILTERED + "\nSELECT * FROM filtered"), PREPARED_DOUBLES, ("P1", "S3"))
 def q_filtered_panel(spark, sf_dir):
-    """Chosen entities and dates; features come from the whole panel, so the first kept day has its difference."""
+    """P1 on S3's kept table, whose other years aren't opened: chosen entities and dates; features come from the whole panel, so the first kept day has its difference."""
     return _filtered(spark, sf_dir)
 
 

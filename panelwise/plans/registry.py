@@ -16,6 +16,7 @@ from panelwise.functions.rounding import stable_round_doubles
 from panelwise.operators.prepare import prepare_panel
 from panelwise.plans.oracle_base import finalize, with_prepared, with_raw
 from panelwise.sources.driver_views import events_view, panel_view
+from panelwise.sources.prepared import PreparedTable, keep_prepared
 
 
 @dataclass
@@ -30,22 +31,30 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, oracle: str | None, doubles=(), operators=()):
+def register(name: str, oracle: str | None, doubles=(), operators=(), exact: bool = False):
+    """``exact``: the doubles are the same in both engines to the last bit and are published as they are."""
     def deco(fn):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return stable_round_doubles(fn(spark, sf_dir))
+            found = fn(spark, sf_dir)
+            return found if exact else stable_round_doubles(found)
 
         build.__name__ = f"q_{name}"
         build.__doc__ = fn.__doc__
-        REGISTRY[name] = Query(name, build, finalize(oracle, doubles) if oracle else None,
+        REGISTRY[name] = Query(name, build, finalize(oracle, () if exact else doubles) if oracle else None,
                                tuple(doubles), tuple(operators))
         return fn
 
     return deco
 
 
+def prepared_table(spark: SparkSession, sf_dir: str) -> PreparedTable:
+    """The prepared panel of a folder's tables, derived once and kept while they don't change."""
+    inputs = [f"{sf_dir}/{name}.parquet" for name in ("orders", "customer", "nation")]
+    return keep_prepared(spark, inputs, lambda: prepare_panel(panel_view(spark, sf_dir)))
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_panel(panel_view(spark, sf_dir))
+    return prepared_table(spark, sf_dir).read()
 
 
 PREPARED_DOUBLES = (

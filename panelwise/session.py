@@ -55,22 +55,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
-
-
-_PLAN_DECISIONS: dict = {}
-
-
-def memoised_plan_choice(df, tag, compute):
-    """Memoise a data-dependent *plan choice* per analysed plan and session.
-
-    Only for choices between plans that return identical results (e.g. split
-    vs plain windows, direct vs bracketed quantile selection): a stale answer
-    can cost speed, never correctness.  ``compute()`` runs the (small) job.
-    """
-    try:
-        key = (id(df.sparkSession), df._jdf.queryExecution().analyzed().semanticHash(), tag)
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no JVM handle, no memo
-        return compute()
-    if key not in _PLAN_DECISIONS:
-        _PLAN_DECISIONS[key] = compute()
-    return _PLAN_DECISIONS[key]

@@ -15,3 +15,4 @@ from panelwise.sources.driver_views import (  # noqa: F401
     events_view,
     load_tables,
 )
+from panelwise.sources.prepared import PreparedTable, drop_prepared, keep_prepared  # noqa: F401

@@ -78,11 +78,7 @@ def write_prepared(df: DataFrame, path: str, spec: PanelSpec = DEFAULT_SPEC, par
     tasks that each write into one or two year directories, with files
     clustered by entity and date (tight min/max statistics for pushdown).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        df.withColumn("year", F.year(F.col(spec.date)))
-        .repartitionByRange(n, "year", spec.entity, spec.date)
-        .write.mode("overwrite")
-        .partitionBy("year")
-        .parquet(path)
-    )
+    by = ["year", spec.entity, spec.date]
+    dated = df.withColumn("year", F.year(F.col(spec.date)))
+    placed = dated.repartitionByRange(partitions, *by) if partitions else dated.repartitionByRange(*by)
+    placed.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("year").parquet(path)

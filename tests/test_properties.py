@@ -165,50 +165,6 @@ def test_missing_cells_shape(spark, raw_panel):
     assert m.where("population").count() == 1  # the empty population cell
 
 
-@pytest.mark.parametrize("which", ["prepare", "cumulative", "lag", "change", "last"])
-def test_split_windows_equal_plain(spark, raw_panel, which):
-    """The (entity, month) segmented plan for hot entities gives exactly the
-    plain plan's rows -- on the driver panel and on the hand-made panel
-    (duplicate dates, NULL entity, gaps)."""
-    for raw in (panel_view(spark, SF001), raw_panel):
-        p = prepare_panel(raw, split=False).cache()
-        if which == "prepare":
-            a, b = p, prepare_panel(raw, split=True)
-        elif which == "cumulative":
-            a, b = win.cumulative_and_rolling(p, split=False), win.cumulative_and_rolling(p, split=True)
-        elif which == "lag":
-            a, b = win.lag_pairs(p, "New_deaths", 3, split=False), win.lag_pairs(p, "New_deaths", 3, split=True)
-        elif which == "change":
-            a, b = (win.daily_change(p, "people_vaccinated", split=False),
-                    win.daily_change(p, "people_vaccinated", split=True))
-        else:
-            a, b = win.last_rows_mean(p, "New_deaths", split=False), win.last_rows_mean(p, "New_deaths", split=True)
-        cols = a.columns
-        ra = sorted((tuple(r) for r in a.select(*cols).collect()), key=repr)
-        rb = sorted((tuple(r) for r in b.select(*cols).collect()), key=repr)
-        assert ra == rb
-
-
-@pytest.mark.parametrize("which", ["prepare", "cumulative", "lag", "change", "last"])
-def test_split_windows_equal_plain_with_undated_rows(spark, which):
-    """Undated rows come last in both plans; fractional sums may differ in the last bits."""
-    raw = panel_view(spark, SF001)
-    raw = raw.withColumn("date", F.when(F.pmod(F.hash("row_id"), F.lit(6)) > 0, F.col("date")))
-    for c, by in (("New_deaths", 3), ("people_vaccinated", 7), ("total_vaccinations", 11)):
-        raw = raw.withColumn(c, F.col(c) / by)
-    p = prepare_panel(raw, split=False).cache()
-    assert p.where("date is null").groupBy("country").count().where("count > 3").count() > 1
-    call = {"prepare": lambda s: prepare_panel(raw, split=s), "cumulative": lambda s: win.cumulative_and_rolling(p, split=s),
-            "lag": lambda s: win.lag_pairs(p, "New_deaths", 3, split=s), "change": lambda s: win.daily_change(p, "people_vaccinated", split=s),
-            "last": lambda s: win.last_rows_mean(p, "New_deaths", split=s)}[which]
-    key = ["country"] if which == "last" else ["row_id"]
-    a, b = (call(s).orderBy(*key).collect() for s in (False, True))
-    assert len(a) == len(b) > 0
-    for x, y in zip(a, b):
-        for u, v in zip(x, y):
-            assert u == pytest.approx(v, rel=1e-12) if isinstance(u, float) and isinstance(v, float) else u == v
-
-
 def test_describe_approximate_option(panel):
     exact = {r["column"]: r for r in prof.describe(panel, ["New_deaths"]).collect()}["New_deaths"]
     approx = {r["column"]: r for r in prof.describe(panel, ["New_deaths"], exact=False).collect()}["New_deaths"]
@@ -230,22 +186,3 @@ def test_column_profile_approx_close(panel):
     approx = {r["column"]: r["unique"] for r in prof.column_profile(panel, approx=True).collect()}
     for c, v in exact.items():
         assert abs(approx[c] - v) <= max(2, 0.1 * v)
-
-
-def test_auto_split_kicks_in_for_hot_entities(spark, raw_panel):
-    """With a tiny per-entity threshold the automatic choice takes the split
-    plan (visible as a per-segment window) and still returns the plain rows."""
-    from panelwise.operators import segments as sg
-
-    plain = prepare_panel(raw_panel, split=False)
-    spark.conf.set("panelwise.windows.hotEntityRows", "2")
-    try:
-        assert sg.decide_split(raw_panel) is True
-        auto = prepare_panel(raw_panel)
-        assert "_seg" in auto._jdf.queryExecution().executedPlan().toString()
-        cols = plain.columns
-        assert sorted(map(tuple, auto.select(*cols).collect()), key=repr) == \
-            sorted(map(tuple, plain.select(*cols).collect()), key=repr)
-    finally:
-        spark.conf.unset("panelwise.windows.hotEntityRows")
-    assert sg.decide_split(raw_panel) is False
