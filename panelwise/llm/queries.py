@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwise.llm import arrow_sequences, best_fit_packing, byte_cnn, cap_filters, flow_resharding, license_dice, order_minhash, periodic_runs, pii_surrogates, quality_divergence, source_mixing, sql, warc_bundles
+from panelwise.llm import arrow_sequences, best_fit_packing, byte_cnn, cap_filters, flow_resharding, license_dice, order_minhash, periodic_runs, pii_surrogates, prefix_trie, quality_divergence, source_mixing, sql, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op11_arrow_sequences(spark, sf_dir):
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.run_report(table(spark, sf_dir, "documents"), edit=periodic_runs.planted_period)
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
