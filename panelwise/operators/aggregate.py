@@ -9,9 +9,9 @@ pandas does.  Sums of all-NULL groups are 0 (pandas), not NULL.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from panelwise.functions.columns import clamp_zero, year_month
+from panelwise.operators.blocks import with_position
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 
@@ -80,6 +80,7 @@ def format_entity_comparison(cmp: DataFrame, spec: PanelSpec = DEFAULT_SPEC) ->
 
 
 # --------------------------------------------------------------------- A3
+# The figures of the latest-status table and their columns.
 LATEST_STATS = (
     ("Latest_Population", "population"),
     ("Latest_Total_Vaccinations", "total_vaccinations"),
@@ -107,35 +108,6 @@ def last_non_null(col: str, spec: PanelSpec = DEFAULT_SPEC) -> Column:
     return F.expr(f"max_by(`{col}`, {order_key_sql(spec)}) FILTER (WHERE `{col}` IS NOT NULL)")
 
 
-def latest_values(df: DataFrame, group: str, cols, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Last non-null value of every column in ``cols`` per ``group``.
-
-    Fixed-width columns: ``max_by`` on the packed key, a hash aggregate.
-    Variable-width columns (strings...) would force a sort-based aggregate,
-    so the aggregate keeps only the key of their last non-null row; the
-    values are fetched by an inner join of the rows with that one-row-per-
-    group key table (small: broadcast by AQE), then attached with a left join
-    between two one-row-per-group tables.
-    """
-    variable = (StringType, BinaryType, ArrayType, MapType, StructType)
-    fixed = [c for c in cols if not isinstance(df.schema[c].dataType, variable)]
-    var = [c for c in cols if c not in fixed]
-    key = order_key_sql(spec)
-    aggs = [last_non_null(c, spec).alias(c) for c in fixed]
-    aggs += [F.expr(f"max({key}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_k_{c}") for c in var]
-    base = df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
-    for c in var:
-        keys = base.select(group, f"_k_{c}").where(F.col(f"_k_{c}").isNotNull())
-        picked = (
-            df.where(F.col(group).isNotNull() & F.col(c).isNotNull())
-            .select(group, F.expr(key).alias(f"_k_{c}"), F.col(c))
-            .join(keys, on=[group, f"_k_{c}"], how="inner")
-            .select(group, c)
-        )
-        base = base.join(picked, on=group, how="left").drop(f"_k_{c}")
-    return base.select(group, *cols)
-
-
 def latest_stats(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """A3: latest value per entity for nine metrics (partial aggregation)."""
     return (
@@ -170,9 +142,11 @@ def period_summary(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def rank_desc(summary: DataFrame, measure: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """One chart's ordering: a global sort (range-partitioned, scales with entities)."""
-    return summary.orderBy(F.desc_nulls_last(measure), F.asc(spec.entity))
+def period_rankings(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
+    """A4's five rankings: per measure, every entity with its position (largest first, ties by name)."""
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in PERIOD_SUMMARY_MEASURES])
+    long = period_summary(df, spec).select(spec.entity, F.explode(cells).alias("c")).select("c.measure", spec.entity, "c.value")
+    return with_position(long, [F.desc_nulls_last("value"), F.asc(spec.entity)], ["measure"], blocks=blocks)
 
 
 # --------------------------------------------------------------------- A5
@@ -277,18 +251,27 @@ def cumulative_by_iso(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFram
 
 
 def geo_snapshot(full: DataFrame, metric: str = "Cumulative_New_Deaths", spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Latest non-null value of every column per iso code, joined (left,
-    fan-out when an iso code has several entities) to A15 on the iso code,
-    with NULL -> 0 on the chosen map metric.
-
-    Both sides are aggregates keyed by iso code (one row per code / per
-    code-entity pair), so the join is between two small tables; AQE
-    broadcasts whichever side is small at run time.
+    """Latest non-null value of every column per iso code, with (left join,
+    fan-out when an iso code has several entities) A15's totals, and NULL -> 0
+    on the chosen map metric.
+
+    One scan in two levels of the same mergeable state, "last non-null value
+    and its key": first per (iso code, entity), with A15's sum, then folded to
+    the iso code over those few rows.  An iso code's rows of no entity add to
+    its state; they make a row only where it has no entity at all.
     """
-    cols = [c for c in full.columns if c != spec.iso]
-    base = latest_values(full, spec.iso, cols, spec)
-    cum = cumulative_by_iso(full, spec).select(spec.iso, "Cumulative_New_Deaths")
-    out = base.join(cum, on=spec.iso, how="left")
+    e, iso, key = spec.entity, spec.iso, order_key_sql(spec)
+    cols = [c for c in full.columns if c != iso]
+    state = []
+    for c in cols:
+        if c != e:
+            state.append(last_non_null(c, spec).alias(c))
+        state.append(F.expr(f"max({key}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_key_{c}"))
+    parts = full.where(F.col(iso).isNotNull()).groupBy(iso, e).agg(*state, _sum0(spec.new_deaths).alias("_sum"))
+    code = Window.partitionBy(iso)
+    folded = parts.select(iso, F.col(e).alias("_entity"), F.count(e).over(code).alias("_entities"), *[F.max_by(c, f"_key_{c}").over(code).alias(c) for c in cols],
+                          F.when(F.col(e).isNotNull(), F.col("_sum")).alias("Cumulative_New_Deaths"))
+    out = folded.where(F.col("_entity").isNotNull() | (F.col("_entities") == 0)).select(iso, *cols, "Cumulative_New_Deaths")
     out = out.withColumn(metric, F.coalesce(F.col(metric), F.lit(0).cast(out.schema[metric].dataType)))
     if metric == "vaccination_coverage":
         # C20: percentage scale for the colour axis
@@ -381,13 +364,13 @@ def head_sample(df: DataFrame, n: int = 10, spec: PanelSpec = DEFAULT_SPEC) -> D
     )
 
 
-def rank_on_date(df: DataFrame, metric: str, day=None, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """K4: the rows of one date (default: latest), sorted by ``metric`` descending.
+def rank_on_date(df: DataFrame, metric: str, day=None, spec: PanelSpec = DEFAULT_SPEC, blocks: int | None = None) -> DataFrame:
+    """K4: the rows of one date (default: latest) with their positions by ``metric``, largest first.
 
-    A global sort (range-partitioned), not a window: the number of entities
-    on one date is not bounded, so no single task may have to hold them all.
+    Positions come from blocks of the sorted rows, not from one window: the
+    number of entities on a date is not bounded.
     """
     from panelwise.operators.filters import on_date
 
     rows = on_date(df, day, spec).select(spec.entity, spec.date, spec.row_id, metric)
-    return rows.orderBy(F.desc_nulls_last(metric), F.asc(spec.entity), F.asc(spec.row_id))
+    return with_position(rows, [F.desc_nulls_last(metric), F.asc(spec.entity), F.asc(spec.row_id)], blocks=blocks)

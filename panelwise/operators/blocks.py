@@ -88,8 +88,8 @@ def with_prefix(rows: DataFrame, parts: DataFrame, key: Sequence[str], *sums: st
     return joined.drop("_of", *[f"_of_{c}" for c in key])
 
 
-def with_position(df: DataFrame, order: Sequence[Column], name: str = "position", blocks: int | None = None) -> DataFrame:
-    """Adds each row's place in the order of all rows, from 1, without a task that holds them all."""
-    blocked = in_blocks(df, [], order, blocks)
-    placed = with_prefix(blocked, pieces(blocked, []), []).withColumn("_place", F.row_number().over(block_window([], order)))
+def with_position(df: DataFrame, order: Sequence[Column], key: Sequence[str] = (), name: str = "position", blocks: int | None = None) -> DataFrame:
+    """Adds each row's place, from 1, in the order of all rows (of its key), without a task that holds them all."""
+    blocked = in_blocks(df, key, order, blocks)
+    placed = with_prefix(blocked, pieces(blocked, key), key).withColumn("_place", F.row_number().over(block_window(key, order)))
     return placed.withColumn(name, (F.coalesce("_rows_before", F.lit(0)) + F.col("_place")).cast("long")).drop("_rows_before", "_place", BLOCK)

@@ -212,11 +212,12 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50, by: str | None =
     return binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def pair_bins(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
-    """Pair-plot point clouds as 2-D bin counts for every column pair
-    (rows with a NULL in any selected column dropped).  The diagonal is the
-    per-column KDE (:func:`kde`)."""
-    data = df.dropna(subset=list(cols)).select(*cols)
+def pair_bins(df: DataFrame, cols: list[str], bins: int = 20, by: str | None = None) -> DataFrame:
+    """Pair-plot point clouds as 2-D bin counts for every column pair, per
+    entity if ``by`` is given (rows with a NULL in any of these columns
+    dropped).  The diagonal is :func:`pair_diagonal`."""
+    keys = [by] if by else []
+    data = df.dropna(subset=[*cols, *keys]).select(*keys, *cols)
     binned = _with_axis_bins(data, list(cols), bins)
     pairs = [
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__bin").alias("x_bin"),
@@ -224,7 +225,12 @@ def pair_bins(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
         for a, b in combinations(cols, 2)
     ]
     return (
-        binned.select(F.explode(F.array(*pairs)).alias("p"))
-        .groupBy("p.x", "p.y", "p.x_bin", "p.y_bin")
+        binned.select(*keys, F.explode(F.array(*pairs)).alias("p"))
+        .groupBy(*keys, "p.x", "p.y", "p.x_bin", "p.y_bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
+
+
+def pair_diagonal(df: DataFrame, cols: list[str], metric: str, by: str | None = None) -> DataFrame:
+    """G2's diagonal: the density (A20) of one of ``cols`` over the rows of the pair plot."""
+    return kde(df.dropna(subset=[*cols, *([by] if by else [])]), metric, by=by)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as _dt
-from typing import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
@@ -40,38 +40,39 @@ def filter_panel(
     return out
 
 
-def default_selection(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3) -> DataFrame:
-    """P2 as a DataFrame: the preferred trio when the first one exists, else
-    the first ``n`` entities in (entity) order; plus the full date range.
+def default_selection(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3,
+                      preferred: Sequence[str] = PREFERRED_DEFAULT_ENTITIES) -> DataFrame:
+    """P2 as a DataFrame: those of ``preferred`` that exist when its first one does,
+    else the first ``n`` entities in (entity) order; plus the full date range.
 
-    Columns: entity, start, end.  At most ``n`` rows.
+    Columns: entity, start, end.  At most ``n`` rows, or as many as ``preferred``.
     """
     e = spec.entity
     names = df.select(e).where(F.col(e).isNotNull()).distinct()
-    preferred = F.lit(PREFERRED_DEFAULT_ENTITIES[0])
-    has_preferred = names.where(F.col(e) == preferred).exists()
-    chosen = names.where(
-        F.when(has_preferred, F.col(e).isin(list(PREFERRED_DEFAULT_ENTITIES))).otherwise(F.lit(True))
-    ).orderBy(e).limit(n)
+    has_preferred = names.where(F.col(e) == preferred[0]).exists()
+    chosen = names.where(F.when(has_preferred, F.col(e).isin(list(preferred))).otherwise(F.lit(True))).orderBy(e).limit(max(n, len(preferred)))
+    # without the preferred ones, the first n only
+    chosen = chosen.withColumn("_place", F.row_number().over(Window.orderBy(e))).where(has_preferred | (F.col("_place") <= n)).drop("_place")
     bounds = df.select(F.struct(F.min(spec.date).alias("start"), F.max(spec.date).alias("end"))).scalar()
     return chosen.select(e, bounds.getField("start").alias("start"), bounds.getField("end").alias("end"))
 
 
-def default_filters(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3):
-    """P2 as Python values (at most ``n`` names and two dates reach the driver)."""
-    rows = default_selection(df, spec, n).collect()
+def default_filters(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3, preferred: Sequence[str] = PREFERRED_DEFAULT_ENTITIES):
+    """P2 as Python values (a few names and two dates reach the driver)."""
+    rows = default_selection(df, spec, n, preferred).collect()
     if not rows:
         return [], (None, None)
     return [r[spec.entity] for r in rows], (rows[0]["start"], rows[0]["end"])
 
 
-def apply_default_filter(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3) -> DataFrame:
-    """P1 with P2's defaults, fully inside one plan (no driver round trip)."""
-    sel = default_selection(df, spec, n)  # at most n rows
-    bounds = df.select(F.struct(F.min(spec.date).alias("lo"), F.max(spec.date).alias("hi"))).scalar()
-    return df.join(F.broadcast(sel.select(spec.entity)), on=spec.entity, how="left_semi").where(
-        F.col(spec.date).between(bounds.getField("lo"), bounds.getField("hi"))
-    )
+def apply_default_filter(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC, n: int = 3, preferred: Sequence[str] = PREFERRED_DEFAULT_ENTITIES) -> DataFrame:
+    """P1 with P2's defaults, inside one plan.
+
+    The default range runs from the table's first date to its last, so it
+    holds every dated row: it is applied as that, without a pass for the bounds.
+    """
+    sel = default_selection(df, spec, n, preferred).select(spec.entity)  # a few rows
+    return df.where(F.col(spec.date).isNotNull()).join(F.broadcast(sel), on=spec.entity, how="left_semi")
 
 
 def on_date(df: DataFrame, day: _dt.date | str | None = None, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:

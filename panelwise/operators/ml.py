@@ -9,6 +9,8 @@ partitioning, reproducible in SQL) instead of a seeded shuffle.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,9 +18,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelwise.functions.columns import clamp_zero, half_even_int, safe_div
+from panelwise.functions.columns import clamp_zero, half_even_int, nan_to_null, safe_div
 from panelwise.operators.aggregate import mean_defaults, median_defaults
 from panelwise.sources.panel_io import PanelSourceError, require_path
+from panelwise.sources.prepared import PreparedTable, move_path, path_exists
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 # The two models' targets and feature lists, in model order.
@@ -46,27 +49,34 @@ def test_flag(row_id: str = "row_id", seed: int = SPLIT_SEED, test_percent: int
 
 
 # ---------------------------------------------------------------------- C11/C14
+def _candidates(df: DataFrame, model: str) -> DataFrame:
+    """C11: rows whose target is known, at least 0 and finite (log1p of it is a label)."""
+    target = F.col(TARGETS[model]).cast("double")
+    return df.where((target >= 0) & (target < float("inf")))
+
+
+def _has_all(model: str) -> Column:
+    """NULL and NaN are missing; an infinite feature is not."""
+    found = F.lit(True)
+    for c in FEATURES[model]:
+        found = found & nan_to_null(F.col(c).cast("double")).isNotNull()
+    return found
+
+
 def training_frame(df: DataFrame, model: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """C11 + C14 + M2: target >= 0, label = log1p(target), rows with a missing
-    feature dropped, test flag attached."""
-    target = TARGETS[model]
-    feats = FEATURES[model]
-    out = df.where(F.col(target) >= 0).select(
-        spec.row_id, *[F.col(c).cast("double").alias(c) for c in feats],
-        F.col(target).cast("double").alias("target"),
-        F.log1p(F.col(target)).alias("label"),
-    )
-    return out.dropna(subset=feats).withColumn("is_test", test_flag(spec.row_id))
+    """C11 + C14 + M2: label = log1p(target), rows with a missing feature
+    dropped, test flag attached."""
+    target = F.col(TARGETS[model]).cast("double")
+    return _candidates(df, model).where(_has_all(model)).select(
+        spec.row_id, *[F.col(c).cast("double").alias(c) for c in FEATURES[model]],
+        target.alias("target"),
+        F.log1p(target).alias("label"),
+    ).withColumn("is_test", test_flag(spec.row_id))
 
 
 def dropped_rows(df: DataFrame, model: str) -> DataFrame:
-    """C14 tally: rows removed for a missing feature (one row)."""
-    target = TARGETS[model]
-    base = df.where(F.col(target) >= 0)
-    any_null = F.lit(False)
-    for c in FEATURES[model]:
-        any_null = any_null | F.col(c).isNull()
-    return base.agg(F.count_if(any_null).alias("dropped_rows"), F.count(F.lit(1)).alias("candidate_rows"))
+    """C14 tally: of the rows with a usable target, those removed for a missing feature (one row)."""
+    return _candidates(df, model).agg(F.count_if(~_has_all(model)).alias("dropped_rows"), F.count(F.lit(1)).alias("candidate_rows"))
 
 
 # ---------------------------------------------------------------------- M3/M4
@@ -116,12 +126,16 @@ def fit_model(df: DataFrame, model: str, params: ForestParams = ForestParams(),
         train.unpersist()
 
 
+def restored(df: DataFrame, log_column: str = "prediction_log") -> DataFrame:
+    """C12 + C13: from the log1p scale, ``prediction`` (expm1, clamped at 0) and
+    ``predicted_count`` (rounded half to even, BIGINT)."""
+    value = clamp_zero(F.expm1(F.col(log_column)))
+    return df.withColumn("prediction", value).withColumn("predicted_count", half_even_int(value))
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """M5: add ``prediction`` (original scale: expm1, clamped at 0) and
-    ``predicted_count`` (half-even rounded, >= 0, BIGINT)."""
-    scored = model.transform(df)
-    value = clamp_zero(F.expm1(F.col("prediction_log")))
-    return scored.withColumn("prediction", value).withColumn("predicted_count", half_even_int(value)).drop("features")
+    """M5: the model's predictions on the original scale."""
+    return restored(model.transform(df)).drop("features")
 
 
 # ---------------------------------------------------------------------- A23
@@ -159,12 +173,14 @@ def train_and_evaluate(df: DataFrame, model_name: str, params: ForestParams = Fo
 
 
 # ---------------------------------------------------------------------- K5
-def feature_importances(spark: SparkSession, model: PipelineModel, model_name: str) -> DataFrame:
-    """K5: the forest's feature importances next to the feature names, descending."""
-    forest = model.stages[-1]
-    imp = forest.featureImportances.toArray().tolist()
-    rows = list(zip(FEATURES[model_name], [float(v) for v in imp]))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
+def feature_importances(spark: SparkSession, models: dict[str, PipelineModel]) -> DataFrame:
+    """K5: each forest's feature importances with their positions, largest first (ties by name)."""
+    rows = []
+    for name, model in models.items():
+        features = model.stages[0].getInputCols()
+        ranked = sorted(zip(model.stages[-1].featureImportances.toArray().tolist(), features), key=lambda r: (-r[0], r[1]))
+        rows += [(name, i, feature, float(v)) for i, (v, feature) in enumerate(ranked, 1)]
+    return spark.createDataFrame(rows, "model string, position long, feature string, importance double")
 
 
 # ---------------------------------------------------------------------- S4/S5
@@ -193,44 +209,67 @@ def load_models(path: str, required=("deaths",), optional=("vaccinations",)):
     return models, feats
 
 
+def kept_models(table: PreparedTable, params: ForestParams = ForestParams(), names=("deaths", "vaccinations")) -> dict[str, PipelineModel]:
+    """S4 + S5: the models of a prepared table, fitted once and kept beside it.
+
+    They are found under the table's fingerprint and the parameters, so a
+    changed input or parameter trains anew.
+    """
+    root = f"{table.path}-models/{hashlib.sha256(repr(params).encode()).hexdigest()[:16]}"
+    missing = [n for n in names if not path_exists(table.spark, f"{root}/{n}/_DONE")]
+    for name in missing:
+        draft = f"{root}/draft-{uuid.uuid4().hex}"
+        save_models({name: fit_model(table.read(), name, params, table.spec)}, draft)
+        table.spark.createDataFrame([(name,)], "model string").write.parquet(f"{draft}/{name}/_DONE")
+        if not move_path(table.spark, f"{draft}/{name}", f"{root}/{name}") and not path_exists(table.spark, f"{root}/{name}/_DONE"):
+            raise OSError(f"can't move the model to {root}/{name}")
+    return load_models(root, required=names, optional=())[0]
+
+
 # ---------------------------------------------------------------------- M7/M8/M9
+#: Inputs whose default is cut to a whole number, as their controls hold whole numbers.
+WHOLE_DEFAULTS = ("population", "total_vaccinations", "people_fully_vaccinated", "days_since_start", "New_deaths")
+
+
+def _whole(c: Column) -> Column:
+    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+
+
 def scenario_frame(scenarios: DataFrame, filtered: DataFrame, full: DataFrame, model_name: str,
                    spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """M7: complete partial scenarios with the selection's defaults.
 
     ``scenarios`` holds any subset of the model's features (plus any id
-    columns).  Missing values come from the medians of ``filtered`` (A14);
+    columns).  Missing values come from the medians of ``filtered`` (A14), cut
+    to whole numbers where the control holds whole numbers;
     ``vaccination_coverage`` is re-derived as fully / population (0 when the
-    population is not positive).  The defaults are ONE aggregated row joined
-    to every scenario as literals (one bounded row is fetched).
+    population is not positive).  The defaults are one row of numbers.
     """
     defaults = median_defaults(filtered, full=full, spec=spec)
-    dflt = defaults.first()  # exactly one aggregated row
-    d = {c: f"_d_{c}" for c in defaults.columns}
-    out = scenarios.select("*", *[F.lit(dflt[c]).cast("double").alias(a) for c, a in d.items()])
-    for c in FEATURES[model_name] + ["population", "people_fully_vaccinated", "total_vaccinations"]:
-        if c in d:
-            val = F.coalesce(F.col(c).cast("double"), F.col(d[c])) if c in scenarios.columns else F.col(d[c])
-            out = out.withColumn(c, val)
+    dflt = defaults.first().asDict()  # exactly one row
+    value = {c: _whole(F.lit(v)) if c in WHOLE_DEFAULTS else F.lit(v) for c, v in dflt.items()}
+    out = scenarios
+    for c in [*FEATURES[model_name], "population", "people_fully_vaccinated", "total_vaccinations"]:
+        if c in value:
+            given = F.coalesce(F.col(c).cast("double"), value[c]) if c in scenarios.columns else value[c]
+            out = out.withColumn(c, given)
     pop, pfv = F.col("population"), F.col("people_fully_vaccinated")
-    out = out.withColumn("vaccination_coverage",
-                         F.when(pop > 0, pfv / pop).otherwise(F.lit(0.0)))
-    out = out.withColumn("_default_days", F.col(d["days_since_start"])).withColumn(
-        "_default_population", F.col(d["population"]))
-    return out.drop(*d.values())
+    out = out.withColumn("vaccination_coverage", F.when(pop > 0, pfv / pop).otherwise(F.lit(0.0)))
+    return out.withColumn("_default_days", F.lit(dflt["days_since_start"])).withColumn("_default_population", F.lit(dflt["population"]))
 
 
 def validate_scenarios(frame: DataFrame, model_name: str) -> DataFrame:
     """M8: the input bounds of the what-if controls.  Adds ``valid`` and a
     ``reason`` naming the first violated bound (NULL when valid)."""
     pop = F.col("population")
+    # The bounds of the controls, cut to whole numbers where they follow from defaults.
     checks = [
         ("population out of [1e6, 2e9]", ~pop.between(1_000_000, 2_000_000_000)),
         ("total_vaccinations out of [0, 2 x default population]",
-         ~F.col("total_vaccinations").between(F.lit(0), F.col("_default_population") * 2)),
-        ("people_fully_vaccinated out of [0, population]", ~F.col("people_fully_vaccinated").between(F.lit(0), pop)),
+         ~F.col("total_vaccinations").between(F.lit(0), _whole(F.col("_default_population") * 2))),
+        ("people_fully_vaccinated out of [0, population]", ~F.col("people_fully_vaccinated").between(F.lit(0), _whole(pop))),
         ("days_since_start out of [0, default + 365]",
-         ~F.col("days_since_start").between(F.lit(0), F.col("_default_days") + 365)),
+         ~F.col("days_since_start").between(F.lit(0), _whole(F.col("_default_days") + 365))),
         ("vaccination_coverage above 1", F.col("vaccination_coverage") > 1),
     ]
     if model_name == "vaccinations":
@@ -264,3 +303,13 @@ def prediction_defaults(filtered: DataFrame, full: DataFrame, horizon_days: int
         target_day.alias("prediction_date"),
         F.datediff(target_day, span.getField("lo")).alias("days_since_start"),
     )
+
+
+def score_form(models: dict[str, PipelineModel], defaults: DataFrame) -> DataFrame:
+    """M9: the form's inputs (one row a prediction) scored by each model, with the text shown."""
+    found = None
+    for name, model in models.items():
+        scored = predict(model, defaults).select(F.lit(name).alias("model"), "prediction_date", "days_since_start", "prediction", "predicted_count",
+                                                 F.format_number("predicted_count", 0).alias("shown"))
+        found = scored if found is None else found.unionByName(scored)
+    return found

@@ -5,9 +5,10 @@ are narrowed together.  Each pass is one wide aggregate without a key: for
 every order statistic sought it counts the rows below and up to two pivots and
 sketches what lies between them; a handful of numbers comes back.  A pivot
 that the sought rank falls on is the answer, however many rows are equal to
-it.  Pivots come from the sketches, which narrow the rows between them some
-hundredfold a pass; when a sketch doesn't help, the pivot is the middle of the
-bracket in the ordered bits of a double, which halves the 64 bits left.
+it.  Pivots come from the sketches, which narrow the rows between them manyfold
+a pass, until they are few enough to be sorted; when a sketch doesn't help,
+the pivot is the middle of the bracket in the ordered bits of a double, which
+halves the 64 bits left.
 
 *Per group* (``group_quantiles``): each group's distinct values, counted once
 in every task and once after the shuffle, are sorted into blocks
@@ -23,14 +24,18 @@ import struct
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.columns import nan_to_null
 from panelwise.operators.blocks import BLOCK, block_window, in_blocks
 
-#: Points of a sketch's grid, and the rank error of a sketch (one part in so many; none up to that many rows).
-GRID = 500
+#: Steps of the first sketch's grid (one a column) and of later ones (one an order statistic).
+GRID = 400
+INNER_GRID = 32
+#: Rank error of a sketch: one part in so many, none up to that many rows.
 ACCURACY = 2000
+#: Once at most so many values lie between the pivots, they are sorted.
+SORTED_VALUES = 1000
 
 
 # ---------------------------------------------------------------------- ordered bits
@@ -64,9 +69,10 @@ class _Sought:
 
     def pivots(self) -> tuple[float, float]:
         if self.grid and not self.halve:
-            at = (self.rank - self.grid_below + 1) / self.grid_rows * GRID
+            steps = len(self.grid) - 1
+            at = (self.rank - self.grid_below + 1) / self.grid_rows * steps
             slack = 0 if self.grid_rows <= ACCURACY else 1
-            pair = [self.grid[min(max(i, 0), GRID)] for i in (math.floor(at) - slack, math.ceil(at) + slack)]
+            pair = [self.grid[min(max(i, 0), steps)] for i in (math.floor(at) - slack, math.ceil(at) + slack)]
             pair = [p for p in pair if self.lo < p < self.hi]
             if pair:
                 return pair[0], pair[-1]
@@ -91,8 +97,17 @@ class _Sought:
         self.halve = self.found is None and 2 * self.inside > before
 
 
-def _sketch(x: Column) -> Column:
-    return F.percentile_approx(x, [k / GRID for k in range(GRID + 1)], ACCURACY)
+def _value(column: str) -> str:
+    x = f"CAST(`{column}` AS DOUBLE)"
+    return f"CASE WHEN isnan({x}) THEN NULL ELSE {x} END"
+
+
+def _sketch(x: str, steps: int) -> str:
+    return f"percentile_approx({x}, array({', '.join(f'{k / steps!r}D' for k in range(steps + 1))}), {ACCURACY})"
+
+
+def _number(x: float) -> str:
+    return f"double('{x!r}')" if math.isinf(x) else f"({x!r}D)"
 
 
 def column_quantiles(df: DataFrame, cols: Iterable[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
@@ -100,39 +115,46 @@ def column_quantiles(df: DataFrame, cols: Iterable[str], probs: Sequence[float])
 
     What comes back to the driver a pass is a few numbers and a sketch's grid
     for each (column, quantile).  ``df`` is read once a pass, three times for
-    some 100,000 rows, five for 10^9: keep it as a table if it is dear.
+    some 100,000 rows, six for 10^9: keep it as a table if it is dear.
     """
     cols = list(cols)
-    value = {c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in cols}
-    row = df.agg(*[e for c in cols for e in (F.count(value[c]), _sketch(value[c]))]).first() if cols else []
+    row = df.agg(*[F.expr(e) for c in cols for e in (f"count({_value(c)})", _sketch(_value(c), GRID))]).first() if cols else []
     state: dict[tuple[str, int], _Sought] = {}
     sizes = {}
     for i, c in enumerate(cols):
         n, grid = row[2 * i], row[2 * i + 1]
         sizes[c] = n
+        # the infinities are values like others, but no pivot lies beyond them
+        lo, hi = from_bits(to_bits(-math.inf) - 1), from_bits(to_bits(math.inf) + 1)
+        if n and not math.isinf(grid[0]) and not math.isinf(grid[-1]):
+            lo, hi = -math.inf, math.inf
         for p in probs if n else []:
             for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                state.setdefault((c, rank), _Sought(c, rank, -math.inf, math.inf, 0, n, list(grid), 0, n))
-    # the infinities are values like others, but no pivot lies beyond them
-    for s in state.values():
-        if math.isinf(s.grid[0]) or math.isinf(s.grid[-1]):
-            s.lo, s.hi = from_bits(to_bits(-math.inf) - 1), from_bits(to_bits(math.inf) + 1)
+                state.setdefault((c, rank), _Sought(c, rank, lo, hi, 0, n, list(grid), 0, n))
     while open_ := [s for s in state.values() if s.found is None]:
-        aggs: dict[tuple, Column] = {}
+        aggs: dict[tuple, str] = {}
         asked = []
         for s in open_:
-            v, (p, q) = value[s.column], s.pivots()
-            keys = [(s.column, "<", p), (s.column, "<=", p), (s.column, "<", q), (s.column, "<=", q), (s.column, "in", p, q)]
-            for op, at, key in (("<", p, keys[0]), ("<=", p, keys[1]), ("<", q, keys[2]), ("<=", q, keys[3])):
-                aggs[key] = F.count_if(v < F.lit(at) if op == "<" else v <= F.lit(at))
+            v = _value(s.column)
+            if s.inside <= SORTED_VALUES and math.isfinite(s.lo) and math.isfinite(s.hi):
+                key = (s.column, "sorted", s.lo, s.hi)
+                aggs[key] = f"sort_array(collect_list(CASE WHEN {v} > {_number(s.lo)} AND {v} < {_number(s.hi)} THEN {v} END))"
+                asked.append((s, key))
+                continue
+            p, q = s.pivots()
+            keys = [(s.column, op, at) for at in (p, q) for op in ("<", "<=")]
+            aggs |= {key: f"count_if({v} {key[1]} {_number(key[2])})" for key in keys}
             if p < q:
-                aggs[keys[4]] = _sketch(F.when((v > F.lit(p)) & (v < F.lit(q)), v))
+                aggs[s.column, "in", p, q] = _sketch(f"CASE WHEN {v} > {_number(p)} AND {v} < {_number(q)} THEN {v} END", INNER_GRID)
             asked.append((s, p, q, keys))
-        row = df.agg(*aggs.values()).first()
-        got = dict(zip(aggs, row))
-        for s, p, q, keys in asked:
-            grid = got.get(keys[4])
-            s.narrowed(p, q, [got[k] for k in keys[:4]], list(grid) if grid else None)
+        got = dict(zip(aggs, df.agg(*[F.expr(e) for e in aggs.values()]).first()))
+        for s, *rest in asked:
+            if len(rest) == 1:
+                s.found = got[rest[0]][s.rank - s.below]
+                continue
+            p, q, keys = rest
+            grid = got.get((s.column, "in", p, q))
+            s.narrowed(p, q, [got[k] for k in keys], list(grid) if grid else None)
     found = {}
     for c in cols:
         values = []

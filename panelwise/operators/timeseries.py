@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
+from panelwise.sources.scratch import written
 from panelwise.spec import DEFAULT_SPEC, PanelSpec
 
 # The STL kernel runs inside Python workers: ship this module's functions with
@@ -191,22 +192,20 @@ def moving_average_forecast(df: DataFrame, metric: str, horizon: int = 7, window
         raise ValueError("horizon must be between 1 and 30")
     e, d = spec.entity, spec.date
     hist = df.where(F.col(e).isNotNull() & F.col(metric).isNotNull()).select(e, d, spec.row_id, metric)
-    qual = (
-        df.where(F.col(e).isNotNull())
-        .groupBy(e)
-        .agg(F.count_distinct(d).alias("_days"), F.count(metric).alias("_vals"), F.max(d).alias("_last"))
-        .where((F.col("_days") >= window) & (F.col("_vals") > window))
-    )
-    from panelwise.operators.windows import last_rows_mean
-
-    level = last_rows_mean(df, metric, window, spec).withColumnRenamed("level", "_level").join(
-        hist.groupBy(e).agg(F.max(d).alias("_hist_last")), on=e)
-    future = level.join(qual.select(e), on=e, how="left_semi").select(
+    # the last rows of each entity: every task sends at most as many as are asked for
+    latest = Window.partitionBy(e).orderBy(F.desc(d), F.desc(spec.row_id))
+    last = hist.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= window + 1)
+    level = last.groupBy(e).agg(F.avg(F.when(F.col("_place") <= window, F.col(metric))).alias("_level"), F.max(d).alias("_last"), F.max("_place").alias("_rows"))
+    level = level.where(F.col("_rows") > window)
+    # distinct dates: (entity, date) pairs are told apart in every task first
+    days = df.where(F.col(e).isNotNull() & F.col(d).isNotNull()).groupBy(e).agg(F.count_distinct(d).alias("_days")).where(F.col("_days") >= window)
+    level = written(level.join(days.select(e), on=e, how="left_semi"), "forecast-levels")
+    future = level.select(
         e,
-        F.explode(F.sequence(F.date_add("_hist_last", 1), F.date_add("_hist_last", horizon))).alias(d),
+        F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias(d),
         F.col("_level").alias("value"),
         F.lit("forecast").alias("kind"),
     )
-    history = hist.join(qual.select(e), on=e, how="left_semi").select(
+    history = hist.join(level.select(e), on=e, how="left_semi").select(
         e, d, F.col(metric).cast("double").alias("value"), F.lit("history").alias("kind"))
     return history.unionByName(future)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from panelwise.operators import aggregate as agg
 from panelwise.operators import filters as flt
 from panelwise.operators.prepare import prepare_panel
 from panelwise.plans.oracle_base import with_prepared, with_raw
 from panelwise.plans.registry import PREPARED_DOUBLES, RAW_DOUBLES, panel_view, prepared, register
+from panelwise.sources import read_panel_csv
+from panelwise.sources.scratch import scratch_root
 
 
 # ------------------------------------------------------------------ sources / prepare
@@ -43,6 +49,39 @@ def q_default_filter(spark, sf_dir):
     return flt.apply_default_filter(prepared(spark, sf_dir))
 
 
+def _preferred_sql(preferred, n=3) -> str:
+    names = ", ".join(f"'{x}'" for x in preferred)
+    return f"""
+, names AS (SELECT DISTINCT country FROM prepared WHERE country IS NOT NULL)
+, sel AS (
+  SELECT country FROM names
+  WHERE country IN ({names}) AND EXISTS (SELECT 1 FROM names WHERE country = '{preferred[0]}')
+  UNION ALL
+  SELECT * FROM (SELECT country FROM names WHERE NOT EXISTS (SELECT 1 FROM names WHERE country = '{preferred[0]}') ORDER BY country LIMIT {n}))
+SELECT * FROM prepared WHERE country IN (SELECT country FROM sel) AND date IS NOT NULL"""
+
+
+#: The last one isn't in the data, as a preferred entity may not be.
+_PREFERRED = ("NATION_7", "NATION_20", "NATION_99")
+
+
+@register("default_filter_preferred", with_prepared(_preferred_sql(_PREFERRED)), PREPARED_DOUBLES, ("P1", "P2"))
+def q_default_filter_preferred(spark, sf_dir):
+    """P2's other branch: the preferred entities, where their first one exists."""
+    return flt.apply_default_filter(prepared(spark, sf_dir), preferred=_PREFERRED)
+
+
+@register("csv_panel", with_prepared("SELECT * FROM prepared"), PREPARED_DOUBLES, ("S1", "C1", "C3"))
+def q_csv_panel(spark, sf_dir):
+    """S1 + C1 + C3: the view written as CSV, its columns in another order and bad populations among them, read by its header and prepared."""
+    raw = panel_view(spark, sf_dir)
+    text = raw.withColumn("population", F.when(F.col("population") == 0, F.lit("not known")).otherwise(F.col("population").cast("string")))
+    text = text.select("row_id", "ratio", "population", "date", "New_deaths", "iso_code", "country", "people_fully_vaccinated", "total_vaccinations", "people_vaccinated")
+    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    text.write.option("header", True).option("nullValue", "NA").csv(path)
+    return prepare_panel(read_panel_csv(spark, path))
+
+
 # ------------------------------------------------------------------ aggregates
 @register("kpi_summary", with_prepared("""
 SELECT coalesce(sum(New_deaths), 0) AS total_new_deaths,
@@ -132,6 +171,24 @@ def q_period_summary(spark, sf_dir):
     return agg.period_summary(prepared(spark, sf_dir))
 
 
+_RANKINGS = "\nUNION ALL ".join(
+    f"SELECT '{m}' AS measure, country, {m} AS value, row_number() OVER (ORDER BY {m} DESC NULLS LAST, country) AS position FROM ps" for m in agg.PERIOD_SUMMARY_MEASURES)
+
+
+@register("period_rankings", with_prepared(f"""
+, ps AS (SELECT country,
+  coalesce(sum(New_deaths), 0) AS Total_New_Deaths,
+  max(total_vaccinations) AS Highest_Total_Vaccinations_Reached,
+  max(vaccination_coverage) AS Latest_Vaccination_Coverage,
+  avg(new_deaths_per_million) AS Avg_New_Deaths_Per_Million,
+  avg(daily_vaccinations) AS Avg_Daily_Vaccinations
+FROM prepared WHERE country IS NOT NULL GROUP BY country)
+{_RANKINGS}"""), ("value",), ("A4",))
+def q_period_rankings(spark, sf_dir):
+    """A4: the five rankings of the period summary, with positions."""
+    return agg.period_rankings(prepared(spark, sf_dir))
+
+
 @register("monthly_totals", with_prepared("""
 SELECT strftime(date, '%Y-%m') AS time_period, country,
   coalesce(sum(New_deaths), 0) AS New_deaths
@@ -280,10 +337,11 @@ def q_head_sample(spark, sf_dir):
 
 
 @register("rank_on_latest_date", with_prepared("""
-SELECT country, date, row_id, daily_vaccinations FROM prepared
+SELECT country, date, row_id, daily_vaccinations,
+  row_number() OVER (ORDER BY daily_vaccinations DESC NULLS LAST, country NULLS FIRST, row_id) AS position FROM prepared
 WHERE date = (SELECT max(date) FROM prepared)"""), ("daily_vaccinations",), ("K4", "P3"))
 def q_rank_on_latest_date(spark, sf_dir):
-    """K4: rows of the latest date ranked by daily vaccinations."""
+    """K4: rows of the latest date with their positions by daily vaccinations."""
     return agg.rank_on_date(prepared(spark, sf_dir), "daily_vaccinations")
 
 

@@ -143,10 +143,10 @@ def q_daily_grid(spark, sf_dir):
     return ts.daily_grid(prepared(spark, sf_dir), "New_deaths")
 
 
-@register("ma_forecast", with_prepared("""
-, hist AS (SELECT country, date, row_id, New_deaths FROM prepared
+_FORECAST_SQL = """
+, hist AS (SELECT country, date, row_id, New_deaths FROM {panel}
            WHERE country IS NOT NULL AND New_deaths IS NOT NULL)
-, qual AS (SELECT country FROM prepared WHERE country IS NOT NULL GROUP BY country
+, qual AS (SELECT country FROM {panel} WHERE country IS NOT NULL GROUP BY country
            HAVING count(DISTINCT date) >= 7 AND count(New_deaths) > 7)
 , lvl AS (SELECT country, avg(New_deaths) AS level, max(date) AS last_d FROM (
             SELECT *, row_number() OVER (PARTITION BY country ORDER BY date DESC, row_id DESC) AS rn FROM hist) t
@@ -155,12 +155,21 @@ SELECT country, date, CAST(New_deaths AS DOUBLE) AS value, 'history' AS kind
 FROM hist WHERE country IN (SELECT country FROM qual)
 UNION ALL
 SELECT country, CAST(last_d + CAST(i + 1 AS INTEGER) AS DATE) AS date, level AS value, 'forecast' AS kind
-FROM lvl, range(0, 7) r(i) WHERE country IN (SELECT country FROM qual)"""), ("value",), ("TS3", "W8", "C10"))
+FROM lvl, range(0, {days}) r(i) WHERE country IN (SELECT country FROM qual)"""
+
+
+@register("ma_forecast", with_prepared(_FORECAST_SQL.format(panel="prepared", days=7)), ("value",), ("TS3", "W8", "C10"))
 def q_ma_forecast(spark, sf_dir):
     """TS3: history + 7-day moving-average forecast per entity."""
     return ts.moving_average_forecast(prepared(spark, sf_dir), "New_deaths", 7)
 
 
+@register("filtered_forecast", with_prepared(_FILTERED + _FORECAST_SQL.format(panel="filtered", days=14)), ("value",), ("TS3", "P1", "C10"))
+def q_filtered_forecast(spark, sf_dir):
+    """TS3 on P1's rows: the forecast starts after the selection's last day."""
+    return ts.moving_average_forecast(_filtered(spark, sf_dir), "New_deaths", 14)
+
+
 _EVENTS = PanelSpec(entity="event_type", date="date", row_id="date")
 
 

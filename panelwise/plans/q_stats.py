@@ -29,8 +29,8 @@ def _describe_sql() -> str:
 @register("describe", with_prepared(_describe_sql()),
           ("count", "mean", "std", "min", "q25", "q50", "q75", "max"), ("A6", "C19"))
 def q_describe(spark, sf_dir):
-    """Descriptive statistics of every numeric column."""
-    return prof.describe(prepared(spark, sf_dir), DESCRIBE_COLUMNS)
+    """A6 + C19: descriptive statistics of every numeric column of the schema."""
+    return prof.describe(prepared(spark, sf_dir))
 
 
 def _corr_sql() -> str:
@@ -91,6 +91,15 @@ def q_missingness(spark, sf_dir):
     return prof.missingness(panel_view(spark, sf_dir))
 
 
+_CELLS = [c for c in RAW_COLUMNS if c != "row_id"]
+
+
+@register("missing_cells", with_raw("\nSELECT row_id, " + ", ".join(f"{c} IS NULL AS {c}" for c in _CELLS) + " FROM raw"), (), ("A10",))
+def q_missing_cells(spark, sf_dir):
+    """A10 at full resolution: the row-by-column missingness matrix of the raw panel."""
+    return prof.missing_cells(panel_view(spark, sf_dir))
+
+
 def _bin_sql(x: str, lo: str, hi: str, k: str) -> str:
     step = f"(({hi} - {lo}) / {k})"
     i0 = f"least(floor(({x} - {lo}) * ({k} / ({hi} - {lo}))), {k} - 1)"
@@ -225,12 +234,13 @@ def q_scatter_bins(spark, sf_dir):
 PAIR_COLUMNS = ["New_deaths", "daily_vaccinations", "vaccination_coverage", "population"]
 
 
-def _pair_sql(cols, bins: int) -> str:
+def _pair_sql(cols, bins: int, by: str = "") -> str:
     aggs, fix, idx = _axis_sql(cols, bins)
-    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in [*cols, *([by] if by else [])])
+    keys = f"{by}, " if by else ""
     sel = "\nUNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, {idx[a]} AS x_bin, {idx[b]} AS y_bin, count(*) AS \"count\" "
-        f"FROM d, st GROUP BY 1, 2, 3, 4" for a, b in combinations(cols, 2))
+        f"SELECT {keys}'{a}' AS x, '{b}' AS y, {idx[a]} AS x_bin, {idx[b]} AS y_bin, count(*) AS \"count\" "
+        f"FROM d, st GROUP BY ALL" for a, b in combinations(cols, 2))
     return with_prepared(f"""
 , d AS (SELECT * FROM prepared WHERE {nn})
 , st AS (SELECT {fix} FROM (SELECT {aggs} FROM d) t)
@@ -243,6 +253,22 @@ def q_pair_bins(spark, sf_dir):
     return dist.pair_bins(prepared(spark, sf_dir), PAIR_COLUMNS, 20)
 
 
+@register("pair_bins_by_entity", _pair_sql(PAIR_COLUMNS, 20, "country"), (), ("G2",))
+def q_pair_bins_by_entity(spark, sf_dir):
+    """G2 with the entity as its colour: 20x20 bin counts per pair and entity."""
+    return dist.pair_bins(prepared(spark, sf_dir), PAIR_COLUMNS, 20, by="country")
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in [*PAIR_COLUMNS, "country"])
+
+
+@register("pair_diagonal", _kde_sql("New_deaths", "country", 3.0).replace("FROM prepared\n           WHERE", f"FROM prepared\n           WHERE {_COMPLETE} AND"),
+          ("x", "density"), ("G2", "A20"))
+def q_pair_diagonal(spark, sf_dir):
+    """G2's diagonal: per entity, the density of one metric over the rows that have all of them."""
+    return dist.pair_diagonal(prepared(spark, sf_dir), PAIR_COLUMNS, "New_deaths", by="country")
+
+
 _TITLE = ("array_to_string(list_transform(string_split(replace(\"column\", '_', ' '), ' '), "
           "lambda w: upper(w[1]) || lower(w[2:])), ' ')")
 

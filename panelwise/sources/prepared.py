@@ -74,12 +74,10 @@ def keep_prepared(spark: SparkSession, inputs: Sequence[str], derive: Callable[[
     """
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelwise-prepared"
     table = PreparedTable(spark, f"{root}/{fingerprint(spark, inputs)}", spec)
-    if not _exists(spark, f"{table.path}/_SUCCESS"):
+    if not path_exists(spark, f"{table.path}/_SUCCESS"):
         draft = f"{root}/draft-{uuid.uuid4().hex}"
         write_prepared(derive(), draft, spec)
-        fs, path = _fs(spark, draft)
-        _, target = _fs(spark, table.path)
-        if not fs.rename(path, target) and not _exists(spark, f"{table.path}/_SUCCESS"):
+        if not move_path(spark, draft, table.path) and not path_exists(spark, f"{table.path}/_SUCCESS"):
             raise OSError(f"can't move the prepared table to {table.path}")
     return table
 
@@ -95,6 +93,13 @@ def _fs(spark: SparkSession, path: str):
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     fs, found = _fs(spark, path)
     return fs.exists(found)
+
+
+def move_path(spark: SparkSession, path: str, target: str) -> bool:
+    """Rename within one file system; false if it can't, as where the target is there already."""
+    fs, found = _fs(spark, path)
+    _, to = _fs(spark, target)
+    return not fs.exists(to) and fs.rename(found, to)

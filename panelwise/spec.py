@@ -34,7 +34,7 @@ class PanelSpec:
 
 DEFAULT_SPEC = PanelSpec()
 
-# Raw metric columns whose missing values mean zero.
+# Raw metric columns whose missing values mean zero.
 FILL_ZERO_COLUMNS = (
     "total_vaccinations",
     "people_vaccinated",

@@ -26,11 +26,11 @@ def data(spark):
     return spark.createDataFrame(rows, "g string, a double, b double").repartition(5).cache(), vals, grp
 
 
-@pytest.mark.parametrize("shape", [(500, 2000), (4, 10), (2, 3)])
+@pytest.mark.parametrize("shape", [(400, 32, 2000, 1000), (4, 4, 10, 0), (2, 2, 3, 0), (4, 4, 10, 30)])
 def test_columns_exact(data, monkeypatch, shape):
     """With tiny sketches the brackets need many passes; the results are the same."""
-    monkeypatch.setattr(qt, "GRID", shape[0])
-    monkeypatch.setattr(qt, "ACCURACY", shape[1])
+    for name, value in zip(("GRID", "INNER_GRID", "ACCURACY", "SORTED_VALUES"), shape):
+        monkeypatch.setattr(qt, name, value)
     df, vals, _ = data
     got = column_quantiles(df, ["a", "b"], PROBS)
     b = df.select("b").toPandas()["b"].dropna().to_numpy()
