@@ -225,8 +225,9 @@ def prefix_trie(conversations: DataFrame, turns: DataFrame, shard_turns: int = S
     root = ids.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
     tops = nodes.where("depth = 1").agg(F.count("*").alias("n_children"), F.coalesce(F.sum("n_leaves"), F.lit(1)).alias("n_leaves"),
                                         F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens"))
-    root = root.join(F.broadcast(tops)).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "conv_id", F.lit(0).cast("long").alias("depth"),
-                                               F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens")
+    top = tops.select(F.struct("*")).scalar()
+    root = root.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "conv_id", F.lit(0).cast("long").alias("depth"),
+                       F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", *[top.getField(c).alias(c) for c in tops.columns])
     least = ids.select(F.min("conv_id")).scalar()
     nodes = nodes.withColumn("parent_conv_id", F.when(F.col("depth") == 1, least).otherwise(F.col("parent_conv_id")))
     ended = local.select("a", "b", F.explode("ends").alias("conv_id"))
