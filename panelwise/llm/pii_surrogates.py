@@ -11,16 +11,21 @@ Surrogates are checked against each other and against all real entities; a
 collision is derived again until none is left, so different entities stay
 different and no surrogate is someone else's datum.
 
-Texts without entities are not shuffled.  Entities are gathered once per
-different text, and joined by keys that copies don't share a row of.
+A text is searched once.  Cheap tests tell which groups of patterns it can
+match at all, and only those are tried; what is found is marked in a written
+copy of the text, and replaced there by its place.  Texts without entities are
+not shuffled; entities are gathered once per different text.  Digits in the
+groups of a card are one only if their check digit holds.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.shared import written
+from panelwise.llm.shared import joined_small, written
 
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Mister", "Sir", "Lord")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Lady", "Dame", "Señorita", "Srta", "Mademoiselle", "Mlle")
@@ -49,11 +54,21 @@ PATTERNS = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}}){_TITLES}{_BETWEEN}{_WORD}(?:[ -]{_BETWEEN}{_WORD}){{0,3}}",
 }
-ANY = "|".join(PATTERNS.values())
+#: Patterns by what a text must hold to match one of them; a text is searched for the groups that it can match.
+GROUPS = {"signs": ("email", "secret", "access_key"), "digits": ("phone", "ip6", "ip", "national", "card", "account"), "names": ("name",)}
+_FIRST = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+NEEDED = {
+    "signs": [r"@", r"AKIA", rf"(?i:{_SECRET})\s{{0,3}}[=:]"],
+    "digits": [r"[0-9][0-9 ()./+-]{5}", r"[A-Z]{2}[0-9]{2}", r":[0-9A-Fa-f]{0,4}:"],
+    "names": [rf"(?=[{_FIRST}]){_TITLES}"],
+}
+#: Around a mention in a marked text, and for the first of its characters where the text itself has it.
+MARK, OWN = "\uFDD0\uFDD1", "\uFDD0\uFDD2"
 #: Syllables that surrogate names are built of, by script.
 SYLLABLES = {"latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo za".split(),
              "cyrillic": "ба ве ги до жу за ке ли мо ну па ре си то фу ха це чи шо ща".split()}
-ROUNDS = 40
+#: Derivations in the usual form; later ones are longer, so that no kind runs out of surrogates.
+ROUNDS, MORE_ROUNDS = 24, 40
 
 
 def _kind(m: Column) -> Column:
@@ -82,8 +97,28 @@ def _units(mentions: DataFrame) -> DataFrame:
     return d.where("unit <> 'given'").unionByName(open_.select(d.columns))
 
 
+def _digits(core: Column) -> Column:
+    return F.transform(F.split(core, ""), lambda c: c.cast("int"))
+
+
+def _luhn(core: Column) -> Column:
+    """The weighted sum of a card's digits, 0 modulo 10 for a valid one."""
+    doubled = F.transform(F.reverse(_digits(core)), lambda d, i: F.when(i % 2 == 0, d).when(d < 5, 2 * d).otherwise(2 * d - 9))
+    return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10
+
+
+def _mod97(account: Column) -> Column:
+    """An account number's remainder, its first four characters last: 1 for a valid one."""
+    turned = F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
 def _derived(unit: Column, core: Column, key: str, attempt: int) -> Column:
-    """The surrogate of a unit at an attempt: bytes of a keyed digest mapped to the character classes of ``core``."""
+    """The surrogate of a unit at an attempt: bytes of a keyed digest mapped to the character classes of ``core``.
+
+    Cards, and accounts whose check digits hold, get check digits that hold.
+    """
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(str(attempt)), unit, core), 512)
     byte = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     hexadecimal = core.rlike("^[0-9a-f]+$") & core.rlike("[0-9]")
@@ -105,21 +140,29 @@ def _derived(unit: Column, core: Column, key: str, attempt: int) -> Column:
     cyrillic = core.rlike(r"\p{IsCyrillic}")
     named = F.when(cyrillic, name("cyrillic", F.when(unit == "given female", "на").when(unit.startswith("given"), "н").otherwise("к"))).otherwise(
         name("latin", F.when(unit == "given female", "na").when(unit.startswith("given"), "n").otherwise("ck")))
-    return F.when(unit == "email", local).when(unit == "ip", ip).when(unit == "ip6", ip6).when(unit.isin("family", "given", "given female", "given male"), named).otherwise(mapped(core))
+    # a kind that is full takes longer ones: a digit more each time, and IPv6 for IPv4
+    longer = F.concat(*[(byte(F.lit(63 - i)) % 10).cast("string") for i in range(attempt - ROUNDS + 1)]) if attempt >= ROUNDS else F.lit("")
+    digits = mapped(core)
+    head = F.substr(digits, F.lit(1), F.length(core) - 1)
+    card = F.concat(head, longer, ((10 - _luhn(F.concat(head, longer, F.lit("0")))) % 10).cast("string"))
+    bank = F.concat(F.substr(digits, F.lit(1), F.lit(2)), F.lit("00"), F.substr(digits, F.lit(5)), longer)
+    checked = F.concat(F.substr(bank, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(bank)).cast("string"), 2, "0"), F.substr(bank, F.lit(5)))
+    account = F.when(_mod97(core) == 1, checked).otherwise(F.concat(digits, longer))
+    return (F.when(unit == "email", local).when(unit == "ip", ip6 if attempt >= ROUNDS else ip).when(unit == "ip6", ip6).when(unit == "card", card).when(unit == "account", account)
+            .when(unit.isin("family", "given", "given female", "given male"), named).otherwise(F.concat(digits, longer)))
 
 
 def surrogates(units: DataFrame, key: str) -> DataFrame:
-    """``unit, core, surrogate`` for all different entities, one-to-one within a unit and never a real entity.
+    """``unit, core, surrogate`` for all different entities, one-to-one within a unit and never a real entity of any unit.
 
-    Raises if ``ROUNDS`` derivations leave collisions (a kind with fewer
-    surrogates than entities); no shared surrogate is ever given out.
+    A kind with fewer surrogates of its form than entities gets longer ones.
     """
     left = written(units.select("unit", "core").distinct(), "pii-entities")
-    real, accepted = left, None
-    for attempt in range(ROUNDS):
+    real, accepted = left.select(F.col("core").alias("surrogate")).distinct(), None
+    for attempt in range(ROUNDS + MORE_ROUNDS):
         tried = written(left.withColumn("surrogate", _derived(F.col("unit"), F.col("core"), key, attempt)), "pii-tried")
         first = tried.groupBy("unit", "surrogate").agg(F.min("core").alias("core"))
-        free = first.join(real.select("unit", F.col("core").alias("surrogate")), ["unit", "surrogate"], "left_anti")
+        free = first.join(real, "surrogate", "left_anti")
         if accepted is not None:
             free = free.join(accepted, ["unit", "surrogate"], "left_anti")
         free = written(free.select("unit", "core", "surrogate"), "pii-free")
@@ -136,6 +179,7 @@ def _formatted(kind: Column, mention: Column, found: Column) -> Column:
     before = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), "[^A-Za-z0-9]", ""))
     walked = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(
         c.rlike("[A-Za-z0-9]"), F.substr(s, before(i) + 1, F.lit(1))).otherwise(c)), "")
+    walked = F.concat(walked, F.substr(s, before(F.length(mention)) + 1))  # of a longer surrogate
     prefix = F.regexp_extract(mention, rf"^((?i:{_SECRET})\s*[=:]\s*[\"']?)", 1)
     title = F.regexp_extract(mention, f"^({_TITLES})", 1)
     kept = F.split(F.regexp_replace(mention, f"^{_TITLES}", ""), _WORD, -1)
@@ -144,28 +188,47 @@ def _formatted(kind: Column, mention: Column, found: Column) -> Column:
             .when(kind.isin("ip", "ip6", "access_key"), s).when(kind == "name", named).otherwise(walked))
 
 
+def marked(text: Column) -> Column:
+    """The text with a mark before and after each mention; null where there is none."""
+    groups = {g: "|".join(PATTERNS[k] for k in kinds) for g, kinds in GROUPS.items()}
+    can = {g: text.rlike("|".join(needed)) for g, needed in NEEDED.items()}
+    own = F.replace(text, F.lit(MARK[0]), F.lit(OWN))
+    around = F.lit(f"{MARK}$0{MARK}")
+    found = None
+    for chosen in sorted(itertools.product([True, False], repeat=len(groups)), reverse=True):
+        kept = [g for g, c in zip(groups, chosen) if c]
+        if kept:
+            here = can[kept[0]]
+            for g in kept[1:]:
+                here = here & can[g]
+            marks = F.regexp_replace(own, F.lit("|".join(groups[g] for g in kept)), around)
+            found = F.when(here, marks) if found is None else found.when(here, marks)
+    return F.when(found.contains(MARK), found)
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(OWN), F.lit(MARK[0]))
+
+
 def _joined(parts: Column, new: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
-def _replaced(d: DataFrame) -> DataFrame:
-    text = _joined(F.split("text", ANY, -1), F.transform("_new", lambda x: x["new"]))
-    return d.withColumn("text", text).withColumn("_n_entities", F.size("_new")).drop("_new")
+def _rewritten(parts: Column, plain) -> Column:
+    """Parts between marks by ``plain``, mentions (every second one) by ``_new``, which has them by their number."""
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, plain(p)).otherwise(F.coalesce(F.try_element_at("_new", F.floor(i / 2).cast("int")), p))), "")
 
 
-def _replaced_with_bare_names(d: DataFrame) -> DataFrame:
-    """The mentions and the bare words of the text's own names (``_words``) replaced; a word that is both is a family name."""
+def _bare_pattern() -> Column:
     cores = F.array_distinct(F.transform("_words", lambda x: x["core"]))
-    any_here = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(F.reverse(F.array_sort(cores)), "|"), F.lit(r")(?!\p{L})"))  # longer ones first
-    d = d.withColumn("_any", any_here).withColumn("_found", F.regexp_extract_all("text", F.col("_any"), F.lit(0)))
+    return F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.reverse(F.array_sort(cores)), "|"), F.lit(r")(?!\p{L})"))  # longer ones first
 
-    def new(mention: Column) -> Column:
-        whole = F.filter("_new", lambda x: x["mention"] == mention)
-        word = F.filter("_words", lambda x: x["core"] == mention)  # in the order of units
-        return F.when(F.size(whole) > 0, F.get(whole, F.lit(0))["new"]).when(F.size(word) > 0, F.get(word, F.lit(0))["surrogate"]).otherwise(mention)
 
-    text = _joined(F.split("text", F.col("_any"), -1), F.transform("_found", new))
-    return d.withColumn("text", text).withColumn("_n_entities", F.size("_found")).drop("_new", "_words", "_any", "_found")
+def _bare_names_replaced(part: Column) -> Column:
+    """A part of a text with the bare words of the text's own names (``_words``) replaced; a word that is both is a family name."""
+    pattern = _bare_pattern()
+    word = lambda m: F.get(F.filter("_words", lambda x: x["core"] == m), F.lit(0))["surrogate"]  # noqa: E731  (in the order of units)
+    return _joined(F.split(part, pattern, -1), F.transform(F.regexp_extract_all(part, pattern, F.lit(0)), word))
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
@@ -175,23 +238,29 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     whole; equal texts are replaced alike, a row each; an empty table gives no
     rows; all columns are kept (``n_chars``, if there, counts the new text).
     """
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    plain = docs.where(~has).withColumn("_n_entities", F.lit(0))
-    d = docs.where(has).withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
-    texts = d.select("_digest", F.regexp_extract_all("text", F.lit(ANY), 0).alias("found"))
+    searched = written(docs.withColumn("_marked", marked(F.col("text"))), "pii-marked")
+    plain = searched.where("_marked IS NULL").select(*docs.columns, F.lit(0).alias("_n_entities"))
+    d = searched.where("_marked IS NOT NULL").withColumn("_digest", F.sha2(F.col("_marked").cast("binary"), 256)).withColumn("_parts", F.split("_marked", F.lit(MARK), -1))
+    texts = d.select("_digest", F.filter("_parts", lambda _, i: i % 2 == 1).alias("found"))
     texts = written(texts.groupBy("_digest").agg(F.first("found").alias("found")), "pii-texts")
     each = texts.select("_digest", F.posexplode("found").alias("at", "mention"))
-    units = written(_units(each.select("mention").distinct()), "pii-units")
+    mentions = each.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
+    mentions = mentions.where((F.col("kind") != "card") | (_luhn(F.regexp_replace("mention", "[^0-9]", "")) == 0)).drop("kind")
+    units = written(_units(mentions), "pii-units")
     named = units.join(surrogates(units, key), ["unit", "core"])
     found = F.sort_array(F.collect_list(F.struct("place", "surrogate", "core", "unit")))  # as many as a name has words
     named = named.groupBy("mention", "kind").agg(found.alias("found"))
     words = F.when(F.col("kind") == "name", F.transform("found", lambda x: F.struct(x["core"], x["unit"], x["surrogate"])))
     named = written(named.select("mention", _formatted(F.col("kind"), F.col("mention"), F.col("found")).alias("new"), words.alias("words")), "pii-mentions")
-    new = each.join(named, "mention").groupBy("_digest").agg(  # a text's own
-        F.sort_array(F.collect_list(F.struct("at", "mention", "new"))).alias("_new"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_words"))
+    new = joined_small(each, named, "mention").groupBy("_digest").agg(  # a text's own
+        F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("_new"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_words"))
     new = written(new, "pii-replacements")
-    d = d.join(new, "_digest")
-    d = _replaced(d.where("size(_words) = 0").drop("_words")).unionByName(_replaced_with_bare_names(d.where("size(_words) > 0")))
+    d = d.join(new, "_digest", "left")
+    without = F.when(F.size("_words") > 0, F.lit(False)).otherwise(F.lit(True))
+    alone = d.where(without).withColumn("text", _rewritten(F.col("_parts"), lambda p: p)).withColumn("_n_entities", F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")))
+    named_words = F.aggregate(F.filter("_parts", lambda _, i: i % 2 == 0), F.lit(0), lambda a, p: a + F.size(F.regexp_extract_all(p, _bare_pattern(), F.lit(0))))
+    bare = d.where(~without).withColumn("_n_entities", F.size("_new") + named_words).withColumn("text", _rewritten(F.col("_parts"), _bare_names_replaced))
+    d = alone.unionByName(bare).withColumn("text", _unmarked(F.col("text")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        d = d.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(*docs.columns, "_n_entities").unionByName(plain)
