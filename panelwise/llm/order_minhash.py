@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.components import components
-from panelwise.llm.shared import ship_by_value, written
+from panelwise.llm.shared import joined_small, ship_by_value, written
+from panelwise.operators.blocks import with_position
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _SLICE = 1 << 20
@@ -291,16 +292,15 @@ def _still_open(members: DataFrame) -> DataFrame:
 
 
 def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame | None:
-    """Links (a, b) whose components are those of all similar candidates; ``classes`` has rep, digest, sketch."""
+    """Links (a, b) whose components are those of all similar candidates; ``classes`` has rep, doc_id, digest, sketch."""
     members = classes.select("rep", F.posexplode("sketch").alias("bucket", "key")).withColumn("bucket", F.least("bucket", F.lit(p.sketches)))
     members = _unfinished(members.withColumn("component", F.col("rep")))
-    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct().join(
-        classes.select(F.col("rep").alias("doc_id"), "digest"), "doc_id"), "omh-wanted")
+    wanted = written(members.select("rep").distinct().join(classes.select("rep", "doc_id", "digest"), "rep"), "omh-wanted")
     rows = wanted.count()
     if not rows:
         return None
     texts = _digested(docs).join(F.broadcast(wanted) if rows <= WANTED_ROWS else wanted, ["doc_id", "digest"])
-    texts = written(texts.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]).select("rep", "text"), "omh-texts")
+    texts = written(texts.dropDuplicates(["rep"]).select("rep", "text"), "omh-texts")
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
 
@@ -334,8 +334,8 @@ def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFra
 
 def _links_in_buckets(members: DataFrame, texts: DataFrame, p: OrderMinHash) -> DataFrame:
     """Links between components within each bucket, from all pairs of its texts, a pair of chunks a group."""
-    sizes = members.groupBy("bucket", "key").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks"))
-    d = members.join(sizes, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    sizes = written(members.groupBy("bucket", "key").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks")), "omh-chunks")
+    d = joined_small(members, sizes, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     d = d.select("bucket", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
     d = d.join(texts, "rep")
@@ -382,44 +382,67 @@ def linked_in_group(g: pd.DataFrame, p: OrderMinHash) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+def _text_classes(each: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFrame:
+    """Per different text: digest, doc_id (the least that has it), rep (a number of its own), component (the least rep of its
+    class) and class_id (the least doc_id of its class)."""
+    usable = each.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "omh-classes")
+    # a text is numbered by its least doc_id; where one id has several texts, the others get numbers past all ids
+    several = written(classes.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1"), "omh-repeated")
+    if several.isEmpty():
+        classes = classes.withColumn("rep", F.col("doc_id"))
+    else:
+        others = joined_small(classes.select("doc_id", "digest"), several.select("doc_id", "first"), "doc_id").where("digest <> first")
+        top = classes.agg(F.max("doc_id")).first()[0]
+        numbered = with_position(others.select("digest"), [F.asc("digest")], name="past")
+        classes = classes.join(numbered, "digest", "left").withColumn("rep", F.coalesce(F.col("past") + top, "doc_id")).drop("past")
+        classes = written(classes, "omh-numbered")
+    links = class_links(classes, docs, p)
+    found = classes.select("digest", "doc_id", "rep")
+    if links is None:
+        return found.withColumns({"component": F.col("rep"), "class_id": F.col("doc_id")})
+    found = found.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if several.isEmpty():  # a number is a doc_id then
+        return found.withColumn("class_id", F.col("component"))
+    found = written(found, "omh-components")
+    return joined_small(found, found.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component")
+
+
 def near_duplicate_classes(docs: DataFrame, p: OrderMinHash = OrderMinHash()) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), kept (it is that document).
 
     ``docs`` needs doc_id (long) and text.  Equal texts, empty ones too, are
     of one class; a null text or a null doc_id is in a class of its own, with
-    its own doc_id as class_id, and kept.  Repeated rows get a row each.  An
-    empty table gives no rows; other columns are ignored.
+    its own doc_id as class_id, and kept.  Repeated rows get a row each; an id
+    with several texts may be in several classes.  An empty table gives no
+    rows; other columns are ignored.
     """
     each = written(sketched(docs, p), "omh-sketches")
-    usable = each.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "omh-classes")
-    # one document may stand for several texts only if ids repeat; such classes are one class then
-    links = class_links(classes, docs, p)
-    found = classes.select("digest", "rep")
-    if links is None:
-        found = found.withColumn("component", F.col("rep"))
-    else:
-        found = found.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    usable_rows = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
-    d = each.select("doc_id", "digest").join(found.select("digest", "component"), "digest", "left")
-    class_id = F.when(usable_rows, F.col("component")).otherwise(F.col("doc_id"))
+    found = _text_classes(each, docs, p)
+    usable = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    d = each.select("doc_id", "digest").join(found.select("digest", "class_id"), "digest", "left")
+    class_id = F.when(usable, F.col("class_id")).otherwise(F.col("doc_id"))
     return d.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, p: OrderMinHash = OrderMinHash()) -> DataFrame:
-    """One document of each class, with all columns of ``docs`` (a written table); of rows with that id and text, one.
+    """One row of each class of texts, with all columns of ``docs`` (a written table).
 
-    Rows with a null doc_id or a null text stay.
+    Of a class stays the text with the least number and of its rows one of
+    those with its least doc_id; other texts of the same id are judged in
+    their own classes.  Rows with a null doc_id or a null text stay.
     """
-    classes = near_duplicate_classes(docs, p)
-    dropped = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    d = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
-    repeated = written(d.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "omh-repeated")
-    if repeated.isEmpty():
-        return d
-    once = d.join(repeated, "doc_id", "left_anti")
-    again = d.join(repeated, "doc_id", "left_semi")
-    return once.unionByName(again.where("text is not null").dropDuplicates(["doc_id"])).unionByName(again.where("text is null")).select(docs.columns)
+    each = written(sketched(docs, p), "omh-sketches")
+    found = written(_text_classes(each, docs, p), "omh-found")
+    stays = found.where("rep = component").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_stays"))
+    usable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    d = docs.where(usable).withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
+    d = d.withColumn("_stays", F.col("doc_id").cast("long")).join(stays, ["_digest", "_stays"])  # copies of other ids spread
+    repeated = written(d.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest"), "omh-copies")
+    if not repeated.isEmpty():
+        once = d.join(repeated, "_digest", "left_anti")
+        d = once.unionByName(d.join(repeated, "_digest", "left_semi").dropDuplicates(["_digest"]))
+    return d.select(docs.columns).unionByName(docs.where(~usable))
 
 
 ship_by_value(__name__)

@@ -4,7 +4,9 @@ A document is compared with the reference of its language in two histograms:
 its character classes and its counts of the language's most common words.
 Both distances are Jensen-Shannon distances (base 2, so 0 to 1).  A document
 is rejected if either exceeds its limit; documents under the minimum length
-are not judged by divergence, for short histograms are noise.
+are not judged by divergence, for short histograms are noise.  A language with
+few documents is no reference for its own: its documents are compared, in
+coarser classes that no script stands out in, with those of all languages.
 
 Two scans: the first gathers the references over all documents (one wide
 aggregate and one word count, both combined before the shuffle), the second
@@ -25,18 +27,21 @@ SYMBOLS = r"[#*$%&|<>]+"
 #: A common word holds letters only: no ASCII character but a-z and A-Z.
 LETTERS_ONLY = r"^[^\x00-\x40\x5B-\x60\x7B-\x7F]+$"
 CLASSES = ("lower", "upper", "digit", "space", "other_ascii", "beyond_ascii")
+#: Letters of any script, digits, spaces and the rest, of those classes.
+COARSE = ((0, 1, 5), (2,), (3,), (4,))
 
 
 @dataclass(frozen=True)
 class DivergenceLimits:
     """Parameters of the rule.
 
-    ``common_words`` per language, each of 1 to ``common_length`` letters;
-    ``min_words`` and ``min_chars`` guard the word and the class distance.
+    ``common_words`` per language; ``min_words`` and ``min_chars`` guard the
+    word and the class distance, ``min_documents`` (of at least
+    ``min_base_words`` words) a language's own reference.
     """
 
     common_words: int = 24
-    common_length: int = 5
+    min_documents: int = 20
     min_words: int = 100
     min_chars: int = 400
     max_class_distance: float = 0.25
@@ -68,21 +73,26 @@ def _class_counts(d: DataFrame) -> DataFrame:
     return d.withColumn("classes", F.array(n[0] - n[1], n[1] - n[2], n[2] - n[3], space, n[3] - n[4], n[4]))
 
 
+def _coarse(classes: Column) -> Column:
+    return F.array(*[reduce(lambda a, b: a + b, [F.get(classes, F.lit(i)) for i in group]) for group in COARSE])
+
+
 def language_references(docs: DataFrame, limits: DivergenceLimits = DivergenceLimits()) -> DataFrame:
-    """One row per language over all documents: ``language, class_share, common, common_share``.
+    """One row per language: ``language, n_documents, class_sums, class_share, common, common_share``.
 
-    ``common`` are its most frequent short words (ties: the smaller word);
-    ``common_share`` has their shares of all words and, last, the share of the rest.
+    They are gathered over all documents of at least ``min_base_words``
+    words.  ``common`` are a language's most frequent words of letters (ties:
+    the smaller word); ``common_share`` has their shares of all words and,
+    last, the share of the rest.
     """
     d = docs.select(F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    sums = [F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]
-    total = F.greatest(reduce(lambda a, b: a + b, sums), F.lit(1))
-    classes = (_class_counts(d).withColumn("n", F.size(words(F.col("text"))))
-               .groupBy("language").agg(F.array(*[s / total for s in sums]).alias("class_share"),
-                                        F.sum("n").alias("n_words")))
-    each = d.select("language", F.explode(words(F.col("text"))).alias("word"))
-    short = each.where((F.length("word") <= limits.common_length) & F.col("word").rlike(LETTERS_ONLY))
-    counts = short.groupBy("language", "word").agg(F.count("*").alias("n"))
+    d = d.withColumn("words", words(F.col("text"))).where(F.size("words") >= limits.min_base_words)
+    sums = F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))])
+    total = lambda xs: F.greatest(F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    classes = (_class_counts(d).groupBy("language").agg(F.count("*").alias("n_documents"), sums.alias("class_sums"), F.sum(F.size("words")).alias("n_words"))
+               .withColumn("class_share", F.transform("class_sums", lambda x: x / total(F.col("class_sums")))))
+    each = d.select("language", F.explode("words").alias("word")).where(F.col("word").rlike(LETTERS_ONLY))
+    counts = each.groupBy("language", "word").agg(F.count("*").alias("n"))
     first = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = (counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limits.common_words)
            .groupBy("language").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top")))
@@ -90,10 +100,17 @@ def language_references(docs: DataFrame, limits: DivergenceLimits = DivergenceLi
         "array<struct<place:int,word:string,n:bigint>>")))
     n_words = F.greatest(F.col("n_words"), F.lit(1))
     rest = (F.col("n_words") - F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])) / n_words
-    return both.select("language", "class_share", F.transform("top", lambda x: x["word"]).alias("common"),
+    return both.select("language", "n_documents", "class_sums", "class_share", F.transform("top", lambda x: x["word"]).alias("common"),
                        F.concat(F.transform("top", lambda x: x["n"] / n_words), F.array(rest)).alias("common_share"))
 
 
+def _pooled(refs: DataFrame) -> Column:
+    """The coarse shares of all languages' documents together, four numbers; null where there are none."""
+    row = refs.agg(*[F.coalesce(F.sum(F.col("class_sums")[i]), F.lit(0)) for i in range(len(CLASSES))]).first()
+    sums = [sum(row[i] for i in group) for group in COARSE]
+    return F.array(*[F.lit(x / sum(sums)) for x in sums]) if sum(sums) else F.lit(None).cast("array<double>")
+
+
 def _base_counts(d: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
     d = _class_counts(d.withColumn("words", words(F.col("text"))))
@@ -124,8 +141,9 @@ def divergence_report(docs: DataFrame, limits: DivergenceLimits = DivergenceLimi
                       references: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: its counts, ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
-    ``docs`` needs doc_id, text and lang; ``references`` default to those of
-    all of ``docs``; the columns named in ``keep`` are carried along in the struct ``row``.  Null text counts
+    ``docs`` needs doc_id, text and lang; ``references`` (language, class_share,
+    common, common_share) default to those of all of ``docs``, and those given
+    hold whatever they were made of; the columns named in ``keep`` are carried along in the struct ``row``.  Null text counts
     as empty and fails the base rule; a null lang is a language of its own;
     a distance is null where its guard or a missing reference leaves the
     document unjudged, which keeps it.  Repeated rows are judged alike, one
@@ -135,15 +153,18 @@ def divergence_report(docs: DataFrame, limits: DivergenceLimits = DivergenceLimi
     row = F.struct(*keep) if keep else F.lit(None)
     d = docs.select(F.col("doc_id"), F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     refs = written(language_references(docs, limits) if references is None else references, "language-references")
-    d = joined_small(_base_counts(d), refs, "language", "left")
+    own = refs if references is not None else refs.where(F.col("n_documents") >= limits.min_documents)
+    d = joined_small(_base_counts(d), own.select("language", "class_share", "common", "common_share"), "language", "left")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("n_chars_all", chars)
     d = d.withColumn("common_counts", F.transform("common", lambda c: F.col("n_words") - F.size(F.array_remove(F.col("words"), c))))
     others = F.col("n_words") - F.aggregate("common_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("all_counts", F.concat("common_counts", F.array(others)))
     share = lambda counts, n: F.transform(counts, lambda x: x / F.col(n))
-    d = d.withColumn("class_distance", F.when(F.col("n_chars_all") >= limits.min_chars,
-                                              js_distance(share("classes", "n_chars_all"), F.col("class_share"))))
+    distance = js_distance(share("classes", "n_chars_all"), F.col("class_share"))
+    if references is None:
+        distance = F.when(F.col("class_share").isNotNull(), distance).otherwise(js_distance(share(_coarse(F.col("classes")), "n_chars_all"), _pooled(refs)))
+    d = d.withColumn("class_distance", F.when(F.col("n_chars_all") >= limits.min_chars, distance))
     d = d.withColumn("word_distance", F.when(F.col("n_words") >= limits.min_words,
                                              js_distance(share("all_counts", "n_words"), F.col("common_share"))))
     d = d.withColumn("base_failed", (F.col("n_words") < limits.min_base_words)
@@ -155,7 +176,12 @@ def divergence_report(docs: DataFrame, limits: DivergenceLimits = DivergenceLimi
 
 
 def keep_close_documents(docs: DataFrame, limits: DivergenceLimits = DivergenceLimits()) -> DataFrame:
-    """The documents whose report says ``kept``, with all their columns."""
+    """The documents whose report says ``kept``, with all their columns.
+
+    Null, empty and short texts fail the base rule and go; repeated rows are
+    judged alike and stay each; a null language is one like others; an empty
+    table gives no rows.
+    """
     report = divergence_report(docs, limits, keep=tuple(docs.columns))
     # the filter needs a column that isn't deterministic: pushed down, it would repeat the whole chain of
     # expressions that the verdict hangs on

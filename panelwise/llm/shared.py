@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from types import ModuleType
 
 from pyspark import cloudpickle
@@ -30,13 +33,22 @@ def ship_by_value(module: str) -> ModuleType:
 ship_by_value(__name__)
 
 
+#: Folder, below the application's, of the tables written in the current scope.
+_SCOPE: ContextVar[str] = ContextVar("panelwise_scratch_scope", default="")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's written tables, inside ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelwise-llm/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,17 +56,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: an executor lost later costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, scratch_path(df.sparkSession, name))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; a result that reads them must be written elsewhere before."""
+    outer = _SCOPE.get()
+    token = _SCOPE.set(f"{outer}/scope-{uuid.uuid4().hex}")
+    inner = f"{scratch_root(spark)}{_SCOPE.get()}"
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        dropped(spark, inner)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables (call when no result that reads them is needed any more)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    dropped(spark, scratch_root(spark))
 
 
 def joined_small(df: DataFrame, side: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:

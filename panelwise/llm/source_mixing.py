@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.shared import joined_small, words, written
+from panelwise.llm.shared import SPACE_CLASS, WORD_CLASS, joined_small, words, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -139,13 +139,23 @@ def mix_documents(docs: DataFrame, share: float = SHARE, most: float = MOST, wei
         F.when(F.col("size") > 0, F.col("taken")).otherwise(F.lit(0)).cast("long").alias("taken"), *keep)
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, its lines kept."""
+    each = F.split(text, rf"(?<={SPACE_CLASS})(?={WORD_CLASS})")  # a word and the spaces after it; first, perhaps, spaces alone
+    leading = text.rlike(f"^{SPACE_CLASS}").cast("int")
+    return F.regexp_replace(F.array_join(F.slice(each, F.lit(1), n + leading), ""), f"{SPACE_CLASS}+$", "")
+
+
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself, with the columns of ``docs`` (a written table).
 
     A source's blocks are used equally often but for one more round up to a
     block, so a document is taken as whole repeats and, where that block ends
-    within it, once more as its first words joined by spaces (``n_chars``, if
-    there, then counts those).  Documents taken 0 times are left out.
+    within it, once more as its text up to its last word taken (``n_chars``, if
+    there, then counts that).  Documents taken 0 times are left out, and so
+    are null, empty and blank texts, which have no word to take.  Repeated
+    rows are documents each, a null source is one like others, and an empty
+    table gives no rows.
     """
     names = docs.columns
     d = docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text")
@@ -160,7 +170,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
                      F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     d = d.select("row", "size", F.explode(times).alias("first_words"))
     cut = F.col("first_words") < F.col("size")
-    text = F.when(cut, F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("first_words").cast("int")), " ")).otherwise(F.col("row.text"))
+    text = F.when(cut, _first_words(F.col("row.text"), F.col("first_words").cast("int"))).otherwise(F.col("row.text"))
     out = {"text": text}
     if "n_chars" in names:
         out["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -31,10 +31,12 @@ c AS (SELECT r, doc_id, language, ws, len(ws) AS n_words, length(compact) AS wor
 g AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM c)),
 f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM f, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-cls AS (SELECT language, sum(n_words) AS total, [{', '.join(f'sum(classes[{i}]) / greatest(sum(n_all), 1)' for i in range(1, 7))}] AS class_share
-        FROM c GROUP BY language),
-wc AS (SELECT language, word, count(*) AS n FROM (SELECT language, unnest(ws) AS word FROM c)
-       WHERE length(word) <= {limits.common_length} AND regexp_matches(word, '^[^\x00-\x40\x5B-\x60\x7B-\x7F]+$') GROUP BY ALL),
+big AS (SELECT * FROM c WHERE n_words >= {limits.min_base_words}),
+cls0 AS (SELECT language, count(*) AS n_documents, sum(n_words) AS total, [{', '.join(f'sum(classes[{i}])' for i in range(1, 7))}] AS sums, sum(n_all) AS chars FROM big GROUP BY language),
+cls AS (SELECT language, total, list_transform(sums, lambda x: x / greatest(chars, 1)) AS class_share FROM cls0 WHERE n_documents >= {limits.min_documents}),
+pool AS (SELECT [sum(sums[1] + sums[2] + sums[6]) / sum(chars), sum(sums[3]) / sum(chars), sum(sums[4]) / sum(chars), sum(sums[5]) / sum(chars)] AS pooled FROM cls0),
+wc AS (SELECT language, word, count(*) AS n FROM (SELECT language, unnest(ws) AS word FROM big)
+       WHERE regexp_matches(word, '^[^\x00-\x40\x5B-\x60\x7B-\x7F]+$') GROUP BY ALL),
 top AS (SELECT * FROM wc QUALIFY row_number() OVER (PARTITION BY language ORDER BY n DESC, word) <= {limits.common_words}),
 tops AS (SELECT language, list(word ORDER BY n DESC, word) AS common, list(n ORDER BY n DESC, word) AS ns FROM top GROUP BY language),
 refs AS (SELECT cls.language, class_share, coalesce(common, []) AS common,
@@ -42,14 +44,16 @@ refs AS (SELECT cls.language, class_share, coalesce(common, []) AS common,
                      (total - coalesce(list_sum(ns), 0)) / greatest(total, 1)) AS common_share
          FROM cls LEFT JOIN tops USING (language)),
 j AS (SELECT c.*, class_share, common, common_share, coalesce(n_repeat_words, 0) AS n_repeat_words
-      FROM c JOIN refs USING (language) LEFT JOIN rep USING (r)),
+      FROM c LEFT JOIN refs USING (language) LEFT JOIN rep USING (r)),
 h AS (SELECT r, list(coalesce(n, 0) ORDER BY k) AS counts FROM (
         SELECT j.r, k, common[k] AS word FROM j, (SELECT unnest(range(1, {limits.common_words} + 1)) AS k) WHERE k <= len(common)) x
       LEFT JOIN (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM c) GROUP BY ALL) y USING (r, word) GROUP BY r),
 k AS (SELECT j.*, list_append(coalesce(counts, []), n_words - coalesce(list_sum(counts), 0)) AS all_counts FROM j LEFT JOIN h USING (r)),
 m AS (SELECT *, n_words < {limits.min_base_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed,
-      CASE WHEN n_all >= {limits.min_chars} THEN {_js('list_transform(classes, lambda x: x / n_all)', 'class_share')} END AS cd,
-      CASE WHEN n_words >= {limits.min_words} THEN {_js('list_transform(all_counts, lambda x: x / n_words)', 'common_share')} END AS wd FROM k)
+      CASE WHEN n_all < {limits.min_chars} THEN NULL
+           WHEN class_share IS NULL THEN {_js('[(classes[1] + classes[2] + classes[6]) / n_all, classes[3] / n_all, classes[4] / n_all, classes[5] / n_all]', 'pooled')}
+           ELSE {_js('list_transform(classes, lambda x: x / n_all)', 'class_share')} END AS cd,
+      CASE WHEN n_words >= {limits.min_words} AND class_share IS NOT NULL THEN {_js('list_transform(all_counts, lambda x: x / n_words)', 'common_share')} END AS wd FROM k, pool)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(cd > {limits.max_class_distance}, false) AND NOT coalesce(wd > {limits.max_word_distance}, false) AS kept
