@@ -26,6 +26,8 @@ from panelwise.llm.shared import WORD_CLASS, joined_small, without_spaces, words
 SYMBOLS = r"[#*$%&|<>]+"
 #: A common word holds letters only: no ASCII character but a-z and A-Z.
 LETTERS_ONLY = r"^[^\x00-\x40\x5B-\x60\x7B-\x7F]+$"
+#: Letters of a word that is counted by itself at once, and buckets a language of longer ones.
+SHORT, BUCKETS = 5, 1 << 14
 CLASSES = ("lower", "upper", "digit", "space", "other_ascii", "beyond_ascii")
 #: Letters of any script, digits, spaces and the rest, of those classes.
 COARSE = ((0, 1, 5), (2,), (3,), (4,))
@@ -77,6 +79,29 @@ def _coarse(classes: Column) -> Column:
     return F.array(*[reduce(lambda a, b: a + b, [F.get(classes, F.lit(i)) for i in group]) for group in COARSE])
 
 
+def _frequent_words(each: DataFrame, most: int) -> DataFrame:
+    """``language, word, n`` of all words of letters that may be among a language's ``most`` frequent, counted exactly.
+
+    Short words are counted one by one, longer ones first by buckets of a
+    hash.  A bucket with fewer words than the last short word in question
+    holds none that is as frequent; only the words of the others are counted.
+    """
+    short = F.length("word") <= SHORT
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+    both = each.where(~short | F.col("word").rlike(LETTERS_ONLY)).select(
+        "language", F.when(short, F.col("word")).alias("word"), F.when(~short, bucket).alias("bucket"))
+    both = written(both.groupBy("language", "word", "bucket").agg(F.count("*").alias("n")), "word-counts")
+    counts = both.where("word IS NOT NULL").select("language", "word", "n")
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n")))
+    last = counts.withColumn("place", place).where(F.col("place") == most).select("language", F.col("n").alias("least"))
+    heavy = both.where("bucket IS NOT NULL").join(last, "language", "left").where(F.col("n") >= F.coalesce("least", F.lit(1)))
+    heavy = written(heavy.select("language", "bucket"), "word-buckets")
+    if heavy.isEmpty():
+        return counts
+    longer = joined_small(each.where(~short).withColumn("bucket", bucket), heavy, ["language", "bucket"])
+    return counts.unionByName(longer.where(F.col("word").rlike(LETTERS_ONLY)).groupBy("language", "word").agg(F.count("*").alias("n")))
+
+
 def language_references(docs: DataFrame, limits: DivergenceLimits = DivergenceLimits()) -> DataFrame:
     """One row per language: ``language, n_documents, class_sums, class_share, common, common_share``.
 
@@ -91,8 +116,7 @@ def language_references(docs: DataFrame, limits: DivergenceLimits = DivergenceLi
     total = lambda xs: F.greatest(F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
     classes = (_class_counts(d).groupBy("language").agg(F.count("*").alias("n_documents"), sums.alias("class_sums"), F.sum(F.size("words")).alias("n_words"))
                .withColumn("class_share", F.transform("class_sums", lambda x: x / total(F.col("class_sums")))))
-    each = d.select("language", F.explode("words").alias("word")).where(F.col("word").rlike(LETTERS_ONLY))
-    counts = each.groupBy("language", "word").agg(F.count("*").alias("n"))
+    counts = _frequent_words(d.select("language", F.explode("words").alias("word")), limits.common_words)
     first = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = (counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limits.common_words)
            .groupBy("language").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top")))

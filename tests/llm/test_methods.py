@@ -490,3 +490,24 @@ def test_shards_are_even_and_gapless(spark):
     sizes = rows.groupby("shard")["size"].sum()
     assert sorted(sizes.index) == list(range(8)) and sizes.max() < 1.05 * sizes.min()
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
+
+
+def test_frequent_words_of_any_length_are_counted(spark, monkeypatch):
+    """Few buckets, so that rare long words share them with frequent ones: the same words as a plain count."""
+    from panelwise.llm import quality_divergence as qd
+
+    rng = random.Random(8)
+    words_ = [rng.choice(["a", "of", "wide", "information", "government", "x1", "longer,"] + [f"{'w' * 6}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]) for _ in range(6000)]
+    words_ += ["information"] * 500 + ["éternellement"] * 400
+    each = spark.createDataFrame([("en" if i % 3 else "de", w) for i, w in enumerate(words_)], "language string, word string")
+    for buckets in (1, 7, 1 << 14):
+        monkeypatch.setattr(qd, "BUCKETS", buckets)
+        found = {(r["language"], r["word"]): r["n"] for r in qd._frequent_words(each, 3).collect()}
+        for language in ("en", "de"):
+            plain = {}
+            for i, w in enumerate(words_):
+                if (i % 3 == 0) == (language == "de") and w.isalpha():
+                    plain[w] = plain.get(w, 0) + 1
+            top = sorted(plain, key=lambda w: (-plain[w], w))[:3]
+            mine = {w: n for (x, w), n in found.items() if x == language}
+            assert sorted(mine, key=lambda w: (-mine[w], w))[:3] == top and all(mine[w] == plain[w] for w in top)
