@@ -27,7 +27,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 #: A common word holds letters only: no ASCII character but a-z and A-Z.
 LETTERS_ONLY = r"^[^\x00-\x40\x5B-\x60\x7B-\x7F]+$"
 #: Letters of a word that is counted by itself at once, and buckets a language of longer ones.
-SHORT, BUCKETS = 5, 1 << 14
+SHORT, BUCKETS = 5, 1 << 12
 CLASSES = ("lower", "upper", "digit", "space", "other_ascii", "beyond_ascii")
 #: Letters of any script, digits, spaces and the rest, of those classes.
 COARSE = ((0, 1, 5), (2,), (3,), (4,))
@@ -38,8 +38,8 @@ class DivergenceLimits:
     """Parameters of the rule.
 
     ``common_words`` per language; ``min_words`` and ``min_chars`` guard the
-    word and the class distance, ``min_documents`` (of at least
-    ``min_base_words`` words) a language's own reference.
+    word and the class distance, ``min_documents`` (of at least ``min_chars``
+    characters) a language's own reference.
     """
 
     common_words: int = 24
@@ -88,10 +88,9 @@ def _frequent_words(each: DataFrame, most: int) -> DataFrame:
     """
     short = F.length("word") <= SHORT
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
-    both = each.where(~short | F.col("word").rlike(LETTERS_ONLY)).select(
-        "language", F.when(short, F.col("word")).alias("word"), F.when(~short, bucket).alias("bucket"))
+    both = each.select("language", F.when(short, F.col("word")).alias("word"), F.when(~short, bucket).alias("bucket"))
     both = written(both.groupBy("language", "word", "bucket").agg(F.count("*").alias("n")), "word-counts")
-    counts = both.where("word IS NOT NULL").select("language", "word", "n")
+    counts = both.where(F.col("word").rlike(LETTERS_ONLY)).select("language", "word", "n")  # once a different word, not once a word
     place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n")))
     last = counts.withColumn("place", place).where(F.col("place") == most).select("language", F.col("n").alias("least"))
     heavy = both.where("bucket IS NOT NULL").join(last, "language", "left").where(F.col("n") >= F.coalesce("least", F.lit(1)))
@@ -99,24 +98,26 @@ def _frequent_words(each: DataFrame, most: int) -> DataFrame:
     if heavy.isEmpty():
         return counts
     longer = joined_small(each.where(~short).withColumn("bucket", bucket), heavy, ["language", "bucket"])
-    return counts.unionByName(longer.where(F.col("word").rlike(LETTERS_ONLY)).groupBy("language", "word").agg(F.count("*").alias("n")))
+    longer = longer.groupBy("language", "word").agg(F.count("*").alias("n"))
+    return counts.unionByName(longer.where(F.col("word").rlike(LETTERS_ONLY)))
 
 
 def language_references(docs: DataFrame, limits: DivergenceLimits = DivergenceLimits()) -> DataFrame:
     """One row per language: ``language, n_documents, class_sums, class_share, common, common_share``.
 
-    They are gathered over all documents of at least ``min_base_words``
-    words.  ``common`` are a language's most frequent words of letters (ties:
+    They are gathered over all documents of at least ``min_chars``
+    characters, those that are judged by their classes.  ``common`` are a language's most frequent words of letters (ties:
     the smaller word); ``common_share`` has their shares of all words and,
     last, the share of the rest.
     """
     d = docs.select(F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("words", words(F.col("text"))).where(F.size("words") >= limits.min_base_words)
+    d = d.where(F.length("text") >= limits.min_chars)
     sums = F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))])
     total = lambda xs: F.greatest(F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    classes = (_class_counts(d).groupBy("language").agg(F.count("*").alias("n_documents"), sums.alias("class_sums"), F.sum(F.size("words")).alias("n_words"))
+    classes = (_class_counts(d).withColumn("n", F.size(words(F.col("text"))))
+               .groupBy("language").agg(F.count("*").alias("n_documents"), sums.alias("class_sums"), F.sum("n").alias("n_words"))
                .withColumn("class_share", F.transform("class_sums", lambda x: x / total(F.col("class_sums")))))
-    counts = _frequent_words(d.select("language", F.explode("words").alias("word")), limits.common_words)
+    counts = _frequent_words(d.select("language", F.explode(words(F.col("text"))).alias("word")), limits.common_words)
     first = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     top = (counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limits.common_words)
            .groupBy("language").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top")))
@@ -181,7 +182,8 @@ def divergence_report(docs: DataFrame, limits: DivergenceLimits = DivergenceLimi
     d = joined_small(_base_counts(d), own.select("language", "class_share", "common", "common_share"), "language", "left")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("n_chars_all", chars)
-    d = d.withColumn("common_counts", F.transform("common", lambda c: F.col("n_words") - F.size(F.array_remove(F.col("words"), c))))
+    d = d.withColumn("frequent", F.filter("words", lambda w: F.array_contains("common", w)))  # one pass of the words, not one for each
+    d = d.withColumn("common_counts", F.transform("common", lambda c: (F.size("frequent") - F.size(F.array_remove(F.col("frequent"), c))).cast("long")))
     others = F.col("n_words") - F.aggregate("common_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("all_counts", F.concat("common_counts", F.array(others)))
     share = lambda counts, n: F.transform(counts, lambda x: x / F.col(n))

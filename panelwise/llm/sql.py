@@ -31,7 +31,7 @@ c AS (SELECT r, doc_id, language, ws, len(ws) AS n_words, length(compact) AS wor
 g AS (SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM c)),
 f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM f, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-big AS (SELECT * FROM c WHERE n_words >= {limits.min_base_words}),
+big AS (SELECT * FROM c WHERE n_all >= {limits.min_chars}),
 cls0 AS (SELECT language, count(*) AS n_documents, sum(n_words) AS total, [{', '.join(f'sum(classes[{i}])' for i in range(1, 7))}] AS sums, sum(n_all) AS chars FROM big GROUP BY language),
 cls AS (SELECT language, total, list_transform(sums, lambda x: x / greatest(chars, 1)) AS class_share FROM cls0 WHERE n_documents >= {limits.min_documents}),
 pool AS (SELECT [sum(sums[1] + sums[2] + sums[6]) / sum(chars), sum(sums[3]) / sum(chars), sum(sums[4]) / sum(chars), sum(sums[5]) / sum(chars)] AS pooled FROM cls0),

@@ -76,7 +76,7 @@ def test_quality_rules(stages):
     limits = quality_divergence.DivergenceLimits()
     per = {}
     for r in before:
-        if len(_words(r["text"])) >= 50:
+        if len(r["text"] or "") >= limits.min_chars:
             per.setdefault(r["lang"] or "", []).append(r["text"])
     sums = {lang: [sum(x) for x in zip(*map(_classes, texts))] for lang, texts in per.items()}
     coarse = lambda c: [c[0] + c[1] + c[5], c[2], c[3], c[4]]
