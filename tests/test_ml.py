@@ -75,7 +75,8 @@ def test_reevaluation_equals_training_metrics(panel):
 
 def test_feature_importances(spark, panel):
     model = ml.fit_model(panel, "deaths", SMALL)
-    imp = ml.feature_importances(spark, model, "deaths").collect()
+    imp = ml.feature_importances(spark, {"deaths": model}).orderBy("position").collect()
+    assert [r["position"] for r in imp] == list(range(1, 8)) and {r["model"] for r in imp} == {"deaths"}
     assert [r["feature"] for r in imp] != [] and sum(r["importance"] for r in imp) == pytest.approx(1.0)
     assert [r["importance"] for r in imp] == sorted((r["importance"] for r in imp), reverse=True)
 
