@@ -32,11 +32,16 @@ def main() -> None:
     from panelwise.session import local_session
 
     spark = local_session(CPUS, shuffle_partitions=int(CPUS), app="panelwise-bench")
+    from panelwise.plans.registry import prepared_table
+
+    t0 = time.perf_counter()
+    prepared_table(spark, SF_DIR)  # derived and written once; later queries read it
+    build = round(time.perf_counter() - t0, 3)
     names = ONLY or list(REGISTRY)
     # warm-up: JVM start, class loading, first codegen (not reported)
     REGISTRY["kpi_summary"].build(spark, SF_DIR).write.format("noop").mode("overwrite").save()
 
-    timings: dict[str, float] = {}
+    timings: dict[str, float] = {} if ONLY else {"prepared_table": build}
     errors: dict[str, str] = {}
     for name in names:
         runs = []

@@ -158,18 +158,23 @@ def evaluate(model: PipelineModel, df: DataFrame, model_name: str, spec: PanelSp
     return regression_metrics(predict(model, test))
 
 
-def train_and_evaluate(df: DataFrame, model_name: str, params: ForestParams = ForestParams(),
-                       spec: PanelSpec = DEFAULT_SPEC):
-    """M4: C11 -> C14 -> M2 -> M3 -> C12 -> C7 -> A23.  Returns (model, metrics)."""
-    model = fit_model(df, model_name, params, spec)
+def training_report(df: DataFrame, model_name: str, model: PipelineModel, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+    """What M4 prints of a model: its rows, those dropped, and A23 on the held-out ones."""
     frame = training_frame(df, model_name, spec)
     counts = frame.select(F.struct(F.count_if(~F.col("is_test")).alias("n_train"),
                                    F.count_if("is_test").alias("n_test"))).scalar()
     dropped = dropped_rows(df, model_name).select("dropped_rows").scalar()
     metrics = regression_metrics(predict(model, frame.where(F.col("is_test"))))
-    return model, metrics.select(F.lit(model_name).alias("model"), counts.getField("n_train").alias("n_train"),
-                                 counts.getField("n_test").alias("n_test"), dropped.alias("dropped_rows"),
-                                 "mse", "rmse", "r2")
+    return metrics.select(F.lit(model_name).alias("model"), counts.getField("n_train").alias("n_train"),
+                          counts.getField("n_test").alias("n_test"), dropped.alias("dropped_rows"),
+                          "mse", "rmse", "r2")
+
+
+def train_and_evaluate(df: DataFrame, model_name: str, params: ForestParams = ForestParams(),
+                       spec: PanelSpec = DEFAULT_SPEC):
+    """M4: C11 -> C14 -> M2 -> M3 -> C12 -> C7 -> A23.  Returns (model, metrics)."""
+    model = fit_model(df, model_name, params, spec)
+    return model, training_report(df, model_name, model, spec)
 
 
 # ---------------------------------------------------------------------- K5
