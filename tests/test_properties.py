@@ -186,3 +186,44 @@ def test_column_profile_approx_close(panel):
     approx = {r["column"]: r["unique"] for r in prof.column_profile(panel, approx=True).collect()}
     for c, v in exact.items():
         assert abs(approx[c] - v) <= max(2, 0.1 * v)
+
+
+def _direct_density(values, x):
+    """The kernel sum in Python's longest floats, one value at a time."""
+    v = np.asarray(values, dtype=np.longdouble)
+    bw = np.std(v, ddof=1) * np.longdouble(len(v)) ** np.longdouble(-0.2)
+    z = (np.asarray(x, dtype=np.longdouble)[:, None] - v[None, :]) / bw
+    return np.exp(-0.5 * z * z).sum(axis=1) / (len(v) * bw * np.sqrt(2 * np.longdouble(np.pi)))
+
+
+@pytest.mark.parametrize("shape", ["normal", "heavy_tail", "ties", "two_values", "gap"])
+def test_kde_error_is_within_its_bound(spark, shape):
+    rng = np.random.default_rng(11)
+    values = {"normal": rng.normal(50, 3, 3000), "heavy_tail": np.exp(rng.normal(0, 2.5, 3000)),
+              "ties": np.floor(rng.gamma(0.4, 9, 4000)), "two_values": np.array([1.0, 2.0]),
+              "gap": np.concatenate([rng.normal(0, 1, 5000), [400.0]])}[shape]
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", 1.0), ("c", 3.0), (None, 7.0), ("a", None)],
+                               "g string, v double")
+    got = dist.kde(df, "v", by="g").toPandas().sort_values("grid_index")
+    assert set(got["g"]) == {"a"} and got["grid_index"].tolist() == list(range(200))
+    want = _direct_density(values, got["x"])
+    seen = want > 1e-300
+    assert np.max(np.abs(got["density"].to_numpy()[seen] / want[seen] - 1)) < 1e-11
+    assert np.all(got["density"].to_numpy()[~seen] <= 1e-299)
+
+
+def test_kde_moments_meet_the_stated_bound():
+    z = dist.REACH / (2 * dist.CELLS_PER_BANDWIDTH)
+    m = dist.HIGHEST_MOMENT
+    assert z < 1.22 and math.exp(2 * z) * z ** (m + 1) / math.factorial(m + 1) < 1e-12
+
+
+def test_kde_reads_rows_without_a_grid_or_a_loop(spark, panel):
+    for by in ("country", None):
+        plan = dist.kde(panel, "New_deaths", by=by)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_kde_of_no_rows(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert dist.kde(df, "v").count() == 0 and dist.kde(df, "v", by="g").count() == 0
