@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from panelwise.llm import (best_fit_packing, byte_cnn, cap_filters, components, flow_resharding, license_dice, order_minhash,
@@ -492,6 +493,95 @@ def test_shards_are_even_and_gapless(spark):
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
 
 
+def _groups_in_several_shards(rows):
+    return int((rows.groupby("text")["shard"].nunique() > 1).sum())
+
+
+def test_equal_texts_share_a_shard(spark, documents):
+    docs = spark.createDataFrame([(1000 + i, f"copy {i % 40} " * (1 + i % 2)) for i in range(600)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(docs)
+    resharded, moves = flow_resharding.reshard(docs, 5, 8)
+    rows = resharded.select(F.coalesce("text", F.lit("")).alias("text"), "shard", "_size", "old_shard").toPandas()
+    assert _groups_in_several_shards(rows[rows["text"].str.startswith("copy ")]) == 0
+    of_text = rows.groupby("text").agg(shards=("shard", "nunique"), size=("_size", "sum"))
+    assert (of_text.loc[of_text["shards"] > 1, "size"] > 2 * int(0.02 * rows["_size"].sum() / 8)).all()
+    sizes = rows.groupby("shard")["_size"].sum()
+    assert len(sizes) == 8 and sizes.max() < 1.03 * sizes.min()
+    moved = rows.loc[rows["shard"] != rows["old_shard"], "_size"].sum()
+    assert abs(moved - sum(x for i, r in enumerate(moves) for j, x in enumerate(r) if i != j)) < 0.02 * rows["_size"].sum()
+
+
+def test_a_text_of_a_third_of_all_rows_is_cut_and_no_other(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot " * 30)).otherwise(
+        F.concat(F.lit("text "), (F.col("id") % 1500).cast("string"), F.repeat(F.lit(" word"), 20))).alias("text"))
+    rows = flow_resharding.reshard(docs, 5, 8)[0].select("text", "shard", "_size").toPandas()
+    assert _groups_in_several_shards(rows) == 1
+    sizes = rows.groupby("shard")["_size"].sum()
+    assert len(sizes) == 8 and sizes.max() < 1.03 * sizes.min()
+    plan = flow_resharding.reshard(docs, 5, 8)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_cuts_equal_those_of_a_sorted_list(spark):
+    """Each boundary against the whole order of its old shard, one document at a time, with and without slack."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, "w" * rng.choice([3, 40, 41, 300]) + str(rng.randint(0, 25))) for i in range(400)], "doc_id long, text string")
+    keys = flow_resharding._ordered(docs.withColumn("old_shard", (F.col("doc_id") % 2).cast("int"))).select("old_shard", "_at", "_size")
+    rows = sorted(tuple(r) for r in keys.collect())
+    cuts = [{"old_shard": i, "number": n, "byte": b, "within": ""} for i in (0, 1) for n, b in enumerate((1, 777, 5000, 9000))]
+    for slack in (0, 150, 1 << 40):
+        placed = flow_resharding._boundaries(keys, cuts, slack)
+        for c in cuts:
+            mine = [(at, size) for i, at, size in rows if i == c["old_shard"]]
+            got = sum(size for at, size in mine if at < placed[c["old_shard"], c["number"]])
+            ends = [0]
+            texts = [0]
+            for k, (at, size) in enumerate(mine):
+                ends.append(ends[-1] + size)
+                if k + 1 == len(mine) or mine[k + 1][0][:35] != at[:35]:
+                    texts.append(ends[-1])
+            whole = min(abs(e - c["byte"]) for e in texts)
+            assert abs(got - c["byte"]) == (whole if whole <= slack else min(abs(e - c["byte"]) for e in ends))
+
+
+def test_folder_of_shards_is_resharded(spark, tmp_path):
+    """Real shards with a clashing column: untouched ones stay, rows are those of before, bytes are near even."""
+    source, target = str(tmp_path / "old"), str(tmp_path / "new")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 11, "x").alias("text"),
+                                   F.col("id").alias("size"), F.when(F.col("id") < 200, 0).when(F.col("id") < 300, 1).otherwise(2).alias("shard"))
+    docs.write.partitionBy("shard").parquet(source)
+    folders, moves = flow_resharding.reshard_folder(spark, source, target, 3, 4)
+    assert sorted(folders) == [0, 1, 2, 3] and moves == [[1200, 0, 0, 1200], [0, 1200, 0, 0], [0, 0, 1200, 0]]
+    assert [f.startswith(target) for _, f in sorted(folders.items())] == [True, False, False, True]
+    rows = [tuple(r) for f in folders.values() for r in spark.read.parquet(f).select("doc_id", "text", "size").collect()]
+    assert sorted(rows) == [(i, str(i).rjust(11, "x"), i) for i in range(400)]
+    again, moves = flow_resharding.reshard_folder(spark, source, str(tmp_path / "same"), 3, 3)
+    assert len(again) == 3 and all(f.startswith(str(tmp_path / "same")) for j, f in again.items() if sum(moves[j]) != moves[j][j])
+    with pytest.raises(ValueError):
+        flow_resharding.reshard_folder(spark, source, str(tmp_path / "few"), 2, 4)
+
+
+def test_costs_of_any_kind_against_enumeration():
+    def least(supply, capacity, cost):
+        """By trying every way to place the first supply's next unit."""
+        i = next((i for i, s in enumerate(supply) if s), None)
+        if i is None:
+            return 0
+        rest = supply[:i] + [supply[i] - 1] + supply[i + 1:]
+        return min((cost[i][j] + least(rest, capacity[:j] + [c - 1] + capacity[j + 1:], cost) for j, c in enumerate(capacity) if c), default=10 ** 9)
+
+    rng = random.Random(21)
+    for _ in range(60):
+        n, m = rng.randint(1, 3), rng.randint(1, 3)
+        supply = [rng.randint(0, 2) for _ in range(n)]
+        capacity = [rng.randint(0, 3) for _ in range(m)]
+        capacity[0] += max(0, sum(supply) - sum(capacity))
+        cost = [[rng.randint(0, 9) for _ in range(m)] for _ in range(n)]
+        flow = flow_resharding.min_cost_flow(supply, capacity, cost)
+        assert [sum(r) for r in flow] == supply and all(sum(c) <= k for c, k in zip(zip(*flow), capacity))
+        assert sum(x * c for r, cs in zip(flow, cost) for x, c in zip(r, cs)) == least(supply, capacity, cost)
+
+
 def test_frequent_words_of_any_length_are_counted(spark, monkeypatch):
     """Few buckets, so that rare long words share them with frequent ones: the same words as a plain count."""
     from panelwise.llm import quality_divergence as qd
