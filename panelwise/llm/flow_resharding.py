@@ -161,7 +161,8 @@ def reshard(docs: DataFrame, old_shards: int, new_shards: int, old: Column | Non
     layout is a hash of the text.  Documents of equal text in one old shard go
     to one new shard, unless the text's copies hold so many bytes that a cut
     beside them would be more than ``tolerance`` of a new shard off; such a text
-    (a third of all rows, say) is cut between documents.  Copies that begin
+    (a third of all rows, say) is cut between documents.  So a new shard is off
+    by at most ``tolerance`` of itself for each cut at its ends.  Copies that begin
     in several old shards stay apart where bringing them together would move bytes.
     """
     d = _ordered(docs.withColumn("old_shard", (hashed_shard(F.col("text"), old_shards) if old is None else old).cast("int")))
