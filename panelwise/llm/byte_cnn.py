@@ -142,14 +142,18 @@ def _held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, shape: CnnShape = CnnShape()) -> list[tuple[bytes, int]]:
-    """At most ``shape.sample`` rows of each label, none held out, by a hash of the id; texts up to ``sample_bytes``."""
+    """At most ``shape.sample`` ids of each label, none held out, by a hash of the id; texts up to ``sample_bytes``.
+
+    Of an id with several texts the least is taken, so the sample doesn't
+    depend on the order of rows.
+    """
     d = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
     d = d.select("doc_id", "quality").distinct()
     order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{shape.seed}")))
     picked = [d.where(F.col("quality") == q).orderBy(order, "doc_id").limit(shape.sample) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most twice shape.sample rows
     rows = (docs.select("doc_id", F.col("text").cast("binary").alias("data")).where(F.octet_length("data") <= shape.sample_bytes)
-            .join(ids, "doc_id").limit(4 * shape.sample).collect())
+            .join(ids, "doc_id").groupBy("doc_id", "quality").agg(F.min("data").alias("data")).collect())
     return sorted((bytes(r["data"]), int(r["quality"])) for r in rows)
 
 

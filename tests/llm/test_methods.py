@@ -339,6 +339,72 @@ def test_cnn_scores_long_texts_in_pieces():
     assert abs(model.score(data) - 1 / (1 + np.exp(-logit))) < 1e-4 and 0 < model.score(b"") < 1
 
 
+def test_gradients_equal_finite_differences():
+    """Along random directions of each weight, on texts of one chunk and of many."""
+    rng = np.random.default_rng(5)
+    model = byte_cnn.ByteCnn(byte_cnn.CnnShape(embedding=4, filters=6, chunk=16, chunk_step=12))
+    for name in ("bias", "last"):
+        model.weights[name] += rng.normal(0, 0.3, model.weights[name].shape).astype(np.float32)
+    loss = lambda data, label: -np.log(model.score(data) if label else 1 - model.score(data))
+    for data, label in ((b"", 1), (b"a few bytes", 0), (bytes(rng.integers(0, 256, 900, np.uint8)), 1), (b"word and word again " * 40, 0)):
+        grads = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        assert abs(model.gradients(data, label, grads) - loss(data, label)) < 1e-4
+        for name, weight in model.weights.items():
+            direction = grads[name] / (np.linalg.norm(grads[name]) + 1e-12) + 0.2 * rng.normal(size=weight.shape).astype(np.float32) / weight.size ** 0.5
+            kept, ends = weight.copy(), []
+            for step in (2e-3, -2e-3):
+                model.weights[name] = (kept + step * direction).astype(np.float32)
+                ends.append(loss(data, label))
+            model.weights[name] = kept
+            want = (ends[0] - ends[1]) / 4e-3
+            assert abs(float((grads[name] * direction).sum()) - want) < 0.03 * abs(want) + 2e-3, (name, len(data))
+
+
+def test_sample_does_not_depend_on_row_order(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(5, 1), (None, 0), (99, 1)], "doc_id long, quality int")
+    shape = byte_cnn.CnnShape(sample=10)
+    samples = [byte_cnn.training_sample(d.repartition(n), labels.repartition(n), shape) for d, n in ((docs, 1), (docs, 7), (docs.orderBy("text"), 3))]
+    assert samples[0] == samples[1] == samples[2] and 0 < len(samples[0]) <= 20
+    assert byte_cnn.training_sample(docs.limit(0), labels, shape) == byte_cnn.training_sample(docs, labels.limit(0), shape) == []
+
+
+def _dice_by_definition(words, template):
+    a, b = (license_dice.Counter(zip(w, w[1:])) for w in (words, template))
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+def test_license_scan_against_all_windows():
+    """Every window of every length against every template: the nearest is found, and no match that overlaps none is left out."""
+    rng = random.Random(31)
+    templates = [t for t in license_dice.standard_templates() if 5 <= len(t.words) <= 14][:6]
+    scanner = license_dice.LicenseScanner(templates)
+    hits = 0
+    for _ in range(40):
+        text = []
+        for _ in range(rng.randint(0, 3)):
+            notice = list(rng.choice(templates).words)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(notice))
+                notice[at:at + rng.randint(0, 1)] = rng.choice([["filler"], [], [rng.choice(notice)]])
+                notice = notice or ["filler"]
+            text += [rng.choice(["the", "license", "other", "under"]) for _ in range(rng.randint(0, 6))] + notice
+        found = scanner.scan(" ".join(text))
+        near = [(d, a, z) for t in templates for a in range(len(text)) for z in range(a + 2, min(len(text), a + 3 * len(t.words)) + 1)
+                if (d := _dice_by_definition(text[a:z], t.words)) >= license_dice.THRESHOLD]
+        assert bool(found) == bool(near)
+        if not near:
+            continue
+        hits += 1
+        assert abs(found[0][1] - max(near)[0]) < 1e-12
+        spans = sorted((a, z) for _, _, a, z in found)
+        assert all(z <= a for (_, z), (a, _) in zip(spans, spans[1:]))
+        for name, dice, a, z in found:
+            assert abs(dice - max(_dice_by_definition(text[a:z], t.words) for t in templates if t.license == name)) < 1e-12
+        assert all(any(a < y and x < z for x, y in spans) for _, a, z in near)
+    assert hits > 15
+
+
 def test_license_windows():
     scanner = license_dice.LicenseScanner(license_dice.standard_templates())
     assert scanner.scan("x y z\nReleased under the MIT License.\nmore")[0][:2] == ("MIT", 1.0)
