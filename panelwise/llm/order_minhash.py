@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.llm.components import components
-from panelwise.llm.shared import joined_small, ship_by_value, written
+from panelwise.llm.shared import joined_small, ship_by_value, worker_cache, written
 from panelwise.operators.blocks import with_position
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _SLICE = 1 << 20
+#: Powers in a worker's tables at least, and at once of a group's texts: shingles, and texts whose pairs are listed.
+_LEAST_TABLE, _SHINGLES_AT_ONCE, _TEXTS_AT_ONCE = 1 << 16, 512, 256
 #: Values of a hash function expected under the limit below which its least are sought.
 _EXPECTED = 24
 #: Ids and digests of texts to verify that are broadcast at most (about 100 bytes each); beyond, a plain join.
@@ -57,6 +59,8 @@ class OrderMinHash:
     leaders: tuple[int, ...] = (1,)
     #: texts of a bucket compared with as many at once
     chunk: int = 1000
+    #: bytes of such texts together, about; longer texts are compared with fewer at once
+    chunk_bytes: int = 1 << 22
     seed: int = 42
 
 
@@ -69,23 +73,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int) -> np.ndarray:
-    p = np.full(2 * _SLICE + 1, base, np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
     p[0] = 1
-    return np.multiply.accumulate(p)
+    return np.multiply.accumulate(p, out=p)
 
 
-_TABLES: dict[str, np.ndarray] = {}
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the prime and of its inverse: as many as the longest slice so far needs, by doubling."""
+    kept = worker_cache("order_minhash")
+    if len(kept.get("up", ())) < n:
+        size = max(_LEAST_TABLE, 1 << (n - 1).bit_length())
+        kept["up"], kept["down"] = _powers(_PRIME, size), _powers(pow(_PRIME, -1, 1 << 64), size)
+    return kept["up"], kept["down"]
 
 
 def _hash_words(b: np.ndarray) -> np.ndarray:
-    if not _TABLES:
-        _TABLES["up"], _TABLES["down"] = _powers(_PRIME), _powers(pow(_PRIME, -1, 1 << 64))
+    up, down = _tables(len(b))
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _TABLES["up"][:len(b)])))
-    return _mix((sums[ends] - sums[starts]) * _TABLES["down"][starts] + (ends - starts).astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:len(b)])))
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -246,8 +255,7 @@ def sketched(docs: DataFrame, p: OrderMinHash) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(text.as_py(), p.shingle) for text in b.column(2)]
-            keys = [order_sketch(s, p) + exact_sketch(s, p) for s in sets]
+            keys = [order_sketch(s, p) + exact_sketch(s, p) for s in (shingles(text.as_py(), p.shingle) for text in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
     return _digested(docs).mapInArrow(sketch, "doc_id bigint, digest string, sketch array<bigint>")
@@ -300,7 +308,7 @@ def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFra
     if not rows:
         return None
     texts = _digested(docs).join(F.broadcast(wanted) if rows <= WANTED_ROWS else wanted, ["doc_id", "digest"])
-    texts = written(texts.dropDuplicates(["rep"]).select("rep", "text"), "omh-texts")
+    texts = written(texts.dropDuplicates(["rep"]).select("rep", "text", F.octet_length("text").alias("bytes")), "omh-texts")
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
 
@@ -333,38 +341,52 @@ def class_links(classes: DataFrame, docs: DataFrame, p: OrderMinHash) -> DataFra
 
 
 def _links_in_buckets(members: DataFrame, texts: DataFrame, p: OrderMinHash) -> DataFrame:
-    """Links between components within each bucket, from all pairs of its texts, a pair of chunks a group."""
-    sizes = written(members.groupBy("bucket", "key").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("chunks")), "omh-chunks")
+    """Links between components within each bucket, from all pairs of its texts, a pair of chunks a group.
+
+    A bucket has as many chunks as its texts' number or their bytes ask for; ``texts`` has rep, text, bytes.
+    """
+    chunks = F.greatest(F.ceil(F.count("*") / p.chunk), F.ceil(F.sum("bytes") / p.chunk_bytes)).cast("int").alias("chunks")
+    sizes = written(members.join(texts.select("rep", "bytes"), "rep").groupBy("bucket", "key").agg(chunks), "omh-chunks")
     d = joined_small(members, sizes, ["bucket", "key"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     d = d.select("bucket", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
-    d = d.join(texts, "rep")
+    d = d.join(texts.select("rep", "text"), "rep")
     return d.groupBy("bucket", "key", "lo", "hi").applyInPandas(lambda g: linked_in_group(g, p), "a bigint, b bigint")
 
 
+def _shared_shingles(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each labelled shingle that several texts have, by its number: the text's place and the number."""
+    labelled = np.concatenate([s + _occurrences(s) * np.uint64(_PRIME) for s in sets])
+    order = np.argsort(labelled)
+    labelled = labelled[order]
+    new = np.ones(len(order), bool)
+    new[1:] = labelled[1:] != labelled[:-1]
+    several = ~new
+    several[:-1] |= ~new[1:]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order[several]]
+    return row, np.cumsum(new[several], dtype=np.int32) - np.int32(1)
+
+
 def linked_in_group(g: pd.DataFrame, p: OrderMinHash) -> pd.DataFrame:
     """Links that connect different components of one group.
 
     Products of the texts' incidence with labelled shingles give each pair's
     shared shingles, which bounds its similarity; the pairs that pass are
-    aligned, unless connected already.
+    aligned, unless connected already.  A few shingles and a few texts at a
+    time, so that little but the texts and one number a pair is in memory.
     """
     sets = [shingles(t, p.shingle) for t in g["text"]]
     size, part = np.array([len(s) for s in sets]), g["part"].to_numpy()
-    row = np.repeat(np.arange(len(sets)), size)
-    labelled = np.concatenate([s + _occurrences(s) * np.uint64(_PRIME) for s in sets])
-    _, column, count = np.unique(labelled, return_inverse=True, return_counts=True)
-    several = count > 1
-    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
-    shared = np.zeros((len(sets),) * 2, np.float32)
-    for at in range(0, int(several.sum()), 2048):
-        here = (column >= at) & (column < at + 2048)
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[row[here], column[here] - at] = 1
-        shared += m @ m.T
-    near = shared >= p.similarity * (size[:, None] + size[None, :] - shared) - 1e-3
     lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-    near &= np.triu(np.ones_like(near), 1) if lo == hi else (part == lo)[:, None] & (part == hi)[None, :]
+    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    row, column = _shared_shingles(sets, size)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _SHINGLES_AT_ONCE):
+        here = slice(*np.searchsorted(column, (at, at + _SHINGLES_AT_ONCE)))
+        m = np.zeros((len(sets), _SHINGLES_AT_ONCE), np.float32)
+        m[row[here], column[here] - at] = 1
+        x = m[left]
+        shared += x @ (x if lo == hi else m[right]).T
     root = {c: c for c in g["component"].tolist()}
 
     def find(c: int) -> int:
@@ -374,11 +396,16 @@ def linked_in_group(g: pd.DataFrame, p: OrderMinHash) -> pd.DataFrame:
         return c
 
     own, ids, found = g["component"].to_numpy(), g["rep"].to_numpy(), []
-    for i, j in zip(*np.nonzero(near)):
-        x, y = find(int(own[i])), find(int(own[j]))
-        if x != y and aligned_similarity(sets[i], sets[j], p.similarity) >= p.similarity:
-            root[max(x, y)] = min(x, y)
-            found.append((int(ids[i]), int(ids[j])))
+    for at in range(0, len(left), _TEXTS_AT_ONCE):
+        some, both = left[at:at + _TEXTS_AT_ONCE], shared[at:at + _TEXTS_AT_ONCE]
+        near = both >= p.similarity * (size[some, None] + size[None, right] - both) - 1e-3
+        if lo == hi:
+            near &= some[:, None] < right[None, :]
+        for i, j in zip(*(side[k] for side, k in zip((some, right), np.nonzero(near)))):
+            x, y = find(int(own[i])), find(int(own[j]))
+            if x != y and aligned_similarity(sets[i], sets[j], p.similarity) >= p.similarity:
+                root[max(x, y)] = min(x, y)
+                found.append((int(ids[i]), int(ids[j])))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 

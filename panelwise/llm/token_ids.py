@@ -10,18 +10,16 @@ of all words out in the order of the texts.
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from panelwise.llm.shared import ship_by_value
+from panelwise.llm.shared import ship_by_value, worker_cache
 
 #: Runs of letters, and other words, whose ids a worker keeps, in each of two generations (about 200 bytes each).
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 #: Bytes of the texts that are split at once.
 BLOCK_BYTES = 1 << 22
 #: ASCII punctuation but the apostrophe, which starts tokens that hold letters.
@@ -134,7 +132,7 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """The worker process's cache; this module is pickled by value, so its own globals are new in each task."""
-    kept = sys.modules.setdefault("panelwise_worker_caches", ModuleType("panelwise_worker_caches")).__dict__
+    kept = worker_cache("token_ids")
     if path not in kept:
         kept[path] = WordIds(path)
     return kept[path]

@@ -323,6 +323,81 @@ def test_blocks_of_a_bucket_find_the_links():
     assert sorted(found["a"].tolist() + found["b"].tolist()) == [0, 0, 1, 2]
 
 
+def test_groups_of_a_bucket_stay_small_in_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(1200)]
+    g = pd.DataFrame({"rep": range(1200), "component": range(1200), "text": texts, "part": np.arange(1200) % 2, "lo": 0, "hi": 1})
+    order_minhash.linked_in_group(g.head(4), order_minhash.OrderMinHash())  # tables
+    tracemalloc.start()
+    order_minhash.linked_in_group(g, order_minhash.OrderMinHash())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # all pairs in double precision, several times over, took 29 MB
+
+
+def test_parted_groups_find_the_links_of_whole_ones():
+    import pandas as pd
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join(base[:30] + ["new"] + base[30:]), " ".join(base[:50])]
+    texts += ["a b a b a b a b a b", "a b a b a b a b a c", "x"]
+    g = pd.DataFrame({"rep": range(len(texts)), "component": range(len(texts)), "text": texts})
+    p = order_minhash.OrderMinHash()
+    s = [order_minhash.shingles(t) for t in texts]
+    every = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if order_minhash.aligned_similarity(s[i], s[j]) >= 0.8}
+    whole = order_minhash.linked_in_group(g.assign(part=0, lo=0, hi=0), p)
+    assert every and len(whole) and set(zip(whole["a"], whole["b"])) <= every
+    g["part"] = g["rep"] % 2
+    found = [order_minhash.linked_in_group(d.assign(lo=lo, hi=hi), p) for lo, hi, d in (
+        (0, 0, g[g["part"] == 0]), (1, 1, g[g["part"] == 1]), (0, 1, g))]
+    links = {tuple(sorted(x)) for f in found for x in zip(f["a"], f["b"])}
+    assert links <= every
+    for pairs in (links, set(zip(whole["a"], whole["b"]))):
+        root = list(range(len(s)))
+        for _ in s:
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        assert all(root[i] == root[j] for i, j in every)
+
+
+def test_long_texts_of_a_bucket_are_chunked_by_their_bytes(spark, monkeypatch):
+    import pandas as pd
+
+    rows = [(i, "x" * (4000 if i < 20 else 10), 0 if i < 20 else 1) for i in range(40)]
+    d = spark.createDataFrame(rows, "rep long, text string, key long")
+    members = d.select(F.lit(0).alias("bucket"), "key", "rep", F.col("rep").alias("component"))
+    texts = d.select("rep", "text", F.octet_length("text").alias("bytes"))
+    monkeypatch.setattr(order_minhash, "linked_in_group", lambda g, p: pd.DataFrame({"a": [len(g)], "b": [int(g["key"].iloc[0])]}))
+    p = order_minhash.OrderMinHash(chunk_bytes=10_000)
+    found = order_minhash._links_in_buckets(members, texts, p).collect()
+    assert [r["a"] for r in found if r["b"] == 1] == [20]  # 200 bytes: all at once
+    assert max(r["a"] for r in found if r["b"] == 0) < 20 and len([r for r in found if r["b"] == 0]) > 8
+
+
+def test_a_worker_keeps_one_operators_tables():
+    import sys
+
+    from panelwise.llm import shared, token_ids
+
+    encoder = token_ids.word_ids(VOCABULARY)
+    assert token_ids.word_ids(VOCABULARY) is encoder
+    order_minhash.shingles("one two three four five six")
+    assert set(sys.modules["panelwise_worker_caches"].kept) == {"order_minhash"}
+    tables = shared.worker_cache("order_minhash")
+    assert len(tables["up"]) == len(tables["down"]) == order_minhash._LEAST_TABLE
+    long = "word " * order_minhash._LEAST_TABLE
+    grown = order_minhash.word_hashes(long)
+    assert len(tables["up"]) > len(long) and set(grown.tolist()) == set(order_minhash.word_hashes("word").tolist())
+    shared.worker_cache("order_minhash").clear()
+
+
 def test_classifier_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     d = queries.QUERIES["op7_byte_cnn"](spark, SF01).join(labels, "doc_id").where("held_out").toPandas()
